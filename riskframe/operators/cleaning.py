@@ -59,10 +59,14 @@ def min_max_normalize(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
     ).scalar()
 
     def scaled(c: str) -> Column:
-        low, high = extremes[f"{c}_min"], extremes[f"{c}_max"]
+        low, high = F.col(f"_extremes.{c}_min"), F.col(f"_extremes.{c}_max")
         return F.try_divide(F.col(c).cast("double") - low, high - low)
 
-    return df.withColumns({out: scaled(c) for c, out in cols.items()})
+    # Naming the subquery's row first keeps it from being planned once per use.
+    scaled_df = df.withColumn("_extremes", extremes).withColumns(
+        {out: scaled(c) for c, out in cols.items()}
+    )
+    return scaled_df.drop("_extremes")
 
 
 def decode(df: DataFrame, mappings: Mapping[str, tuple[str, Mapping[int, str]]]) -> DataFrame:

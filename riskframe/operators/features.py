@@ -89,14 +89,16 @@ def engineer_features(
             F.coalesce(F.col("sex").cast("string"), F.lit("nan")),
             F.coalesce(age_group, F.lit("nan")),
         ),
-        "risk_level": quantile_label(
-            score, score_quartiles(df), RISK_LEVELS, on_duplicate_edges
-        ),
     }
     kept = ["id"] if "id" in df.columns else []
     if keep_raw_pattern:
         kept.append("quantum_pattern_raw")
-    return df.withColumns(derived).select(*kept, *FEATURE_TYPES)
+    level = quantile_label(F.col("risk_score"), F.col("_edges"), RISK_LEVELS, on_duplicate_edges)
+    return (
+        df.withColumns({**derived, "_edges": score_quartiles(df)})
+        .withColumn("risk_level", level)
+        .select(*kept, *FEATURE_TYPES)
+    )
 
 
 def score_quartiles(df: DataFrame) -> Column:

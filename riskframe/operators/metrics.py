@@ -12,7 +12,9 @@ def class_weights(df: DataFrame, label: str = "target") -> DataFrame:
     """(label, n, weight) with balanced weights ``rows / (classes * n)``."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     overall = counts.agg(F.struct(F.sum("n").alias("rows"), F.count("n").alias("k"))).scalar()
-    return counts.withColumn("weight", overall["rows"] / (overall["k"] * F.col("n")))
+    return counts.withColumn("_all", overall).select(
+        label, "n", (F.col("_all.rows") / (F.col("_all.k") * F.col("n"))).alias("weight")
+    )
 
 
 def with_class_weights(df: DataFrame, label: str = "target", name: str = "weight") -> DataFrame:

@@ -70,6 +70,7 @@ def svm(params: Params, rows: float) -> Estimator:
         regParam=penalty(params, rows),
         standardization=False,
         maxIter=50,
+        tol=1e-4,
     )
 
 

@@ -11,7 +11,6 @@ from typing import Any
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,8 @@ from riskframe.learning.models import (
     Spec,
 )
 from riskframe.learning.stages import FourierFeatures, SoftVote
-from riskframe.operators.metrics import with_class_weights
+from riskframe.operators.joins import attach_lookup
+from riskframe.operators.metrics import class_weights
 from riskframe.operators.sampling import assign_folds
 from riskframe.session import materialize
 
@@ -68,10 +68,14 @@ class TrainingSet:
 
 
 def training_set(train: DataFrame, cols: Sequence[str] | None = None) -> TrainingSet:
+    """Prepare ``train``, which should be a stored table: it is read several times."""
     cols = list(cols or feature_columns(train))
     assembler = VectorAssembler(inputCols=cols, outputCol=FEATURES, handleInvalid="error")
-    prepared = with_class_weights(assign_folds(numeric(train, cols), LABEL, FOLDS, SEED), LABEL, WEIGHT)
-    stored = materialize(prepared, "training")
+    folded = assign_folds(numeric(train, cols), LABEL, FOLDS, SEED)
+    weights = class_weights(train, LABEL).select(LABEL, F.col("weight").alias(WEIGHT))
+    prepared = attach_lookup(folded, weights, LABEL)
+    # One folder per fold, so that a fold's rows are found by partition pruning.
+    stored = materialize(prepared, "training", partition_by=[FOLD])
     rows = assembler.transform(stored).withColumn(LABEL, F.col(LABEL).cast("double"))
     return TrainingSet(rows.persist(), assembler, stored.count())
 
@@ -81,10 +85,13 @@ def training_set(train: DataFrame, cols: Sequence[str] | None = None) -> Trainin
 
 @dataclass(frozen=True)
 class SearchResult:
+    """The chosen candidate, fitted on all rows and once without each fold."""
+
     name: str
     params: Params
     cv_precision: float
     model: Model
+    fold_models: list[Model]
 
 
 def precisions(models: Sequence[Model], rows: DataFrame) -> list[float]:
@@ -112,27 +119,30 @@ def in_threads(tasks: Iterable[Callable[[], Any]], parallelism: int) -> list:
         return [future.result() for future in [pool.submit(task) for task in tasks]]
 
 
-def grid_search(train: TrainingSet, spec: Spec, parallelism: int = 4) -> SearchResult:
+def grid_search(train: TrainingSet, spec: Spec, parallelism: int = 8) -> SearchResult:
     """The candidate with the best mean precision over the folds, refitted on all rows.
 
-    Unlike ``CrossValidator`` it scores the candidates of a fold together and
-    picks the rows of a fold by a plain filter.
+    Unlike ``CrossValidator`` it scores the candidates of a fold together,
+    picks the rows of a fold by a plain filter, and keeps the best candidate's
+    fold models, which stacking and calibration need again.
     """
     candidates = spec.candidates()
-
-    def fold_scores(fold: int) -> list[float]:
-        outside = train.outside(fold)
-        fits = [
-            lambda params=params: spec.build(params, train.fold_size).fit(outside)
-            for params in candidates
-        ]
-        return precisions(in_threads(fits, parallelism), train.inside(fold))
-
-    by_fold = [fold_scores(fold) for fold in range(FOLDS)]
-    means = [sum(scores) / FOLDS for scores in zip(*by_fold)]
+    fits = [
+        lambda fold=fold, params=params: spec.build(params, train.fold_size).fit(
+            train.outside(fold)
+        )
+        for fold in range(FOLDS)
+        for params in candidates
+    ]
+    fitted = in_threads(fits, parallelism)
+    by_fold = [fitted[i : i + len(candidates)] for i in range(0, len(fitted), len(candidates))]
+    scores = [precisions(models, train.inside(fold)) for fold, models in enumerate(by_fold)]
+    means = [sum(column) / FOLDS for column in zip(*scores)]
     best = means.index(max(means))
     model = spec.build(candidates[best], train.size).fit(train.rows)
-    return SearchResult(spec.name, candidates[best], means[best], model)
+    return SearchResult(
+        spec.name, candidates[best], means[best], model, [models[best] for models in by_fold]
+    )
 
 
 # --- models ready for scoring --------------------------------------------
@@ -152,45 +162,29 @@ def scorer(train: TrainingSet, model: Model) -> PipelineModel:
     return PipelineModel([train.assembler, model])
 
 
-def soft_vote(train: TrainingSet, models: dict[str, Model]) -> PipelineModel:
+def soft_vote(train: TrainingSet, bases: Sequence[SearchResult]) -> PipelineModel:
     """Equal-weight mean of the models' probabilities."""
-    voters = [renamed(model, name) for name, model in models.items()]
-    vote = SoftVote(inputCols=[f"{name}_probability" for name in models])
+    voters = [renamed(base.model, base.name) for base in bases]
+    vote = SoftVote(inputCols=[f"{base.name}_probability" for base in bases])
     return PipelineModel([train.assembler, *voters, vote])
 
 
-def out_of_fold(
-    train: TrainingSet, fit: Callable[[DataFrame, float], Sequence[Model]]
-) -> DataFrame:
+def out_of_fold(train: TrainingSet, models: Callable[[int], Sequence[Model]]) -> DataFrame:
     """Every training row, scored by models that did not see it."""
 
     def scored(fold: int) -> DataFrame:
-        models = fit(train.outside(fold), train.fold_size)
-        return reduce(lambda df, model: model.transform(df), models, train.inside(fold))
+        return reduce(lambda df, model: model.transform(df), models(fold), train.inside(fold))
 
     return reduce(DataFrame.unionByName, [scored(fold) for fold in range(FOLDS)])
 
 
-def fit_stacking(
-    train: TrainingSet, bases: dict[str, tuple[Spec, Params, Model]], parallelism: int = 4
-) -> PipelineModel:
+def fit_stacking(train: TrainingSet, bases: Sequence[SearchResult]) -> PipelineModel:
     """A balanced logistic regression on out-of-fold probabilities of the bases.
 
-    ``bases`` gives for each its spec, chosen parameters, and the model fitted
-    on all rows, which is the one used for scoring.
+    New rows are scored by the bases fitted on all rows.
     """
-
-    def fit(rows: DataFrame, size: float) -> list[Model]:
-        fits = [
-            lambda spec=spec, params=params: spec.build(params, size).fit(rows)
-            for spec, params, _ in bases.values()
-        ]
-        return [
-            renamed(model, name) for name, model in zip(bases, in_threads(fits, parallelism))
-        ]
-
     joined = VectorAssembler(
-        inputCols=[f"{name}_probability" for name in bases], outputCol="_all_probabilities"
+        inputCols=[f"{base.name}_probability" for base in bases], outputCol="_all_probabilities"
     )
     # Each probability vector has two entries; keep those of class 1.
     slicer = VectorSlicer(
@@ -198,13 +192,19 @@ def fit_stacking(
         outputCol="_base_scores",
         indices=[2 * i + 1 for i in range(len(bases))],
     )
-    scored = slicer.transform(joined.transform(out_of_fold(train, fit)))
+    unseen = out_of_fold(
+        train, lambda fold: [renamed(base.fold_models[fold], base.name) for base in bases]
+    )
+    scored = slicer.transform(joined.transform(unseen))
     inputs = materialize(scored.select("_base_scores", LABEL, WEIGHT), "stacking")
     final = LogisticRegression(
-        featuresCol="_base_scores", labelCol=LABEL, weightCol=WEIGHT,
-        regParam=1.0 / train.size, standardization=False,
+        featuresCol="_base_scores",
+        labelCol=LABEL,
+        weightCol=WEIGHT,
+        regParam=1.0 / train.size,
+        standardization=False,
     ).fit(inputs)
-    voters = [renamed(model, name) for name, (_, _, model) in bases.items()]
+    voters = [renamed(base.model, base.name) for base in bases]
     return PipelineModel([train.assembler, *voters, joined, slicer, final])
 
 
@@ -231,7 +231,7 @@ def with_fourier(train: TrainingSet, size: int = 128) -> tuple[TrainingSet, Four
 
 
 def fit_svm(
-    train: TrainingSet, spec: Spec = SVM, size: int = 128, parallelism: int = 4
+    train: TrainingSet, spec: Spec = SVM, size: int = 128, parallelism: int = 8
 ) -> tuple[SearchResult, PipelineModel]:
     """Support vector machine with probabilities.
 
@@ -240,15 +240,17 @@ def fit_svm(
     """
     mapped, stage = with_fourier(train, size)
     found = grid_search(mapped, spec, parallelism)
-    margins = out_of_fold(mapped, lambda rows, n: [spec.build(found.params, n).fit(rows)])
-    margin = vector_to_array("rawPrediction")[1]
-    inputs = materialize(margins.select(margin.alias("_margin"), LABEL, WEIGHT), "margins")
-    to_vector = VectorAssembler(inputCols=["_margin"], outputCol="_margin_vector")
-    calibration = LogisticRegression(
-        featuresCol="_margin_vector", labelCol=LABEL, weightCol=WEIGHT, regParam=1.0 / train.size,
-        rawPredictionCol="_calibrated_raw", predictionCol="_calibrated",
-    ).fit(to_vector.transform(inputs))
     # The raw prediction is [-margin, margin].
-    slicer = VectorSlicer(inputCol="rawPrediction", outputCol="_margin_vector", indices=[1])
+    slicer = VectorSlicer(inputCol="rawPrediction", outputCol="_margin", indices=[1])
+    unseen = out_of_fold(mapped, lambda fold: [found.fold_models[fold]])
+    inputs = slicer.transform(unseen).select("_margin", LABEL, WEIGHT)
+    calibration = LogisticRegression(
+        featuresCol="_margin",
+        labelCol=LABEL,
+        weightCol=WEIGHT,
+        regParam=1.0 / train.size,
+        rawPredictionCol="_calibrated_raw",
+        predictionCol="_calibrated",
+    ).fit(materialize(inputs, "margins"))
     mapped.rows.unpersist()
     return found, PipelineModel([train.assembler, stage, found.model, slicer, calibration])

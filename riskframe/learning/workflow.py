@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskframe.learning.models import FOREST, LABEL, LOGISTIC, SPECS, SVM, TREE, Params, Spec
 from riskframe.learning.training import (
+    SearchResult,
     TrainingSet,
     feature_columns,
     fit_stacking,
@@ -25,11 +26,12 @@ from riskframe.learning.training import (
 )
 from riskframe.operators.encoding import encode_categoricals
 from riskframe.operators.metrics import classification_metrics, confusion_matrix
-from riskframe.operators.sampling import stratified_split
+from riskframe.operators.sampling import stratified_parts
 from riskframe.session import materialize
 from riskframe.sources.files import run_time
 from riskframe.sources.schemas import MODEL_METRICS, PREDICTIONS, conform
 
+TEST_SHARE = 0.2
 ENSEMBLE = (FOREST.name, LOGISTIC.name, TREE.name)
 
 
@@ -44,37 +46,42 @@ class Trained:
     params: dict[str, Params] = field(default_factory=dict)
     cv_precision: dict[str, float] = field(default_factory=dict)
 
+    def add(self, model: PipelineModel, found: SearchResult) -> None:
+        self.models[found.name] = model
+        self.params[found.name] = found.params
+        self.cv_precision[found.name] = found.cv_precision
+
 
 def prepare(patients: DataFrame, seed: int = 42) -> Trained:
     """Encode categories and split off a stratified fifth for testing."""
     encoded, codes = encode_categoricals(patients)
     cols = feature_columns(encoded)
     stored = materialize(numeric(encoded, cols), "encoded")
-    train, test = stratified_split(stored, LABEL, 0.2, seed)
+    parts = stratified_parts(stored, LABEL, "id", [TEST_SHARE], seed, "part")
+    split = materialize(parts, "split", partition_by=["part"])
+    train, test = (split.where(F.col("part") == i).drop("part") for i in (1, 0))
     return Trained(codes, training_set(train, cols), test)
 
 
 def train_models(
-    patients: DataFrame, specs: Sequence[Spec] = SPECS, seed: int = 42, parallelism: int = 4
+    patients: DataFrame, specs: Sequence[Spec] = SPECS, seed: int = 42, parallelism: int = 8
 ) -> Trained:
     """Search every base model, then build the voting and stacking ensembles."""
     trained = prepare(patients, seed)
-    bases: dict[str, tuple[Spec, Params, Model]] = {}
+    bases: dict[str, SearchResult] = {}
     for spec in specs:
         if spec.name == SVM.name:
             found, model = fit_svm(trained.train, spec, parallelism=parallelism)
         else:
             found = grid_search(trained.train, spec, parallelism)
             model = scorer(trained.train, found.model)
-            bases[spec.name] = (spec, found.params, found.model)
-        trained.models[spec.name] = model
-        trained.params[spec.name] = found.params
-        trained.cv_precision[spec.name] = found.cv_precision
-    members = {name: bases[name] for name in ENSEMBLE if name in bases}
+            bases[spec.name] = found
+        trained.add(model, found)
+    members = [bases[name] for name in ENSEMBLE if name in bases]
     if len(members) == len(ENSEMBLE):
-        voters = {name: model for name, (_, _, model) in members.items()}
-        trained.models["voting_classifier"] = soft_vote(trained.train, voters)
-        trained.models["stacking_classifier"] = fit_stacking(trained.train, members, parallelism)
+        trained.models["voting_classifier"] = soft_vote(trained.train, members)
+        trained.models["stacking_classifier"] = fit_stacking(trained.train, members)
+    trained.train.rows.unpersist()
     return trained
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.joins import attach_lookup
-
 
 def class_weights(df: DataFrame, label: str = "target") -> DataFrame:
     """(label, n, weight) with balanced weights ``rows / (classes * n)``."""
@@ -17,11 +15,6 @@ def class_weights(df: DataFrame, label: str = "target") -> DataFrame:
     )
 
 
-def with_class_weights(df: DataFrame, label: str = "target", name: str = "weight") -> DataFrame:
-    weights = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return attach_lookup(df, weights, label)
-
-
 def outcome_counts(label: Column, prediction: Column, n: Column | None = None) -> list[Column]:
     """Aggregates tp, fp, fn, tn; ``n`` weighs pre-aggregated rows."""
     one = F.lit(1) if n is None else n

@@ -1,0 +1,120 @@
+from datetime import datetime
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from riskframe import functions as fn
+from riskframe.operators.features import AGE_EDGES, AGE_LABELS
+
+
+def values(spark, kind, items, expr):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"i int, x {kind}")
+    return [r[0] for r in df.orderBy("i").select(expr).collect()]
+
+
+def test_cut_is_right_closed(spark):
+    ages = [0, 1, 30, 31, 40, 50, 55, 60, 65, 70, 71, 100, 101, None, -3]
+    expected = [
+        None, "<30", "<30", "30-40", "30-40", "40-50", "50-55", "55-60", "60-65", "65-70",
+        ">70", ">70", None, None, None,
+    ]
+    assert values(spark, "int", ages, fn.cut(F.col("x"), AGE_EDGES, AGE_LABELS)) == expected
+
+
+def test_cut_needs_matching_lengths():
+    with pytest.raises(ValueError):
+        fn.cut(None, (0, 1), ("a", "b"))
+
+
+PROBABILITIES = [0.0, 0.19, 0.2, 0.4, 0.6, 0.79, 0.8, 1.0, None]
+
+
+def test_risk_category_is_left_closed_and_null_is_last(spark):
+    got = values(spark, "double", PROBABILITIES, fn.risk_category(F.col("x")))
+    low, mid, high, top = "Low Risk", "Moderate Risk", "High Risk", "Very High Risk"
+    assert got == [low, low, mid, high, top, top, top, top, top]
+
+
+def test_confidence_level(spark):
+    got = values(spark, "double", PROBABILITIES, fn.confidence_level(F.col("x")))
+    assert got == [
+        "Very Low", "Very Low", "Low", "Medium", "High", "High", "Very High", "Very High",
+        "Very High",
+    ]
+
+
+def test_thresholds_are_parameters(spark):
+    got = values(spark, "double", [0.1, 0.5], fn.risk_category(F.col("x"), (0.05, 0.5, 0.9)))
+    assert got == ["Moderate Risk", "High Risk"]
+    with pytest.raises(ValueError):
+        fn.risk_category(F.col("x"), (0.5, 0.2, 0.9))
+
+
+def test_labels_of_null_pairs(spark):
+    one = F.lit(1)
+    assert values(spark, "int", [1, 0, None], fn.correctness(F.col("x"), one)) == [
+        "Correct", "Incorrect", "Incorrect",
+    ]
+    assert values(spark, "int", [1, 0, None], fn.agreement(F.col("x"), one)) == [
+        "Agreement", "Disagreement", "Disagreement",
+    ]
+
+
+def test_risk_factor_priority(spark):
+    rows = [(">70", "Yes", 0.7), ("40-50", "Yes", 0.7), (">70", "Yes", 0.6), (None, None, 0.9)]
+    df = spark.createDataFrame(rows, "age_group string, exang string, p double")
+    expr = fn.risk_factors(F.col("age_group"), F.col("exang"), F.col("p") > 0.6)
+    assert [r[0] for r in df.select(expr).collect()] == [
+        "High Risk Age Group", "High Risk with Exercise Angina", "Standard Risk", "Standard Risk",
+    ]
+
+
+def quartile_labels(spark, items, edges, policy="collapse"):
+    expr = fn.quantile_label(
+        F.col("x"), F.array(*[F.lit(e) for e in edges]), ("L", "M", "H", "V"), policy
+    )
+    return values(spark, "int", items, expr)
+
+
+def test_quantile_label(spark):
+    got = quartile_labels(spark, [0, 5, 6, 7, 9, 10, 15, None], [0.0, 5.0, 7.0, 9.0, 15.0])
+    assert got == ["L", "L", "M", "M", "H", "V", "V", None]
+
+
+def test_repeated_edges_collapse_to_the_lowest_label(spark):
+    # quartiles of 1,1,1,1,1,2,3
+    edges = [1.0, 1.0, 1.0, 1.5, 3.0]
+    assert quartile_labels(spark, [1, 2, 3], edges) == ["L", "V", "V"]
+    with pytest.raises(PySparkException, match="not unique"):
+        quartile_labels(spark, [1, 2, 3], edges, "error")
+    assert quartile_labels(spark, [1, 2], [0.0, 1.0, 2.0, 3.0, 4.0], "error") == ["L", "M"]
+
+
+@pytest.mark.parametrize(
+    "grain, start",
+    [
+        ("day", datetime(2024, 5, 16)),
+        ("week", datetime(2024, 5, 13)),
+        ("month", datetime(2024, 5, 1)),
+        ("quarter", datetime(2024, 4, 1)),
+        ("year", datetime(2024, 1, 1)),
+    ],
+)
+def test_period_start(spark, grain, start):
+    got = values(
+        spark, "timestamp_ntz", [datetime(2024, 5, 16, 23, 59, 59)],
+        fn.period_start(F.col("x"), grain),
+    )
+    assert got == [start]
+
+
+def test_period_start_does_not_depend_on_the_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        got = values(
+            spark, "timestamp_ntz", [datetime(2018, 11, 4, 1)], fn.period_start(F.col("x"))
+        )
+        assert got == [datetime(2018, 11, 4)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -26,7 +26,7 @@ from riskframe.learning.models import (
     Spec,
 )
 from riskframe.learning.stages import FourierFeatures, SoftVote
-from riskframe.operators.joins import attach_lookup
+from riskframe.operators.joins import BROADCAST_ROWS, at_most, attach_lookup
 from riskframe.operators.metrics import class_weights
 from riskframe.operators.sampling import assign_folds
 from riskframe.session import materialize
@@ -73,7 +73,7 @@ def training_set(train: DataFrame, cols: Sequence[str] | None = None) -> Trainin
     assembler = VectorAssembler(inputCols=cols, outputCol=FEATURES, handleInvalid="error")
     folded = assign_folds(numeric(train, cols), LABEL, FOLDS, SEED)
     weights = class_weights(train, LABEL).select(LABEL, F.col("weight").alias(WEIGHT))
-    prepared = attach_lookup(folded, weights, LABEL)
+    prepared = attach_lookup(folded, weights, LABEL, at_most(weights, BROADCAST_ROWS))
     # One folder per fold, so that a fold's rows are found by partition pruning.
     stored = materialize(prepared, "training", partition_by=[FOLD])
     rows = assembler.transform(stored).withColumn(LABEL, F.col(LABEL).cast("double"))

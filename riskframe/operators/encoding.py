@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.ids import assign_ids
 from riskframe.operators.joins import BROADCAST_ROWS, at_most, attach_lookup
+from riskframe.session import materialize
 
 # Columns encoded for training, and in a decoded clinical table.
 TRAINING_CATEGORIES = (
@@ -26,26 +27,15 @@ def category_codes(
 ) -> DataFrame:
     """(feature, value, code): rank of each value in byte order, from 0.
 
-    All columns are listed in one scan. Few values are ranked in one window;
-    many are sorted in ranges and numbered by partition offsets.
+    All columns are listed in one scan and the distinct values are written out.
+    Few values are ranked in one window; many are sorted in ranges and numbered
+    by file offsets.
     """
-    values = (
-        df.select(
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(c).alias("feature"),
-                            F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value"),
-                        )
-                        for c in cols
-                    ]
-                )
-            ).alias("v")
-        )
-        .select("v.feature", "v.value")
-        .distinct()
-    )
+    entries = [
+        F.struct(F.lit(c).alias("feature"), _text(c).alias("value")) for c in cols
+    ]
+    listed = df.select(F.inline(F.array(*entries))).distinct()
+    values = materialize(listed, "categories")
     if at_most(values, max_rows):
         place = F.row_number().over(Window.partitionBy("feature").orderBy("value"))
         return values.withColumn("code", (place - 1).cast("long"))
@@ -60,17 +50,21 @@ def category_codes(
     )
 
 
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
+
+
 def apply_codes(
     df: DataFrame, codes: DataFrame, cols: Sequence[str], max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Replace each column by its code; a value without one becomes null."""
+    small = at_most(codes, max_rows)
     out = df
     for c in cols:
         lookup = codes.where(F.col("feature") == c).select(
             F.col("value").alias("_text"), F.col("code").alias("_code")
         )
-        texted = out.withColumn("_text", F.coalesce(F.col(c).cast("string"), F.lit(MISSING)))
-        joined = attach_lookup(texted, lookup, "_text", max_rows=max_rows)
+        joined = attach_lookup(out.withColumn("_text", _text(c)), lookup, "_text", small)
         out = joined.withColumn(c, F.col("_code")).select(*df.columns)
     return out
 
@@ -80,5 +74,7 @@ def encode_categoricals(
 ) -> tuple[DataFrame, DataFrame]:
     """The table with codes, and the codes. Names not in the table are skipped."""
     present = [c for c in cols if c in df.columns]
+    if not present:
+        raise ValueError(f"none of {cols} is in the table")
     codes = category_codes(df, present)
     return apply_codes(df, codes, present), codes

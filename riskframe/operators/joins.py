@@ -82,18 +82,16 @@ def attach_lookup(
     rows: DataFrame,
     lookup: DataFrame,
     key: str,
-    counted: DataFrame | None = None,
+    small: bool,
     spread_by: list[str] | None = None,
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Left join of per-key values, nulls matching nulls.
 
-    ``counted`` is a cheap table with at least as many rows as ``lookup``; its
-    size decides. Up to ``max_rows`` the lookup is broadcast. Beyond, every key
-    may still own a large share of ``rows``, so the rows are spread by
-    ``spread_by`` (all columns unless given) and the lookup is copied.
+    ``small`` is the outcome of a size check, see ``at_most``: then the lookup
+    is broadcast. If not, every key may still own a large share of ``rows``, so
+    the rows are spread by ``spread_by`` (all columns unless given) and the
+    lookup is copied to every part.
     """
-    small = at_most(lookup if counted is None else counted, max_rows)
     values = [name for name in lookup.columns if name != key]
     right = lookup.withColumnRenamed(key, "_lookup_key")
     same = F.col(key).eqNullSafe(F.col("_lookup_key"))

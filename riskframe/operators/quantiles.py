@@ -1,10 +1,10 @@
 """Exact quantiles of columns of any size.
 
 ``percentile`` and ``median`` keep every distinct value of a column in one
-task. Here each pass counts the values in a fixed number of buckets and keeps
-only the bucket that holds the wanted rank, until that bucket is one value.
-A range of at most ``buckets`` integers takes two passes, a trillion distinct
-doubles about five.
+task. That is fine for whole numbers in a limited range, which the first pass
+here recognises. For all others each further pass counts the values in a fixed
+number of buckets and keeps only the bucket that holds the wanted rank, until
+that bucket is one value: about five passes for a trillion distinct doubles.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+# Whole numbers spanning at most this range have few enough distinct values.
+WHOLE_RANGE = 100_000
 
 
 def _number(name: str) -> Column:
@@ -24,58 +26,81 @@ def _number(name: str) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], buckets: int = BUCKETS
+    df: DataFrame,
+    cols: Sequence[str],
+    probs: Sequence[float],
+    buckets: int = BUCKETS,
+    whole_range: int = WHOLE_RANGE,
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation; nulls and NaN are skipped.
 
-    Only bucket counts reach the driver: at most ``buckets`` per wanted rank.
+    ``df`` is read several times, so it should be a stored table.
     """
     measures = []
     for name in cols:
         x = _number(name)
-        measures += [
-            F.struct(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).alias(name)
-        ]
-    first = df.agg(*measures).first()
-
-    # (column, rank) -> [lowest value, highest value, rows below the lowest]
+        measures.append(
+            F.struct(
+                F.count(x).alias("n"),
+                F.min(x).alias("lo"),
+                F.max(x).alias("hi"),
+                F.coalesce(F.bool_and(F.rint(x) == x), F.lit(True)).alias("whole"),
+            ).alias(name)
+        )
+    facts = df.agg(*measures).first()
+    narrow = [
+        name
+        for name in cols
+        if facts[name].n and facts[name].whole and facts[name].hi - facts[name].lo <= whole_range
+    ]
+    out: dict[str, list[float | None]] = {name: [None] * len(probs) for name in cols}
+    if narrow:
+        wanted = F.array(*[F.lit(float(prob)) for prob in probs])
+        row = df.agg(*[F.percentile(_number(name), wanted).alias(name) for name in narrow]).first()
+        out.update(row.asDict())
+    wide = {name: facts[name] for name in cols if facts[name].n and name not in narrow}
+    if wide:
+        out.update(_by_narrowing(df, wide, probs, buckets))
+    return out
+
+
+def _by_narrowing(
+    df: DataFrame, facts: dict[str, Row], probs: Sequence[float], buckets: int
+) -> dict[str, list[float]]:
+    """Only bucket counts reach the driver: at most ``buckets`` per wanted rank."""
+    # (column, rank) -> (lowest value, highest value, rows below the lowest)
     spans: dict[tuple[str, int], tuple[float, float, int]] = {}
-    for name in cols:
-        n, lo, hi = first[name]
+    for name, fact in facts.items():
         for prob in probs:
-            if n:
-                position = prob * (n - 1)
-                spans[name, math.floor(position)] = (lo, hi, 0)
-                spans[name, math.ceil(position)] = (lo, hi, 0)
+            position = prob * (fact.n - 1)
+            for rank in (math.floor(position), math.ceil(position)):
+                spans[name, rank] = (fact.lo, fact.hi, 0)
 
     while open_spans := sorted(
         {(name, *span) for (name, _), span in spans.items() if span[0] < span[1]}
     ):
-        counts: dict[int, list] = {}
+        counts: dict[int, list[Row]] = {}
         for row in _bucket_counts(df, open_spans, buckets).collect():
-            counts.setdefault(row["span"], []).append(row)
+            counts.setdefault(row.span, []).append(row)
         index = {span: i for i, span in enumerate(open_spans)}
         for (name, rank), span in spans.items():
             if (name, *span) not in index:
                 continue
             below = span[2]
-            for row in sorted(counts[index[name, *span]], key=lambda r: r["bucket"]):
-                if below + row["n"] > rank:
-                    spans[name, rank] = (row["lo"], row["hi"], below)
+            for row in sorted(counts[index[name, *span]], key=lambda r: r.bucket):
+                if below + row.n > rank:
+                    spans[name, rank] = (row.lo, row.hi, below)
                     break
-                below += row["n"]
+                below += row.n
 
-    def interpolate(name: str, prob: float) -> float | None:
-        n = first[name]["n"]
-        if not n:
-            return None
-        position = prob * (n - 1)
+    def interpolate(name: str, prob: float) -> float:
+        position = prob * (facts[name].n - 1)
         low = spans[name, math.floor(position)][0]
         high = spans[name, math.ceil(position)][0]
         share = position - math.floor(position)
         return low if share == 0 else low * (1 - share) + high * share
 
-    return {name: [interpolate(name, prob) for prob in probs] for name in cols}
+    return {name: [interpolate(name, prob) for prob in probs] for name in facts}
 
 
 def _bucket_counts(df: DataFrame, open_spans: list, buckets: int) -> DataFrame:

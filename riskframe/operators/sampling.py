@@ -58,8 +58,8 @@ def stratified_parts(
         wanted.alias("_wanted"),
     )
     # Buckets are even, so this join stays balanced even without the broadcast.
-    classes = df.select(label).distinct()
-    if at_most(classes, BROADCAST_ROWS):
+    few_classes = at_most(df.select(label).distinct(), BROADCAST_ROWS)
+    if few_classes:
         cuts = F.broadcast(cuts)
     in_bucket = Window.partitionBy("_class", "_bucket", "_rank").orderBy("_at")
     cut_keys = (
@@ -82,7 +82,7 @@ def stratified_parts(
         df.withColumn("_at", at),
         cut_keys.withColumnRenamed("_class", label),
         label,
-        counted=classes,
+        few_classes,
         spread_by=[key],
     )
     passed = F.aggregate(

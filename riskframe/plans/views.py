@@ -30,8 +30,10 @@ from riskframe.functions.labels import (
     RISK_THRESHOLDS,
 )
 from riskframe.operators.joins import (
+    BROADCAST_ROWS,
     MAX_HOT_KEYS,
     ROWS_PER_SPLIT,
+    at_most,
     attach_lookup,
     join_on_unique_key,
 )
@@ -354,9 +356,8 @@ def risk_assessment(
     """
     own = patients.withColumnRenamed("risk_score", "rule_risk_score")
     means = mean_score_by_age_group(patients, predictions)
-    rated = attach_lookup(
-        own, means, "age_group", counted=patients.select("age_group").distinct(), spread_by=["id"]
-    )
+    few_groups = at_most(patients.select("age_group").distinct(), BROADCAST_ROWS)
+    rated = attach_lookup(own, means, "age_group", few_groups, spread_by=["id"])
     joined = join_on_unique_key(
         _score_side(predictions, "id").withColumnRenamed("id", "_prediction_id"),
         rated,

@@ -32,9 +32,10 @@ def test_exact_quantiles_match_numpy(spark, buckets):
     df = spark.createDataFrame(
         [(float(a), int(b)) for a, b in zip(free, whole)], "a double, b int"
     ).repartition(5)
-    got = quantiles.exact_quantiles(df, ["a", "b"], QUARTILES, buckets)
-    assert got["a"] == pytest.approx(np.quantile(free, QUARTILES).tolist(), rel=1e-14)
-    assert got["b"] == np.quantile(whole, QUARTILES).tolist()
+    for whole_range in (100_000, 0):
+        got = quantiles.exact_quantiles(df, ["a", "b"], QUARTILES, buckets, whole_range)
+        assert got["a"] == pytest.approx(np.quantile(free, QUARTILES).tolist(), rel=1e-14)
+        assert got["b"] == np.quantile(whole, QUARTILES).tolist()
 
 
 def test_quantiles_skip_null_and_nan(spark):
@@ -189,13 +190,17 @@ def test_split_join_spreads_a_hot_key(spark, patients, predictions):
     assert parts.distinct().count() >= 4
 
 
-@pytest.mark.parametrize("max_rows", [100, 2])
-def test_lookup_keeps_rows_and_matches_nulls(spark, patients, max_rows):
+def test_size_check(spark):
+    assert joins.at_most(spark.range(5), 5) and not joins.at_most(spark.range(6), 5)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_lookup_keeps_rows_and_matches_nulls(spark, patients, small):
     lookup = spark.createDataFrame(
         [("<30", 1), ("40-50", 2), (None, 3)], "age_group string, v int"
     )
     out = joins.attach_lookup(
-        patients.select("id", "age_group"), lookup, "age_group", spread_by=["id"], max_rows=max_rows
+        patients.select("id", "age_group"), lookup, "age_group", small, spread_by=["id"]
     )
     assert table(out.select("id", "v")) == [
         (1, 1), (2, 2), (3, None), (4, None), (5, 3), (6, 2), (7, None), (8, None),
@@ -204,7 +209,7 @@ def test_lookup_keeps_rows_and_matches_nulls(spark, patients, max_rows):
 
 def test_large_lookup_is_not_broadcast(spark, patients):
     lookup = patients.select("age_group").distinct().withColumn("v", F.lit(1))
-    out = joins.attach_lookup(patients.select("id", "age_group"), lookup, "age_group", max_rows=2)
+    out = joins.attach_lookup(patients.select("id", "age_group"), lookup, "age_group", small=False)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "ResolvedHint" not in plan and "broadcast" not in plan.lower()
 

@@ -78,3 +78,8 @@ def encode_categoricals(
         raise ValueError(f"none of {cols} is in the table")
     codes = category_codes(df, present)
     return apply_codes(df, codes, present), codes
+
+
+def encode_clinical(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Encode the decoded clinical table; the target stays as it is."""
+    return encode_categoricals(df, CLINICAL_CATEGORIES)

@@ -10,7 +10,7 @@ BROADCAST_ROWS = 100_000
 # At most this many keys can be hot, since each must own 1/MAX_HOT_KEYS of the rows.
 MAX_HOT_KEYS = 10_000
 # Rows of one hot key that a single task should join.
-ROWS_PER_SPLIT = 2_000_000
+ROWS_PER_SPLIT = 1_000_000
 # Copies of a lookup that is too large to broadcast.
 LOOKUP_COPIES = 64
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from riskframe.functions import quantile_label
+
 BUCKETS = 4096
 # Whole numbers spanning at most this range have few enough distinct values.
 WHOLE_RANGE = 100_000
@@ -64,6 +66,16 @@ def exact_quantiles(
     return out
 
 
+def quantile_bins(
+    df: DataFrame, col: str, name: str, labels: Sequence[str], on_duplicate_edges: str = "collapse"
+) -> DataFrame:
+    """Add a label column that cuts ``col`` into equally filled, right-closed bins."""
+    probs = [i / len(labels) for i in range(len(labels) + 1)]
+    edges = exact_quantiles(df, [col], probs)[col]
+    column = F.array(*[F.lit(edge).cast("double") for edge in edges])
+    return df.withColumn(name, quantile_label(F.col(col), column, labels, on_duplicate_edges))
+
+
 def _by_narrowing(
     df: DataFrame, facts: dict[str, Row], probs: Sequence[float], buckets: int
 ) -> dict[str, list[float]]:

@@ -7,8 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.operators.joins import at_most
 from riskframe.sources.schemas import PATIENTS, PREDICTIONS, RAW, RAW_COLUMNS, conform
 
+SMALL_FILE_ROWS = 100_000
+
 
 def load_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw CSV with a header, under the canonical column names.
@@ -42,7 +45,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_small_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for tables of at most a few thousand rows."""
+    """One CSV file with a header. Refuses a table too large for one task."""
+    if not at_most(df, SMALL_FILE_ROWS):
+        raise ValueError(f"more than {SMALL_FILE_ROWS} rows; write the table as Parquet")
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -51,6 +51,14 @@ def test_quantiles_of_extreme_values(spark):
     assert got["a"] == [-top, 0.0, 5e-324, 1e-323, top]
 
 
+def test_quantile_bins(spark):
+    df = spark.createDataFrame([(x / 7,) for x in range(1, 9)] + [(None,)], "x double")
+    out = quantiles.quantile_bins(df, "x", "level", ("L", "M", "H", "V"))
+    assert [r.level for r in out.orderBy(F.col("x").asc_nulls_last()).collect()] == [
+        *"LLMMHHVV", None,
+    ]
+
+
 # --- cleaning ------------------------------------------------------------
 
 RAW = "age int, sex int, trestbps int, chol int, thalach int, target int"

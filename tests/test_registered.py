@@ -39,6 +39,20 @@ def test_query_matches_sql(spark, duck, name):
     result = duck.sql(entry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(result.columns)
     assert canonical(df.collect(), df.columns) == canonical(result.fetchall(), result.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_columns_and_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+
+    def plan(name):
+        df = entry.queries()[name](spark, SF_DIR)
+        return df._jdf.queryExecution().toString()
+
+    assert "ReadSchema: struct<user_id:bigint,value:double>" in plan("demographic_risk")
+    filtered = plan("dash_filtered")
+    assert "GreaterThanOrEqual(ts," in filtered and "In(event_type, [click,view])" in filtered
 
 
 def test_every_sql_belongs_to_a_query():

@@ -64,12 +64,15 @@ def test_predictions_are_appended(spark, predictions, tmp_path):
     assert "PartitionFilters: [isnotnull(model_name" in plan
 
 
-def test_small_csv(spark, tmp_path):
+def test_small_csv(spark, tmp_path, monkeypatch):
     path = tmp_path / "importance"
     files.write_small_csv(spark.createDataFrame([("x", 0.5)], "feature string, importance double"), str(path))
     written = list(path.glob("part-*.csv"))
     assert len(written) == 1
     assert written[0].read_text() == "feature,importance\nx,0.5\n"
+    monkeypatch.setattr(files, "SMALL_FILE_ROWS", 3)
+    with pytest.raises(ValueError):
+        files.write_small_csv(spark.range(4), str(path))
 
 
 def test_metrics_and_codes_round_trip(spark, tmp_path):

@@ -44,22 +44,23 @@ pa0 as (
               then 1 else 0 end as target,
          c_mktsegment as cp_type,
          case when c_custkey % 7 = 0 then 'Yes' else 'No' end as fbs,
-         cast(null as varchar) as restecg_type,
+         case c_custkey % 3 when 0 then 'normal' when 1 then 'abnormal' end as restecg_type,
          case when c_nationkey % 3 = 0 then 'Yes' else 'No' end as exang,
-         cast(null as double) as oldpeak_normalized,
-         cast(null as varchar) as slope_type,
+         cast(floor(abs(c_acctbal)) as bigint) % 63 as oldpeak,
+         case when c_nationkey % 2 = 0 then 'up' else 'flat' end as slope_type,
          cast(c_custkey % 4 as int) as ca_count,
-         cast(null as varchar) as thal_type
+         case c_custkey % 5 when 0 then 'fixed' when 1 then 'reversible' end as thal_type
   from customer
 ), extremes as (
   select min(trestbps) as bp0, max(trestbps) as bp1, min(chol) as ch0, max(chol) as ch1,
-         min(thalach) as hr0, max(thalach) as hr1
+         min(thalach) as hr0, max(thalach) as hr1, min(oldpeak) as op0, max(oldpeak) as op1
   from pa0
 ), pa as (
-  select pa0.*, {_age_group("age")} as age_group,
+  select pa0.* exclude (oldpeak), {_age_group("age")} as age_group,
          cast(trestbps - bp0 as double) / nullif(bp1 - bp0, 0) as trestbps_normalized,
          cast(chol - ch0 as double) / nullif(ch1 - ch0, 0) as chol_normalized,
-         cast(thalach - hr0 as double) / nullif(hr1 - hr0, 0) as thalach_normalized
+         cast(thalach - hr0 as double) / nullif(hr1 - hr0, 0) as thalach_normalized,
+         cast(oldpeak - op0 as double) / nullif(op1 - op0, 0) as oldpeak_normalized
   from pa0, extremes
 )"""
 
@@ -98,6 +99,9 @@ j as (
 ATTRIBUTES = """age_group, sex, cp_type, trestbps_normalized, chol_normalized, fbs,
   restecg_type, thalach_normalized, exang, oldpeak_normalized, slope_type, ca_count, thal_type"""
 
+CLINICAL = ("age_group", "sex", "cp_type", "fbs", "restecg_type", "exang", "slope_type",
+            "thal_type")
+
 FACTORS = """case
     when age > 50 and age <= 100 and probability > 0.6 then 'High Risk Age Group'
     when exang = 'Yes' and probability > 0.6 then 'High Risk with Exercise Angina'
@@ -166,7 +170,7 @@ from sc, qs""")
 
 
 def _rank_code(column: str) -> str:
-    text = f"coalesce({column}, 'None')"
+    text = f"coalesce(cast({column} as varchar), 'None')"
     return f"dense_rank() over (order by {text}) - 1 as {column}"
 
 
@@ -253,6 +257,25 @@ from fi"""),
 select *, rank() over (partition by model_name order by importance desc) as rank from fi
 order by importance desc, model_name, feature_name limit 10"""),
     "model_training_data": _with(PATIENTS, f"select {ATTRIBUTES}, target from pa"),
+    "registered_views": _with(f"{JOINED}, {METRICS}", """
+select 'model_training_data' as view, count(*) as n from pa
+union all select 'model_performance', count(distinct model_name) from pr
+union all select 'feature_importance', count(*) from fi
+union all select 'patient_risk_analysis', count(*) from j
+union all select 'risk_score_distribution', count(distinct (model_name, risk_category)) from j
+union all select 'model_comparison', (
+  select count(*) from (
+    select distinct a.patient_id, a.model_name, b.model_name, a.prediction, b.prediction
+    from pr a join pr b on a.patient_id = b.patient_id and a.model_name < b.model_name))
+union all select 'patient_demographics', count(distinct (age_group, sex)) from pa
+union all select 'feature_correlations', 2
+union all select 'tableau_model_trends',
+  count(distinct (date_trunc('day', created_at), model_name)) from j
+union all select 'tableau_patient_profiles', count(*) from j
+union all select 'tableau_demographic_risk', count(distinct (age_group, sex)) from j
+union all select 'tableau_prediction_confidence',
+  count(distinct (model_name, confidence_level)) from j
+union all select 'tableau_risk_assessment', count(*) from j"""),
     "dash_accuracy_by_model": _with(JOINED, """
 select model_name, cast(count(*) as bigint) as total_predictions,
        round(avg(hit::int), 6) as accuracy
@@ -290,6 +313,13 @@ select age, {_age_group("age")} as age_group, count(*) as n from ms group by 1,
   select quantile_cont(risk_score, [0.25, 0.5, 0.75]) as q from sc
 )""", f"""
 select risk_score, {LEVEL} as risk_level, count(*) as n from sc, qs group by 1, 2"""),
+    "probability_quartiles": _with(f"""{PREDICTIONS}, qs as (
+  select quantile_cont(probability, [0.25, 0.5, 0.75]) as q from pr
+)""", """
+select id, probability,
+       case when probability <= q[1] then 'Q1' when probability <= q[2] then 'Q2'
+            when probability <= q[3] then 'Q3' else 'Q4' end as quartile
+from pr, qs"""),
     "minmax_normalize": _with(MEASURES, """
 select ms.*, (trestbps - bp0)::double / nullif(bp1 - bp0, 0) as trestbps_normalized,
        (chol - ch0)::double / nullif(ch1 - ch0, 0) as chol_normalized,
@@ -318,6 +348,8 @@ group by patient_id"""),
 select id, {_rank_code("age_group")}, {_rank_code("cp_type")}, {_rank_code("fbs")},
        {_rank_code("thal_type")}
 from pa"""),
+    "clinical_encode": _with(PATIENTS, f"""
+select id, {", ".join(_rank_code(c) for c in CLINICAL)}, ca_count, target from pa"""),
     "class_weights": _with(PATIENTS, """
 select target, count(*) as n,
        round((select count(*) from pa) / ((select count(distinct target) from pa) * count(*)), 6)

@@ -15,7 +15,11 @@ from riskframe.operators.cleaning import (
     drop_duplicate_rows,
     min_max_normalize,
 )
-from riskframe.operators.encoding import encode_categoricals
+from riskframe.operators.encoding import (
+    CLINICAL_CATEGORIES,
+    encode_categoricals,
+    encode_clinical,
+)
 from riskframe.operators.features import AGE_EDGES, AGE_LABELS, engineer_features
 from riskframe.operators.ids import assign_ids
 from riskframe.operators.metrics import (
@@ -24,8 +28,10 @@ from riskframe.operators.metrics import (
     confusion_matrix,
 )
 from riskframe.operators.quality import orphan_predictions
+from riskframe.operators.quantiles import quantile_bins
 from riskframe.operators.sampling import assign_folds, stratified_parts
 from riskframe.plans import dashboard, views
+from riskframe.plans.catalog import register_views
 from riskframe.session import scratch_path
 from riskframe.sources import files
 from riskframe.sources.schemas import RAW_COLUMNS
@@ -134,6 +140,31 @@ def label_encode(df: DataFrame) -> DataFrame:
     return encoded.select("id", "age_group", "cp_type", "fbs", "thal_type")
 
 
+def clinical_encode(df: DataFrame) -> DataFrame:
+    """Codes of the clinical categories beside the columns that stay."""
+    encoded, _ = encode_clinical(df)
+    return encoded.select("id", *CLINICAL_CATEGORIES, "ca_count", "target")
+
+
+def probability_quartiles(df: DataFrame) -> DataFrame:
+    """Quartile label of every prediction's probability, a free double."""
+    return quantile_bins(
+        df.select("id", "probability"), "probability", "quartile", ("Q1", "Q2", "Q3", "Q4")
+    )
+
+
+def registered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each named view, asked for in SQL."""
+    names = register_views(
+        spark,
+        tables.patients(spark, sf_dir),
+        tables.predictions(spark, sf_dir),
+        tables.model_metrics(spark, sf_dir),
+    )
+    counts = [f"select '{name}' as view, count(*) as n from {name}" for name in names]
+    return spark.sql(" union all ".join(counts))
+
+
 def split(df: DataFrame) -> DataFrame:
     return stratified_parts(df, "target", "id", [0.2], 42).select(
         "id", "target", (F.col("part") == 0).alias("in_test")
@@ -214,6 +245,7 @@ QUERIES: dict[str, Query] = {
     "feature_correlations": on(tables.patients, views.feature_correlations, "correlation"),
     "feature_importance_json": on(tables.model_metrics, views.feature_importance),
     "model_training_data": training_data,
+    "registered_views": registered_views,
     # dashboard
     "dash_accuracy_by_model": on_both(dashboard.accuracy_by_model, "accuracy"),
     "dash_correct_by_category": on_both(dashboard.correctness_by_category),
@@ -235,6 +267,7 @@ QUERIES: dict[str, Query] = {
     ),
     "age_binning": on(tables.raw_measures, age_binning),
     "risk_level_quartiles": on(tables.raw_measures, risk_levels),
+    "probability_quartiles": on(tables.predictions, probability_quartiles),
     "minmax_normalize": on(tables.raw_measures, normalized),
     "code_decode": decoded,
     "surrogate_ids": on(tables.raw_measures, surrogate_ids),
@@ -243,6 +276,7 @@ QUERIES: dict[str, Query] = {
     "orphan_predictions": orphans,
     # learning inputs and metrics
     "label_encode": on(tables.patients, label_encode),
+    "clinical_encode": on(tables.patients, clinical_encode),
     "class_weights": on(tables.patients, class_weights, "weight"),
     "stratified_split": on(tables.patients, split),
     "stratified_folds": on(tables.patients, folds),

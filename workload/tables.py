@@ -51,16 +51,16 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((balance + nation) % 5 < 3).cast("int").alias("target"),
         F.col("c_mktsegment").alias("cp_type"),
         F.when(key % 7 == 0, "Yes").otherwise("No").alias("fbs"),
-        F.lit(None).cast("string").alias("restecg_type"),
+        F.when(key % 3 == 0, "normal").when(key % 3 == 1, "abnormal").alias("restecg_type"),
         F.when(nation % 3 == 0, "Yes").otherwise("No").alias("exang"),
-        F.lit(None).cast("double").alias("oldpeak_normalized"),
-        F.lit(None).cast("string").alias("slope_type"),
+        (balance % 63).cast("int").alias("oldpeak"),
+        F.when(nation % 2 == 0, "up").otherwise("flat").alias("slope_type"),
         (key % 4).cast("int").alias("ca_count"),
-        F.lit(None).cast("string").alias("thal_type"),
-    )
-    return min_max_normalize(
-        base.withColumn("age_group", cut(F.col("age"), AGE_EDGES, AGE_LABELS)), NORMALIZED
+        F.when(key % 5 == 0, "fixed").when(key % 5 == 1, "reversible").alias("thal_type"),
     )
+    grouped = base.withColumn("age_group", cut(F.col("age"), AGE_EDGES, AGE_LABELS))
+    scaled = min_max_normalize(grouped, {**NORMALIZED, "oldpeak": "oldpeak_normalized"})
+    return scaled.drop("oldpeak")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,11 @@ def score(
     run_ts: datetime | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Predictions in the canonical columns. The row's ``id`` is the patient."""
+    """Predictions in the canonical columns; ``df.id`` is the patient.
+
+    A prediction's own id is a hash of patient, model and run, so that it is
+    the same when a task is repeated.
+    """
     scored = model.transform(df).select(
         F.col("id").alias("patient_id"),
         F.col("prediction").cast("int").alias("prediction"),
@@ -102,7 +106,7 @@ def score(
         *keep,
     )
     number = F.xxhash64("patient_id", "model_name", "created_at")
-    return scored.select(number.alias("id"), *[c for c in scored.columns])
+    return scored.select(number.alias("id"), *scored.columns)
 
 
 def score_all(trained: Trained, run_ts: datetime | None = None) -> DataFrame:

@@ -45,8 +45,10 @@ def clean(
     columns do not repeat the shuffle.
     """
     cols = [c for c in IMPUTED if c in df.columns] if impute_cols is None else list(impute_cols)
-    distinct = materialize(drop_duplicate_rows(df), "distinct")
-    return impute_medians(distinct, cols, approx) if cols else distinct
+    distinct = drop_duplicate_rows(df)
+    if not cols:
+        return distinct
+    return impute_medians(materialize(distinct, "distinct"), cols, approx)
 
 
 def min_max_normalize(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from riskframe.functions import correctness, risk_category, risk_factors
 from riskframe.functions.labels import OLDER_GROUPS, RISK_FACTOR_CUTOFF, RISK_THRESHOLDS
 from riskframe.plans.views import (
-    demographic_risk,
     feature_importance,
     mean_score,
-    model_trends,
     patient_profiles,
     scores_per_patient,
+    share_of_rows,
+    sum_where,
     total,
     with_patients,
 )
@@ -33,14 +33,14 @@ def _category(thresholds: Sequence[float]) -> Column:
 
 
 def accuracy_by_model(patients: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Daily accuracies weighted by their counts, not averaged."""
-    hits = F.col("accuracy") * F.col("total_predictions")
+    """Accuracy over all predictions, that is daily accuracies weighted by count."""
+    sums = scores_per_patient(predictions, "model_name", "prediction")
     return (
-        model_trends(patients, predictions)
+        with_patients(sums, patients, "target")
         .groupBy("model_name")
         .agg(
-            F.sum("total_predictions").alias("total_predictions"),
-            (F.sum(hits) / F.sum("total_predictions")).alias("accuracy"),
+            total().alias("total_predictions"),
+            share_of_rows(F.col("prediction") == F.col("target")).alias("accuracy"),
         )
     )
 
@@ -58,14 +58,14 @@ def correctness_by_category(
 
 
 def age_distribution(patients: DataFrame, predictions: DataFrame) -> DataFrame:
-    cases, rows = F.sum("heart_disease_cases"), F.sum("total_patients")
+    case = F.col("target") == 1
     return (
-        demographic_risk(patients, predictions)
+        with_patients(scores_per_patient(predictions), patients, "age_group", "target")
         .groupBy("age_group")
         .agg(
-            rows.alias("total_patients"),
-            cases.alias("heart_disease_cases"),
-            (cases / rows).alias("heart_disease_rate"),
+            total().alias("total_patients"),
+            sum_where(case).alias("heart_disease_cases"),
+            share_of_rows(case).alias("heart_disease_rate"),
         )
     )
 

@@ -24,7 +24,7 @@ RAW = T.StructType(
     ]
 )
 
-# Uncleaned clinical attributes under their coded names.
+# Uncleaned clinical attributes under their coded names.
 RAW_CLINICAL = T.StructType(
     [T.StructField("id", T.LongType())]
     + [
@@ -37,7 +37,7 @@ RAW_CLINICAL = T.StructType(
     + [T.StructField("created_at", T.TimestampNTZType())]
 )
 
-# Columns of the feature step in the order in which they are stored.
+# Columns of the feature step in the order in which they are stored.
 FEATURE_TYPES = {
     **dict.fromkeys(("age", "sex", "trestbps", "chol", "thalach", "target"), T.IntegerType()),
     "age_group": T.StringType(),
@@ -59,7 +59,7 @@ FEATURE_TYPES = {
     "health_score": T.IntegerType(),
 }
 
-# Decoded and normalized clinical attributes.
+# Decoded and normalized clinical attributes.
 CLINICAL_TYPES = {
     "cp_type": T.StringType(),
     "trestbps_normalized": T.DoubleType(),

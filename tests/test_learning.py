@@ -40,7 +40,8 @@ def people(spark):
     draw = np.random.default_rng(3)
     rows = []
     for i in range(240):
-        age, bp, chol, hr = (int(draw.integers(*r)) for r in ((30, 80), (90, 180), (150, 300), (60, 120)))
+        ranges = ((30, 80), (90, 180), (150, 300), (60, 120))
+        age, bp, chol, hr = (int(draw.integers(*r)) for r in ranges)
         target = int(chol + draw.normal(scale=15) < 235)
         rows.append((i, age, i % 2, bp, chol, hr, target))
     names = "id long, age int, sex int, trestbps int, chol int, thalach int, target int"

@@ -17,7 +17,8 @@ HEADER = "Age,Gender,BloodPressure,Cholesterol,HeartRate,QuantumPatternFeature,H
 
 
 def test_load_raw(spark, tmp_path):
-    path = write(tmp_path / "raw.csv", f"{HEADER}\r\n68,1,105,191,107,8.36,1\r\n58,0,,249,89,,0\r\n")
+    lines = f"{HEADER}\r\n68,1,105,191,107,8.36,1\r\n58,0,,249,89,,0\r\n"
+    path = write(tmp_path / "raw.csv", lines)
     df = files.load_raw(spark, path)
     assert df.columns == [
         "age", "sex", "trestbps", "chol", "thalach", "quantum_pattern_raw", "target",
@@ -66,7 +67,8 @@ def test_predictions_are_appended(spark, predictions, tmp_path):
 
 def test_small_csv(spark, tmp_path, monkeypatch):
     path = tmp_path / "importance"
-    files.write_small_csv(spark.createDataFrame([("x", 0.5)], "feature string, importance double"), str(path))
+    df = spark.createDataFrame([("x", 0.5)], "feature string, importance double")
+    files.write_small_csv(df, str(path))
     written = list(path.glob("part-*.csv"))
     assert len(written) == 1
     assert written[0].read_text() == "feature,importance\nx,0.5\n"
@@ -94,7 +96,9 @@ def test_jdbc_options(monkeypatch):
     with pytest.raises(ValueError):
         jdbc.jdbc_options("t")
     monkeypatch.setenv("DATABASE_URL", "postgresql://host/db")
-    options = jdbc.jdbc_options("t", partition_column="id", bounds=(1, 100), partitions=8, fetchsize="9")
+    options = jdbc.jdbc_options(
+        "t", partition_column="id", bounds=(1, 100), partitions=8, fetchsize="9"
+    )
     assert options == {
         "url": "jdbc:postgresql://host/db", "dbtable": "t", "fetchsize": "9",
         "partitionColumn": "id", "lowerBound": "1", "upperBound": "100", "numPartitions": "8",

@@ -86,6 +86,12 @@ def test_risk_assessment(patients, predictions, joined, split):
     assert near(table(got.select(*cols))) == near(expected)
 
 
+def test_risk_assessment_with_many_age_groups(patients, predictions, monkeypatch):
+    expected = table(views.risk_assessment(patients, predictions))
+    monkeypatch.setattr(views, "BROADCAST_ROWS", 2)
+    assert table(views.risk_assessment(patients, predictions)) == expected
+
+
 def test_group_without_any_score(spark, patients, predictions):
     only_zero = predictions.where("patient_id = 1").withColumn("probability", F.lit(0.0))
     got = views.risk_assessment(patients, only_zero)
@@ -115,7 +121,8 @@ def test_patient_profiles(patients, predictions, joined, split):
 
 def test_model_performance(predictions, prediction_rows):
     expected = []
-    for (model,), rows in grouped([dict(p=r[3], y=r[2], m=r[4]) for r in prediction_rows], "m").items():
+    plain = [dict(p=r[3], y=r[2], m=r[4]) for r in prediction_rows]
+    for (model,), rows in grouped(plain, "m").items():
         scores = [r["p"] for r in rows if r["p"] is not None]
         expected.append(
             (model, len(rows), sum(r["y"] == 1 for r in rows), sum(r["y"] == 0 for r in rows),
@@ -225,7 +232,7 @@ def test_correlations_are_sorted_by_strength(spark):
 
 def test_feature_importance(spark):
     one = '[{"name":"x","importance":0.5},{"name":"y","importance":0.2},{"name":"z"}]'
-    tied = '[{"name":"x","importance":0.1},{"name":"y","importance":0.1},{"name":"w","importance":0}]'
+    tied = one.replace("0.5", "0.1").replace("0.2", "0.1").replace('"z"', '"w","importance":0')
     df = spark.createDataFrame(
         [("m", one), ("m", one), ("n", tied), ("o", None)], "model_name string, metrics string"
     )
@@ -242,14 +249,16 @@ def test_feature_importance(spark):
 
 def test_dashboard_counts(patients, predictions, joined):
     both = patients, predictions
-    assert near(table(dashboard.correctness_by_category(*both))) == counts(joined, correct, category)
+    by_category = table(dashboard.correctness_by_category(*both))
+    assert near(by_category) == counts(joined, correct, category)
     assert near(table(dashboard.sex_by_category(*both))) == counts(joined, "sex", category)
     assert near(table(dashboard.risk_factor_counts(*both))) == counts(joined, factors)
 
 
 def test_accuracy_by_model(patients, predictions, joined):
     expected = [
-        (*k, len(v), mean(int(hit(r)) for r in v)) for k, v in grouped(joined, "model_name").items()
+        (*k, len(v), mean(int(hit(r)) for r in v))
+        for k, v in grouped(joined, "model_name").items()
     ]
     assert near(table(dashboard.accuracy_by_model(patients, predictions))) == near(expected)
 
@@ -264,7 +273,8 @@ def test_age_distribution(patients, predictions, joined):
 
 def test_score_by_category(patients, predictions, joined):
     expected = [
-        (*k, len(v), mean(r["probability"] for r in v)) for k, v in grouped(joined, category).items()
+        (*k, len(v), mean(r["probability"] for r in v))
+        for k, v in grouped(joined, category).items()
     ]
     assert near(table(dashboard.score_by_category(patients, predictions))) == near(expected)
 

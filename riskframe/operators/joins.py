@@ -11,8 +11,6 @@ BROADCAST_ROWS = 100_000
 MAX_HOT_KEYS = 10_000
 # Rows of one hot key that a single task should join.
 ROWS_PER_SPLIT = 1_000_000
-# Copies of a lookup that is too large to broadcast.
-LOOKUP_COPIES = 64
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -31,7 +29,7 @@ def hot_keys(
     A key must exceed ``1/max_hot`` of all rows to be listed, so there are
     fewer than ``max_hot`` of them whatever the data.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     return counts.where(
         (F.col("_n") > rows_per_split) & (F.col("_n") * max_hot > total)
@@ -45,30 +43,38 @@ def join_on_unique_key(
     entity_key: str,
     rows_per_split: int = ROWS_PER_SPLIT,
     max_hot: int = MAX_HOT_KEYS,
+    how: str = "inner",
+    nulls_match: bool = False,
 ) -> DataFrame:
-    """Inner join of ``rows`` with the one row per key of ``entities``.
+    """Join of ``rows`` with the one row per key of ``entities``.
 
     Rows of a hot key are spread over several parts by their hash, and only
     the hot entities are copied to as many parts. Everything else meets in one
     ordinary shuffled join (or a broadcast one, if AQE finds a side small).
+    Rows need a column, such as an id, in which those of one key differ.
     """
-    hot = F.broadcast(hot_keys(rows, rows_key, rows_per_split, max_hot))
-    spread = rows.join(hot, F.col(rows_key) == F.col("_hot_key"), "left").select(
+
+    def same(left: str, right: str) -> Column:
+        if nulls_match:
+            return F.col(left).eqNullSafe(F.col(right))
+        return F.col(left) == F.col(right)
+
+    matched = rows if nulls_match else rows.where(F.col(rows_key).isNotNull())
+    hot = F.broadcast(hot_keys(matched, rows_key, rows_per_split, max_hot))
+    spread = rows.join(hot, same(rows_key, "_hot_key"), "left").select(
         *rows.columns,
         F.when(F.col("_splits").isNull(), F.lit(0).cast("long"))
         .otherwise(F.pmod(row_hash(rows), F.col("_splits")))
         .alias("_part"),
     )
-    copied = entities.join(hot, F.col(entity_key) == F.col("_hot_key"), "left").select(
+    copied = entities.join(hot, same(entity_key, "_hot_key"), "left").select(
         *entities.columns,
         F.explode(
             F.sequence(F.lit(0).cast("long"), F.coalesce("_splits", F.lit(1)) - 1)
         ).alias("_copy"),
     )
     joined = spread.join(
-        copied,
-        (F.col(rows_key) == F.col(entity_key)) & (F.col("_part") == F.col("_copy")),
-        "inner",
+        copied, same(rows_key, entity_key) & (F.col("_part") == F.col("_copy")), how
     )
     return joined.drop("_part", "_copy")
 
@@ -83,25 +89,21 @@ def attach_lookup(
     lookup: DataFrame,
     key: str,
     small: bool,
-    spread_by: list[str] | None = None,
+    rows_per_split: int = ROWS_PER_SPLIT,
+    max_hot: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Left join of per-key values, nulls matching nulls.
 
     ``small`` is the outcome of a size check, see ``at_most``: then the lookup
-    is broadcast. If not, every key may still own a large share of ``rows``, so
-    the rows are spread by ``spread_by`` (all columns unless given) and the
-    lookup is copied to every part.
+    is broadcast. If not, the join splits hot keys.
     """
     values = [name for name in lookup.columns if name != key]
     right = lookup.withColumnRenamed(key, "_lookup_key")
-    same = F.col(key).eqNullSafe(F.col("_lookup_key"))
     if small:
-        return rows.join(F.broadcast(right), same, "left").select(*rows.columns, *values)
-    salt = F.xxhash64(*spread_by) if spread_by else row_hash(rows)
-    left = rows.withColumn("_part", F.pmod(salt, F.lit(LOOKUP_COPIES)))
-    right = right.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOOKUP_COPIES - 1).cast("long")))
-    )
-    return left.join(right, same & (F.col("_part") == F.col("_copy")), "left").select(
-        *rows.columns, *values
-    )
+        same = F.col(key).eqNullSafe(F.col("_lookup_key"))
+        joined = rows.join(F.broadcast(right), same, "left")
+    else:
+        joined = join_on_unique_key(
+            rows, right, key, "_lookup_key", rows_per_split, max_hot, "left", nulls_match=True
+        )
+    return joined.select(*rows.columns, *values)

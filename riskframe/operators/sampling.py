@@ -83,7 +83,6 @@ def stratified_parts(
         cut_keys.withColumnRenamed("_class", label),
         label,
         few_classes,
-        spread_by=[key],
     )
     passed = F.aggregate(
         F.coalesce("_cuts", F.array().cast(cut_keys.schema["_cuts"].dataType)),

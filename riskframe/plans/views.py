@@ -357,7 +357,7 @@ def risk_assessment(
     own = patients.withColumnRenamed("risk_score", "rule_risk_score")
     means = mean_score_by_age_group(patients, predictions)
     few_groups = at_most(patients.select("age_group").distinct(), BROADCAST_ROWS)
-    rated = attach_lookup(own, means, "age_group", few_groups, spread_by=["id"])
+    rated = attach_lookup(own, means, "age_group", few_groups)
     joined = join_on_unique_key(
         _score_side(predictions, "id").withColumnRenamed("id", "_prediction_id"),
         rated,

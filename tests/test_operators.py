@@ -178,6 +178,19 @@ def test_hot_keys_are_few_by_construction(spark):
     assert table(joins.hot_keys(rows, "k", rows_per_split=50, max_hot=2)) == []
 
 
+def test_large_lookup_with_hot_and_null_keys(spark):
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id"))
+    rows = spark.range(300).withColumn("k", key)
+    lookup = spark.createDataFrame([(7, "seven"), (None, "none"), (10, "ten")], "k long, v string")
+    assert table(joins.hot_keys(rows, "k", 30, 100)) == [(7, 4), (None, 4)]
+    got = joins.attach_lookup(rows, lookup, "k", False, rows_per_split=30, max_hot=100)
+    plain = joins.attach_lookup(rows, lookup, "k", True)
+    assert got.columns == plain.columns and table(got) == table(plain)
+    # Row 7 has the key 7 as well.
+    counts = dict(table(got.groupBy("v").count()))
+    assert counts == {"seven": 101, "none": 100, "ten": 1, None: 98}
+
+
 @pytest.mark.parametrize("rows_per_split", [1, 7, 10_000])
 def test_split_join_equals_plain_join(spark, patients, predictions, rows_per_split):
     right = patients.select(F.col("id").alias("pid"), "age_group")
@@ -190,8 +203,7 @@ def test_split_join_equals_plain_join(spark, patients, predictions, rows_per_spl
 
 
 def test_split_join_spreads_a_hot_key(spark, patients, predictions):
-    hot = joins.hot_keys(predictions, "patient_id", 10, 100).first()
-    assert (hot["_hot_key"], hot["_splits"]) == (3, 6)
+    assert table(joins.hot_keys(predictions, "patient_id", 10, 100)) == [(3, 6)]
     parts = predictions.where("patient_id = 3").select(
         F.pmod(joins.row_hash(predictions), F.lit(6)).alias("part")
     )
@@ -202,13 +214,13 @@ def test_size_check(spark):
     assert joins.at_most(spark.range(5), 5) and not joins.at_most(spark.range(6), 5)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_lookup_keeps_rows_and_matches_nulls(spark, patients, small):
+@pytest.mark.parametrize("small, rows_per_split", [(True, 1), (False, 1), (False, 1000)])
+def test_lookup_keeps_rows_and_matches_nulls(spark, patients, small, rows_per_split):
     lookup = spark.createDataFrame(
         [("<30", 1), ("40-50", 2), (None, 3)], "age_group string, v int"
     )
     out = joins.attach_lookup(
-        patients.select("id", "age_group"), lookup, "age_group", small, spread_by=["id"]
+        patients.select("id", "age_group"), lookup, "age_group", small, rows_per_split
     )
     assert table(out.select("id", "v")) == [
         (1, 1), (2, 2), (3, None), (4, None), (5, 3), (6, 2), (7, None), (8, None),
@@ -218,8 +230,11 @@ def test_lookup_keeps_rows_and_matches_nulls(spark, patients, small):
 def test_large_lookup_is_not_broadcast(spark, patients):
     lookup = patients.select("age_group").distinct().withColumn("v", F.lit(1))
     out = joins.attach_lookup(patients.select("id", "age_group"), lookup, "age_group", small=False)
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "ResolvedHint" not in plan and "broadcast" not in plan.lower()
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joined = [x for x in plan if "Join " in x and "_lookup_key" in x and "_hot_key" not in x]
+    assert len(joined) == 1 and "strategy=broadcast" not in joined[0]
+    # Only the list of hot keys is, once for either side.
+    assert sum("strategy=broadcast" in x for x in plan) == 2
 
 
 # --- ids -----------------------------------------------------------------

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from riskframe.llm.neighbours import OP1_SQL, op1_neighbours
+from riskframe.llm.sharding import op8_sharding
 from riskframe.llm.simhash import op7_simhash
+from riskframe.llm.sketches import op9_sketches
+from riskframe.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op7_simhash": op7_simhash,
+    "op8_sharding": op8_sharding,
+    "op9_sketches": op9_sketches,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_neighbours": OP1_SQL,
+}

@@ -154,28 +154,30 @@ def neighbour_edits(
     rows = docs.select(
         column(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")
     )
-    need = rows.groupBy("doc_id").agg(F.floor(F.max(F.char_length("text")) / 3).alias("need"))
-    need = materialize(need, "lengths")
-    order = next_ids(need.where("doc_id is not null").select("doc_id", "need"))
-    strays = need.where("doc_id is null").select(
-        "doc_id", "need", need.agg(F.max("doc_id")).scalar().alias("next_id")
-    )
-    order = order.union(strays).select(F.col("doc_id").alias("_for"), "need", "next_id")
-    placed = rows.repartition("doc_id")
+    named = rows.where("doc_id is not null")
+    need = named.groupBy("doc_id").agg(F.floor(F.max(F.char_length("text")) / 3).alias("need"))
+    order = materialize(next_ids(need), "next").withColumnRenamed("doc_id", "_for")
+    # Both sides of the last join, and the smallest text of an id, use one shuffle by id.
+    placed = named.repartition("doc_id")
     ahead = placed.groupBy("doc_id").agg(F.min("text").alias("ahead"))
     ahead = ahead.join(order, F.col("doc_id") == F.col("next_id")).select(
         "_for",
         F.substring("ahead", F.lit(1), F.col("need").cast("int")).alias("start"),
         sketch(F.col("ahead"), size, shingle).alias("next_sketch"),
     )
+    paired = placed.join(ahead, F.col("doc_id") == F.col("_for"))
+    pairs = paired.select("doc_id", "text", "start", "next_sketch")
+    strays = rows.where("doc_id is null")
+    if not strays.select("doc_id").isEmpty():
+        first = named.agg(F.min_by("text", F.struct(-F.col("doc_id"), "text"))).scalar()
+        strays = strays.withColumn("start", F.coalesce(first, F.lit("")))
+        pairs = pairs.union(strays.withColumn("next_sketch", sketch(F.col("start"), size, shingle)))
     third = F.floor(F.char_length("text") / 3).cast("int")
     edited = F.concat(
         F.substring("text", F.lit(1), F.char_length("text") - third),
-        F.substring(F.coalesce("start", F.lit("")), F.lit(1), third),
-    )
-    return placed.join(ahead, F.col("doc_id").eqNullSafe(F.col("_for")), "left").select(
-        "doc_id", "text", edited.alias("edited"), "next_sketch"
+        F.substring("start", F.lit(1), third),
     )
+    return pairs.select("doc_id", "text", edited.alias("edited"), "next_sketch")
 
 
 def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

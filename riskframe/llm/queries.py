@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from riskframe.llm.licenses import op3_licenses
 from riskframe.llm.neighbours import OP1_SQL, op1_neighbours
+from riskframe.llm.pieces import op2_pieces
 from riskframe.llm.sharding import op8_sharding
 from riskframe.llm.simhash import op7_simhash
 from riskframe.llm.sketches import op9_sketches
@@ -10,6 +12,8 @@ from riskframe.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_neighbours": op1_neighbours,
+    "op2_pieces": op2_pieces,
+    "op3_licenses": op3_licenses,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_sketches": op9_sketches,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.session import materialize
@@ -93,5 +93,70 @@ def _state(edges: DataFrame) -> tuple:
     )
 
 
+def attach(rows: DataFrame, few: DataFrame, key: str, most_bytes: int = 8 << 20) -> DataFrame:
+    """``rows`` with the columns of ``few``, which has one row per ``key``; nulls match.
+
+    ``few`` is materialized already. It goes to every executor if its measured
+    size is within ``most_bytes``; beyond that rows of a key are spread over 16
+    parts, and ``few`` is copied to each.
+    """
+    renamed = few.withColumnRenamed(key, "_key")
+    size = few.agg(
+        F.sum(F.coalesce(F.octet_length(column(key).cast("string")), F.lit(0)) + 64)
+    ).first()[0]
+    same = column(key).eqNullSafe(F.col("_key"))
+    if (size or 0) <= most_bytes:
+        return rows.join(F.broadcast(renamed), same).drop("_key")
+    part = F.pmod(F.xxhash64(*names_of(rows.columns)), F.lit(16))
+    copies = renamed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return (
+        rows.withColumn("_part", part)
+        .join(copies, same & (F.col("_part") == F.col("_copy")))
+        .drop("_key", "_part", "_copy")
+    )
+
+
+def running_offsets(
+    counts: DataFrame, keys: Sequence[str], place: str, numbers: Sequence[str], run: int = 1_024
+) -> DataFrame:
+    """``counts`` with ``<number>_before``: the sum over lower ``place`` of the same keys.
+
+    ``place`` is a whole number from 0, once per key. Sums of ``run`` places are
+    added up first, so no task sees more than that many rows of a key, or one in
+    ``run``.
+    """
+    own = names_of(keys)
+    coarse = counts.withColumn("_run", F.floor(column(place) / run))
+    sums = coarse.groupBy(*own, "_run").agg(*[F.sum(n).alias(f"_{n}") for n in numbers])
+    before = Window.partitionBy(*own).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        *[column(k).alias(f"_{k}") for k in keys],
+        F.col("_run").alias("_of"),
+        *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in numbers],
+    )
+    match = F.col("_run") == F.col("_of")
+    for k in keys:
+        match = match & column(k).eqNullSafe(column(f"_{k}"))
+    inside = Window.partitionBy(*own, "_run").orderBy(column(place))
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
+    within = coarse.withColumns(
+        {f"_in_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in numbers}
+    )
+    return within.join(sums, match).select(
+        *names_of(counts.columns),
+        *[(F.col(f"_{n}") + F.col(f"_in_{n}")).alias(f"{n}_before") for n in numbers],
+    )
+
+
+def equal_part(value: Column, parts: int) -> Column:
+    """Which of ``parts`` equal ranges a number from 0 to 1 lies in."""
+    return F.least(F.floor(value * parts), F.lit(parts - 1)).cast("long")
+
+
+def spread(lot: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1, in the same order."""
+    return (lot.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+
+
 def names_of(columns: Sequence[str]) -> list[Column]:
     return [column(c) for c in columns]

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from riskframe.llm.licenses import op3_licenses
+from riskframe.llm.mixing import op5_mixing
 from riskframe.llm.neighbours import OP1_SQL, op1_neighbours
 from riskframe.llm.pieces import op2_pieces
 from riskframe.llm.sharding import op8_sharding
 from riskframe.llm.simhash import op7_simhash
 from riskframe.llm.sketches import op9_sketches
 from riskframe.llm.toxicity import op10_toxicity
+from riskframe.llm.warc import OP4_SQL, op4_revisits
 
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_pieces": op2_pieces,
     "op3_licenses": op3_licenses,
+    "op4_revisits": op4_revisits,
+    "op5_mixing": op5_mixing,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_sketches": op9_sketches,
@@ -22,4 +26,5 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_neighbours": OP1_SQL,
+    "op4_revisits": OP4_SQL,
 }

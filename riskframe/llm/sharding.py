@@ -4,49 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import ceil_div, column, names_of, table, whole_text
+from riskframe.llm.common import (
+    ceil_div,
+    column,
+    equal_part,
+    names_of,
+    running_offsets,
+    spread,
+    table,
+    whole_text,
+)
 from riskframe.session import materialize
 
 #: Rows that are put in order by one task at a time, about.
 RUN_ROWS = 4_096
 
 
-def running_offsets(
-    counts: DataFrame, keys: Sequence[str], place: str, number: str, run: int = 1_024
-) -> DataFrame:
-    """``counts`` with ``offset``: the sum of ``number`` over lower ``place`` of the same keys.
-
-    ``place`` is a whole number from 0. Sums of ``run`` places are added up
-    first, so no task sees more than that many rows of a key, or one in ``run``.
-    """
-    own = names_of(keys)
-    coarse = counts.withColumn("_run", F.floor(column(place) / run))
-    sums = coarse.groupBy(*own, "_run").agg(F.sum(number).alias("_sum"))
-    before = Window.partitionBy(*own).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *[column(k).alias(f"_{k}") for k in keys],
-        F.col("_run").alias("_of"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
-    )
-    match = F.col("_run") == F.col("_of")
-    for k in keys:
-        match = match & column(k).eqNullSafe(column(f"_{k}"))
-    inside = Window.partitionBy(*own, "_run").orderBy(column(place))
-    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    within = coarse.withColumn("_within", F.coalesce(F.sum(number).over(inside), F.lit(0)))
-    return within.join(sums, match).select(
-        *names_of(counts.columns), (F.col("_before") + F.col("_within")).alias("offset")
-    )
-
-
-def _part(value: Column, parts: int) -> Column:
-    """Which of ``parts`` equal ranges a number in [0, 1] lies in."""
-    return F.least(F.floor(value * parts), F.lit(parts - 1)).cast("long")
-
-
 def interleave(
     docs: DataFrame,
     shards: int = 16,
@@ -90,18 +66,17 @@ def interleave(
     total = rows.count()
     parts = ceil_div(total, run_rows)
 
-    spread = (F.col("lot").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    rows = rows.withColumn("run", _part(spread, parts))
+    rows = rows.withColumn("run", equal_part(spread(F.col("lot")), parts))
     counts = rows.groupBy("source", "run").agg(F.count(F.lit(1)).alias("rows"))
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
-    offsets = running_offsets(counts, ["source"], "run", "rows")
+    offsets = running_offsets(counts, ["source"], "run", ["rows"])
     offsets = (
         offsets.join(
             sizes.withColumnRenamed("source", "_source"),
             F.col("source").eqNullSafe(F.col("_source")),
         )
         .select(
-            F.col("source").alias("_source"), F.col("run").alias("_run"), "offset", "of"
+            F.col("source").alias("_source"), F.col("run").alias("_run"), "rows_before", "of"
         )
     )
     inside = Window.partitionBy("source", "run").orderBy("lot", "doc_id", "text_crc32", "size")
@@ -110,18 +85,18 @@ def interleave(
     )
     names = [n for n in rows.columns if n != "run"]
     ranked = ranked.select(
-        *names, ((F.col("offset") + F.col("place") - 0.5) / F.col("of")).alias("fraction")
+        *names, ((F.col("rows_before") + F.col("place") - 0.5) / F.col("of")).alias("fraction")
     )
-    ranked = materialize(ranked.withColumn("run", _part(F.col("fraction"), parts)), "fractions")
+    ranked = materialize(ranked.withColumn("run", equal_part(F.col("fraction"), parts)), "fractions")
 
     counts = ranked.groupBy("run").agg(F.count(F.lit(1)).alias("rows"))
-    offsets = running_offsets(counts, [], "run", "rows").select(
-        F.col("run").alias("_run"), "offset"
+    offsets = running_offsets(counts, [], "run", ["rows"]).select(
+        F.col("run").alias("_run"), "rows_before"
     )
     inside = Window.partitionBy("run").orderBy(
         "fraction", F.xxhash64(F.lit(seed), "source"), "source", "lot", "doc_id", "text_crc32"
     )
-    order = F.col("offset") + F.row_number().over(inside) - 1
+    order = F.col("rows_before") + F.row_number().over(inside) - 1
     shard = F.expr(f"order * {shards} div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {shards} - 1) div {shards}")
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskframe.llm.licenses import op3_licenses
+from riskframe.llm.lm import op6_lm_scores
 from riskframe.llm.mixing import op5_mixing
 from riskframe.llm.neighbours import OP1_SQL, op1_neighbours
 from riskframe.llm.pieces import op2_pieces
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_revisits": op4_revisits,
     "op5_mixing": op5_mixing,
+    "op6_lm_scores": op6_lm_scores,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_sketches": op9_sketches,

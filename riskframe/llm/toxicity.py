@@ -72,7 +72,7 @@ class Model:
 def telling_places(
     positive: list[np.ndarray],
     unlabelled: list[np.ndarray],
-    ratio: float = 2.0,
+    ratio: float = 4.0,
     deviations: float = 5.0,
 ) -> np.ndarray:
     """Which features are clearly more frequent in positive rows than in unlabelled ones.
@@ -96,9 +96,9 @@ def fit_nnpu(
     unlabelled: list[np.ndarray],
     prior: float,
     epochs: int = 300,
-    batches: int = 2,
+    batches: int = 1,
     rate: float = 0.1,
-    decay: float = 1e-4,
+    decay: float = 3e-4,
     seed: int = 11,
 ) -> Model:
     """Linear classifier from positive and unlabelled rows of feature places.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 from operator import eq
 
 import numpy as np
@@ -28,6 +29,10 @@ from riskframe.llm.common import column, table, whole_text
 #: Where the public model lies on the machines of the tests; a parameter everywhere.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Threads of the tokenizers library in one task.
+THREADS = 2
+#: Units that are strung together in one call.
+STRUNG = 128
 #: A task forgets its units at this number, or at this many characters of them.
 KNOWN_UNITS = 600_000
 KNOWN_CHARS = 12_000_000
@@ -157,17 +162,32 @@ class Encoder:
     over the start of a word; else the whole text is the unit. New units go to
     the tokenizers library in one multithreaded batch. Each is verified against
     the sentencepiece library; where the two differ (pieces that can be built in
-    two ways, as of repeated letters), the ids of sentencepiece hold.
+    two ways, as of repeated letters), the ids of sentencepiece hold. Each is
+    decoded once too: marks start whole characters, so a text's ids decode to
+    what its units decode to, one after another.
     """
 
     def __init__(self, data: bytes) -> None:
+        # Read when the library starts its threads: other tasks use the machine too.
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         import sentencepiece
+        from tokenizers import Regex, decoders, normalizers, pre_tokenizers
 
         self.model = PieceModel.parse(data)
         self.tokenizer = build_tokenizer(self.model)
+        # Units hold the text as normalised already, and keep the space before a word.
+        self.units = build_tokenizer(self.model)
+        self.units.normalizer = normalizers.Sequence([])
+        unit = f"{MARK}*[^{MARK}]+|{MARK}+"
+        if self.model.splits_at_marks():
+            self.units.pre_tokenizer = pre_tokenizers.Split(Regex(unit), "isolated")
+        self.units.decoder = decoders.Sequence(
+            [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        )
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.unit = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.unit = re.compile(unit)
         self.by_word = self.model.splits_at_marks()
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.normalise = self.tokenizer.normalizer.normalize_str
         model = self.model
         if model.escape_spaces and model.dummy_prefix and not (model.charsmap or model.drop_extra_spaces):
@@ -177,38 +197,80 @@ class Encoder:
 
     def forget(self) -> None:
         self.places: dict[str, int] = {}
+        self.decoded: list[str] = []
         self.ids = np.empty(0, np.int32)
         self.lengths, self.same = np.empty(0, np.int64), np.empty(0, bool)
+        self.all_ids, self.all_lengths, self.all_same = [], [], []
         self.chars = 0
 
     def _learn(self, units: list[str]) -> None:
-        from tokenizers import normalizers
-
-        # Units hold the text as normalised already.
-        normaliser = self.tokenizer.normalizer
-        self.tokenizer.normalizer = normalizers.Sequence([])
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        self.tokenizer.normalizer = normaliser
-        # The reference adds the prefix, and drops what the model drops, by itself.
+        """Encode, verify and decode new units, many to a call.
+
+        Units that start with one mark are strung together: where a piece starts
+        with a mark, the next unit begins. A string that fails a check is gone
+        through unit by unit.
+        """
+        strings, alone = [], []
+        if self.by_word:
+            alone = [u for u in units if u[0] != MARK or u[1:2] in ("", MARK)]
+            fit = list(set(units).difference(alone)) if alone else units
+            strings = [fit[i : i + STRUNG] for i in range(0, len(fit), STRUNG)]
+        else:
+            alone = units
+        texts = ["".join(s) for s in strings]
+        ids = [e.ids for e in self.units.encode_batch_fast(texts, add_special_tokens=False)]
+        decoded = self.units.decode_batch(ids, skip_special_tokens=False)
+        for string, text, own, theirs, again in zip(
+            strings, texts, ids, self._expected(texts, ids), decoded, strict=True
+        ):
+            numbers = np.array(own, dtype=np.int32)
+            starts = np.flatnonzero(self.marked[numbers])
+            if len(starts) == len(string) and own == theirs and again == text.replace(MARK, " "):
+                lengths = np.diff(starts, append=len(own))
+                self._keep(string, numbers, lengths, None, np.ones(len(string), bool))
+            else:
+                alone += string
+        if alone:
+            found = [e.ids for e in self.units.encode_batch_fast(alone, add_special_tokens=False)]
+            expected = self._expected(alone, found)
+            same = np.fromiter(map(eq, found, expected), dtype=bool, count=len(alone))
+            lengths = np.fromiter(map(len, expected), dtype=np.int64, count=len(alone))
+            decoded = self.units.decode_batch(expected, skip_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(expected), np.int32, int(lengths.sum()))
+            self._keep(alone, ids, lengths, decoded, same)
+        self.lengths, self.same, self.ids = (
+            np.concatenate(parts) for parts in (self.all_lengths, self.all_same, self.all_ids)
+        )
+        self.all_lengths, self.all_same, self.all_ids = [self.lengths], [self.same], [self.ids]
+
+    def _expected(self, units: list[str], found: list[list[int]]) -> list[list[int]]:
+        """What the reference makes of units; it adds the prefix by itself, and where it
+        would drop something, what was found stands."""
         prefix = 1 if self.model.dummy_prefix else 0
         plain = [u[prefix:].replace(MARK, " ") for u in units]
-        expected = self.reference.encode(plain, num_threads=1)
-        expected = [
+        return [
             ours if not p or (self.model.drop_extra_spaces and p != p.strip()) else theirs
-            for ours, theirs, p in zip(found, expected, plain, strict=True)
+            for ours, theirs, p in zip(
+                found, self.reference.encode(plain, num_threads=1), plain, strict=True
+            )
         ]
-        lengths = np.fromiter(map(len, expected), dtype=np.int64, count=len(units))
-        ids = np.fromiter(chain.from_iterable(expected), dtype=np.int32, count=int(lengths.sum()))
-        same = np.fromiter(map(eq, found, expected), dtype=bool, count=len(units))
+
+    def _keep(
+        self, units: list[str], ids: np.ndarray, lengths: np.ndarray, decoded: list[str] | None,
+        same: np.ndarray,
+    ) -> None:
+        """Without ``decoded`` each unit decodes to itself."""
         first = len(self.places)
         self.places.update(zip(units, range(first, first + len(units)), strict=True))
-        self.ids = np.concatenate([self.ids, ids])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.same = np.concatenate([self.same, same])
+        self.decoded += [u.replace(MARK, " ") for u in units] if decoded is None else decoded
+        self.all_ids.append(ids)
+        self.all_lengths.append(lengths)
+        self.all_same.append(same)
         self.chars += sum(map(len, units))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, number of ids of each text, and whether parity held."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], np.ndarray]:
+        """Ids of all texts in a row; of each text the number of ids, whether decoding them
+        gives the text again, and whether parity held."""
         split = self.unit.findall if self.by_word else (lambda t: [t] if t else [])
         units = [split(self.normalise(t)) if t else [] for t in texts]
         places = self.places
@@ -228,10 +290,13 @@ class Encoder:
         ids = self.ids[within + np.repeat(starts[used] - ends + own, own)]
         text_of = np.repeat(np.arange(len(texts)), counts)
         sizes = np.bincount(text_of, own, minlength=len(texts)).astype(np.int64)
+        start = 1 if self.model.dummy_prefix else 0
+        parts = map(self.decoded.__getitem__, used.tolist())
+        again = ["".join(islice(parts, n))[start:] == t for n, t in zip(counts, texts, strict=True)]
         differing = np.bincount(text_of, ~self.same[used], minlength=len(texts))
         if len(places) > KNOWN_UNITS or self.chars > KNOWN_CHARS:
             self.forget()
-        return ids, sizes, differing == 0
+        return ids, sizes, again, differing == 0
 
 
 def _model_bytes(model_path: str) -> bytes:
@@ -270,17 +335,14 @@ def encode(
             all_texts = batch.column(1).to_pylist()
             for part in _some(all_texts):
                 texts = all_texts[part]
-                ids, sizes, same = encoder.encode(texts)
-                ends = np.cumsum(sizes)
-                rows = [ids[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-                decoded = encoder.tokenizer.decode_batch(rows, skip_special_tokens=False)
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                ids, sizes, again, same = encoder.encode(texts)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(part.start, len(texts)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())),
                         pa.array(sizes, pa.int64()),
-                        pa.array([a == b for a, b in zip(texts, decoded, strict=True)], pa.bool_()),
+                        pa.array(again, pa.bool_()),
                         pa.array(same, pa.bool_()),
                     ],
                     names=["doc_id", "ids", "n_tokens", "round_trip", "parity"],

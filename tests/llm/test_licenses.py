@@ -1,0 +1,97 @@
+import re
+
+from riskframe.llm import licenses
+
+
+def words_of(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+
+
+def base_of(text):
+    words, places, labels = words_of(text), [], set()
+    for phrase, label in licenses.BASE_PHRASES.items():
+        wanted = phrase.split()
+        for i in range(len(words) - len(wanted) + 1):
+            if words[i : i + len(wanted)] == wanted:
+                places.append(i)
+                labels.add(label)
+    return places, labels
+
+
+TEXTS = [
+    "Licensed under the Apache License, Version 2.0.", "All rights reserved. All  Rights\nReserved", None, "",
+    "acc by cc byte cc. By", "GNU General Public License v3; the general public\x00license", "ccby cc-by É cc É by",
+    "Licensed under CC BY-NC 4.0. CC BY", "all rights reservedÉ all rights reserved", "cc cc by by",
+    "x " * 30_000 + "cc by", "Copyright (c) 2020 X. Released under the MIT License.",
+]
+
+
+def test_base_part_equals_brute_force(spark):
+    rows = [(i, t, "x", 1) for i, t in enumerate(TEXTS)] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, labels string, n_words int")
+    found = licenses.scan(table).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        text = TEXTS[row.doc_id]
+        places, labels = base_of(text)
+        assert (row.n_words, row.n_base) == (len(words_of(text)), len(places))
+        assert (row.first_word, row.last_word) == (
+            (min(places), max(places)) if places else (None, None)
+        )
+        assert row.base_labels == ",".join(sorted(labels))
+        assert set(labels) <= set(filter(None, row.labels.split(",")))
+        assert 0 <= row.score <= 1
+        raw = (text or "").encode()
+        for d in row.detections:
+            assert 0 <= d.start < d.end <= len(raw)
+
+
+def labels(text):
+    return licenses._digest(SCANNER, text.encode())[5]
+
+
+SCANNER = licenses.Scanner()
+
+
+def test_named_licences():
+    assert len(SCANNER.rules) > 300
+    assert labels("Licensed under the Apache License, Version 2.0.") == "apache-2.0"
+    assert labels("Released under the MIT License.") == "mit"
+    assert labels("This work is licensed under the GNU General Public License, version 3.") == "gpl,gpl-3.0"
+    assert labels("SPDX-License-Identifier: MPL-2.0") == "mpl-2.0"
+    assert labels("https://creativecommons.org/licenses/by-sa/3.0/") == "cc-by-sa-3.0"
+    assert labels("the BSD 3-Clause license") == "bsd-3-clause"
+    assert labels("we submit a permit to the commit") == ""
+
+
+def test_priority_suppresses_what_lies_inside():
+    found = SCANNER.detections(b"licensed under the gnu lesser general public license, version 2.1")
+    assert [r.label for r, _, _ in found] == ["lgpl-2.1"]
+    # Two notices apart are both kept.
+    found = SCANNER.detections(b"released under the mit license. released under the isc license.")
+    assert [r.label for r, _, _ in found] == ["mit", "isc"]
+
+
+def test_containment_equals_the_slow_rule():
+    text = b"licensed under the gnu lesser general public license, version 2.1, all rights reserved " * 40
+    tried = [
+        (-r.priority, m.start() - m.end(), m.start(), n, m.end())
+        for n, r in enumerate(SCANNER.rules)
+        for m in r.pattern.finditer(text)
+        if any(k.encode() in text for k in r.keywords)
+    ]
+    kept = []
+    for _, _, start, number, end in sorted(tried):
+        if not any(s <= start and end <= e for s, e, _ in kept):
+            kept.append((start, end, number))
+    found = SCANNER.detections(text)
+    assert sorted((s, e, r.name) for r, s, e in found) == sorted(
+        (s, e, SCANNER.rules[n].name) for s, e, n in kept
+    )
+
+
+def test_awkward_and_empty_tables(docs, awkward, no_docs):
+    rows = licenses.scan(docs).collect()
+    assert sorted(r.n_words for r in rows) == sorted(len(words_of(t)) for _, t, _ in awkward)
+    assert licenses.scan(no_docs).count() == 0

@@ -112,13 +112,12 @@ class Search:
             least = np.maximum(least, low)
         q, v = np.nonzero((about + error >= least[:, None]) & ~own)
         step = max(1, 4_000_000 // queries.exact.shape[1])
-        scores = np.concatenate(
-            [np.empty(0)]
-            + [
-                (queries.exact[q[i : i + step]] * vectors.exact[v[i : i + step]]).sum(axis=1)
-                for i in range(0, len(q), step)
-            ]
-        )
+        scores = np.zeros(len(q))
+        for start in range(0, len(q), step):
+            some = slice(start, start + step)
+            # Term by term from the first component on, as a plain loop adds them up.
+            for a, b in zip(queries.exact[q[some]].T, vectors.exact[v[some]].T, strict=True):
+                scores[some] += a * b
         self._merge(q + first, vectors.ids[v], scores)
 
     def _merge(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:

@@ -95,7 +95,6 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
-    keep: Sequence[str] = (),
     seed: int = 17,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -115,9 +114,8 @@ def mix(
     it takes the documents, in that order, that fit in whole.
 
     Columns doc_id, source, tokens, weight, pass, block, place (in the pass, from
-    0), ``fraction`` (place in the whole mixture, from 0 to 1: sorted by it the
-    sources are evenly interleaved), and ``kept``, a struct of the ``keep``
-    columns, if any are named.
+    0) and ``fraction`` (place in the whole mixture, from 0 to 1: sorted by it the
+    sources are evenly interleaved). Texts are read once, to count their tokens.
 
     A null source is a source of its own; null texts are empty. Repeated rows
     are rows like any other. An empty table stays empty.
@@ -128,10 +126,9 @@ def mix(
         column(source_col).cast("string").alias("source"),
         (F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")) + 1).cast("long").alias("tokens"),
         F.xxhash64(F.lit(seed), column(id_col), F.crc32(text)).alias("lot"),
-        *([F.struct(*names_of(keep)).alias("kept")] if keep else []),
     )
-    narrow = rows.select("source", "tokens")
-    sums = narrow.groupBy("source").agg(
+    rows = materialize(rows, "tokens")
+    sums = rows.groupBy("source").agg(
         F.sum("tokens").alias("of_tokens"), F.count(F.lit(1)).alias("of_rows")
     )
     sums = materialize(sums, "sources")
@@ -183,7 +180,25 @@ def mix(
         "doc_id", "source", "tokens", "weight", "pass", "block",
         (F.col("rows_before") + F.col("within")).alias("place"),
         ((passed - 0.5 * F.col("tokens") / F.col("of_tokens")) / F.col("passes")).alias("fraction"),
-        *(["kept"] if keep else []),
+    )
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """Whole rows of ``docs`` in the order of the mixture, as often as they are passed.
+
+    ``docs`` is a stored table: its rows are told apart by their place, which is
+    the same whenever it is read. Texts are shuffled once to meet their places
+    in the mixture, and once into order.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    places = mix(numbered, id_col="_row", **options).select(
+        F.col("doc_id").alias("_of"), F.col("fraction").alias("_fraction")
+    )
+    return (
+        numbered.join(places, F.col("_row") == F.col("_of"))
+        .repartitionByRange("_fraction", "_row")
+        .sortWithinPartitions("_fraction", "_row")
+        .select(*names_of(docs.columns))
     )
 
 

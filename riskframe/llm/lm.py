@@ -38,6 +38,8 @@ SIZE = 16
 ADDED = 0.1
 #: A task that counts hands its counts on at this many distinct words.
 MOST_COUNTED = 200_000
+#: A task that trains goes through its tokens at this many, in random order.
+MOST_HELD = 400_000
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -290,20 +292,30 @@ def _round(
         model = LogBilinear(given["start"].copy(), len(given["noise"]))
         trainer = Trainer(model, given["noise"], 1, rate)
         tokens = 0
-        for arrow in batches:
-            found, lengths = [], []
-            for text in arrow.column(0).cast(pa.binary()).to_pylist():
-                numbers = list(map(classes.__getitem__, tokens_of(text)))
-                numbers.append(end)
-                lengths.append(len(numbers))
-                found += numbers
+        found: list[int] = []
+        lengths: list[int] = []
+
+        def learn() -> None:
             places = np.array(found, dtype=np.int64)
             places[places < 0] = len(words) - 1 - places[places < 0]
             before, earlier = histories(places, np.array(lengths), end + 1)
             order = trainer.random.permutation(len(places))
             for part in np.array_split(order, max(1, len(order) // batch)):
                 trainer.step(places[part], before[part], earlier[part], drawn)
-            tokens += len(places)
+            found.clear()
+            lengths.clear()
+
+        for arrow in batches:
+            for text in arrow.column(0).cast(pa.binary()).to_pylist():
+                numbers = list(map(classes.__getitem__, tokens_of(text)))
+                numbers.append(end)
+                lengths.append(len(numbers))
+                found += numbers
+                tokens += len(numbers)
+                if len(found) >= MOST_HELD:
+                    learn()
+        if found:
+            learn()
         if tokens:
             yield _copy(tokens, model.parameters)
 

@@ -1,0 +1,73 @@
+import random
+
+from riskframe.llm import simhash
+from riskframe.llm.common import column
+
+
+def copies(seed=6):
+    """Twenty texts of 200 words, each with copies in which one or two words differ, and strangers."""
+    random.seed(seed)
+    words = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "er")]
+    rows, group = [], {}
+
+    def add(text, of):
+        group[len(rows)] = of
+        rows.append((len(rows), text))
+
+    for n in range(20):
+        text = [random.choice(words) + random.choice(words) for _ in range(200)]
+        add(" ".join(text), n)
+        add(" ".join(text), n)
+        for changed in (1, 1, 2):
+            other = list(text)
+            for _ in range(changed):
+                other[random.randrange(200)] = "changed"
+            add(" ".join(other), n)
+    for n in range(100, 160):
+        add(" ".join(random.choice(words) + random.choice(words) for _ in range(200)), n)
+    return rows, group
+
+
+def test_near_copies_are_found_and_strangers_left_alone(spark):
+    rows, group = copies()
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = dict(simhash.similar_documents(table).collect())
+    assert len(found) == len(rows)
+    # Nothing is linked that is no copy.
+    by_component = {}
+    for i, component in found.items():
+        by_component.setdefault(component, set()).add(group[i])
+    assert all(len(of) == 1 for of in by_component.values())
+    assert all(i == found[i] for i in found if group[i] >= 100)
+    # Copies are, as a rule: the fingerprints are a random projection.
+    first = {n: min(i for i in group if group[i] == n) for n in range(20)}
+    caught = sum(found[i] == first[group[i]] for i in found if group[i] < 20)
+    assert caught >= 0.85 * sum(n < 20 for n in group.values())
+
+
+def test_awkward_documents(spark, docs, awkward, no_docs):
+    table = docs.select("text", *[column(c) for c in ("score", "node", "a", "copy") if c in docs.columns])
+    from pyspark.sql import functions as F
+
+    from riskframe.session import materialize
+
+    stored = materialize(table.withColumn("number", F.monotonically_increasing_id()), "stored")
+    found = dict(simhash.similar_documents(stored, id_col="number").collect())
+    assert len(found) == len(awkward)
+    component = {}
+    for r in stored.collect():
+        component.setdefault(r.text or "", set()).add(found[r.number])
+    assert all(len(c) == 1 for c in component.values())
+    assert component[""] == component[" \t\n"]
+    assert simhash.similar_documents(no_docs).count() == 0
+
+
+def test_resemblance_and_wide_fingerprints():
+    assert simhash.resemblance("", " ", 5) == 1
+    assert simhash.resemblance("a", "", 5) == 0
+    assert simhash.resemblance("a b c d e f", "A B C D E f", 5) == 1
+    assert simhash.resemblance("a b c d e f", "a b c d e", 5) == 0.5
+    prints = simhash.wide_fingerprints(b"a b c " * 4000, 2, 4)
+    assert len(prints) == len(set(prints)) == 4
+    assert simhash.wide_fingerprints(b"", 2, 3) == [0, 0, 0]
+    assert simhash.wide_fingerprints(b"one", 2, 1) != [0]

@@ -69,6 +69,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
 
 
+def _rows_with_each(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many rows each feature occurs, added up a few rows at a time."""
+    found = np.zeros(PLACES, dtype=np.int64)
+    for start in range(0, len(rows), 256):
+        found += np.bincount(np.concatenate(rows[start : start + 256]), minlength=PLACES)
+    return found
+
+
 def telling_places(
     positive: list[np.ndarray],
     unlabelled: list[np.ndarray],
@@ -81,10 +89,7 @@ def telling_places(
     deviations. All others say nothing about toxicity, and their small weights
     would add up to noise in a long text.
     """
-    ours, theirs = (
-        np.bincount(np.concatenate(rows), minlength=PLACES) if rows else np.zeros(PLACES)
-        for rows in (positive, unlabelled)
-    )
+    ours, theirs = _rows_with_each(positive), _rows_with_each(unlabelled)
     share = ours / max(len(positive), 1)
     usual = (theirs + 1) / (len(unlabelled) + 2)
     spread = np.sqrt(usual * (1 - usual) / max(len(positive), 1))
@@ -176,8 +181,8 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     learn: Column | None = None,
-    most_positive: int = 8_000,
-    most_unlabelled: int = 16_000,
+    most_positive: int = 4_000,
+    most_unlabelled: int = 8_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 11,

@@ -26,7 +26,7 @@ from riskframe.llm.common import LOWER, ceil_div, column, crc_of_id, table, whol
 from riskframe.session import materialize
 
 #: Words that are outputs of the model of their own; all others share classes by how they begin.
-WORDS = 2_048
+WORDS = 1_024
 SHARED = 512
 BEGINNING = 3
 #: Words whose counts every task has at hand, and the longest of them in bytes. The counts of
@@ -40,6 +40,8 @@ ADDED = 0.1
 MOST_COUNTED = 200_000
 #: A task that trains goes through its tokens at this many, in random order.
 MOST_HELD = 400_000
+#: A task that scores hands results on at this many texts.
+MOST_TEXTS = 256
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -177,7 +179,9 @@ class LogBilinear:
         far = (self.r * self.c2) @ self.q.T + self.b
         top, top_far = near.max(axis=1), far.max(axis=1)
         norm = np.exp(near - top[:, None]) @ np.exp(far - top_far[:, None]).T
-        return near, far, np.log(np.maximum(norm, 1e-30)) + top[:, None] + top_far
+        np.log(np.maximum(norm, 1e-30, out=norm), out=norm)
+        norm += top[:, None] + top_far
+        return near, far, norm
 
     def log_probabilities(
         self, tables: tuple, target: np.ndarray, before: np.ndarray, earlier: np.ndarray
@@ -453,36 +457,39 @@ def score(
         share = np.zeros(v.end + 1)
         share[v.own : v.end] = np.log10(v.shared_tokens + ADDED * (v.shared_words + 1))
         rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
+
+        def digest(text: bytes) -> tuple:
+            words = tokens_of(text)
+            places = np.fromiter(
+                map(v.classes.__getitem__, words), dtype=np.int64, count=len(words)
+            )
+            rare = places < 0
+            target = np.append(v.model_classes(places), v.end)
+            before, earlier = histories(target, np.array([len(target)]), v.begin)
+            logs = network.log_probabilities(tables, target, before, earlier)
+            at_hand = places[~rare]
+            own_logs = log_counts[at_hand]
+            in_class = own_logs[at_hand >= v.own].sum() - share[target].sum()
+            unseen = Counter(compress(words, rare.tolist())) if rare.any() else {}
+            return (
+                len(target),
+                len(at_hand) + (v.documents > 0),
+                float(own_logs.sum() + log_counts[-1]),
+                float(logs.sum() / np.log(10) + in_class),
+                [(w.decode("utf-8", "replace"), n) for w, n in unseen.items()],
+            )
+
         for batch in batches:
-            rows = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = tokens_of(text)
-                places = np.fromiter(
-                    map(v.classes.__getitem__, words), dtype=np.int64, count=len(words)
-                )
-                rare = places < 0
-                target = np.append(v.model_classes(places), v.end)
-                before, earlier = histories(target, np.array([len(target)]), v.begin)
-                logs = network.log_probabilities(tables, target, before, earlier)
-                at_hand = places[~rare]
-                own_logs = log_counts[at_hand]
-                in_class = own_logs[at_hand >= v.own].sum() - share[target].sum()
-                unseen = Counter(compress(words, rare.tolist())) if rare.any() else {}
-                rows.append(
-                    (
-                        len(target),
-                        len(at_hand) + (v.documents > 0),
-                        float(own_logs.sum() + log_counts[-1]),
-                        float(logs.sum() / np.log(10) + in_class),
-                        [{"word": w.decode("utf-8", "replace"), "n": n} for w, n in unseen.items()],
-                    )
+            # The words of few texts at a time, so that a task holds little beside its batch.
+            for start in range(0, batch.num_rows, MOST_TEXTS):
+                part = batch.slice(start, MOST_TEXTS)
+                rows = [digest(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                    names=["doc_id", *PARTIAL.fieldNames()],
                 )
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["doc_id", *PARTIAL.fieldNames()],
-            )
 
     rows = docs.select(column(id_col).alias("doc_id"), whole_text(text_col))
     schema = StructType([rows.schema.fields[0], *PARTIAL.fields])

@@ -6,10 +6,11 @@ holds one folder per model and the category codes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskframe.learning.models import FOREST, SPECS, Spec
 from riskframe.learning.workflow import (
@@ -17,25 +18,69 @@ from riskframe.learning.workflow import (
     classifier_of,
     importances,
     metrics_rows,
+    numbered,
     predictions_of,
     score_all,
     train_models,
 )
-from riskframe.operators.cleaning import clean
+from riskframe.operators.cleaning import clean, decode, min_max_normalize
 from riskframe.operators.features import engineer_features
 from riskframe.operators.ids import assign_ids
 from riskframe.plans.catalog import register_views
-from riskframe.session import materialize
+from riskframe.session import materialize, scratch_scope
 from riskframe.sources import files, stores
-from riskframe.sources.schemas import FEATURE_TYPES
+from riskframe.sources.schemas import CLINICAL_TYPES, FEATURE_TYPES
+
+
+# Measurements that are also stored scaled to 0 to 1.
+SCALED = {
+    "trestbps": "trestbps_normalized",
+    "chol": "chol_normalized",
+    "thalach": "thalach_normalized",
+    "oldpeak": "oldpeak_normalized",
+}
 
 
 def prepare_patients(
     spark: SparkSession, raw_csv: str, folder: str, created_at: datetime | None = None
 ) -> None:
     """Raw CSV to the patients table, which is replaced."""
-    numbered = assign_ids(clean(files.load_raw(spark, raw_csv)))
-    files.write_patients(engineer_features(numbered), f"{folder}/patients", created_at)
+    with scratch_scope(spark):
+        ready = patients_from(clean(files.load_raw(spark, raw_csv)))
+        files.write_patients(ready, f"{folder}/patients", created_at)
+
+
+def prepare_clinical(
+    spark: SparkSession,
+    raw_folder: str,
+    folder: str,
+    labels: Mapping[str, tuple[str, Mapping[int, str]]],
+    created_at: datetime | None = None,
+) -> None:
+    """The raw clinical table to the patients table, which is replaced.
+
+    ``labels`` says what the codes mean, as ``decode`` takes it. The raw table's
+    own ids and times are not part of a patient: rows that differ in them alone
+    are copies.
+    """
+    with scratch_scope(spark):
+        raw = files.read_clinical(spark, raw_folder).drop("id", "created_at")
+        cleaned = clean(raw, [c for c in (*SCALED, "age") if c in raw.columns])
+        ready = patients_from(cleaned, labels)
+        files.write_patients(ready, f"{folder}/patients", created_at)
+
+
+def patients_from(
+    cleaned: DataFrame, labels: Mapping[str, tuple[str, Mapping[int, str]]] | None = None
+) -> DataFrame:
+    """Cleaned rows with ids, scaled measurements, decoded attributes and features."""
+    scaled = {c: name for c, name in SCALED.items() if c in cleaned.columns}
+    rows = min_max_normalize(assign_ids(cleaned), scaled)
+    if labels:
+        rows = decode(rows, labels)
+    if "ca" in rows.columns:
+        rows = rows.withColumn("ca_count", F.col("ca").cast("int"))
+    return engineer_features(rows, keep=[c for c in CLINICAL_TYPES if c in rows.columns])
 
 
 def train_and_store(
@@ -50,17 +95,19 @@ def train_and_store(
     and importances replaced.
     """
     patients = files.read_patients(spark, f"{folder}/patients").select("id", *FEATURE_TYPES)
-    trained = train_models(patients, specs)
-    for name, model in trained.models.items():
-        stores.save_model(model, f"{folder}/models", name)
-    stores.save_codes(trained.codes, f"{folder}/models/codes")
-    if FOREST.name in trained.models:
-        forest = classifier_of(trained.models[FOREST.name])
-        table = importances(spark, forest, trained.train.columns)
-        files.write_small_csv(table, f"{folder}/models/feature_importance")
-    scored = materialize(score_all(trained, run_ts), "scored")
-    files.append_predictions(predictions_of(scored), f"{folder}/predictions")
-    stores.append_metrics(metrics_rows(trained, scored, run_ts), f"{folder}/metrics")
+    with scratch_scope(spark):
+        trained = train_models(patients, specs)
+        for name, model in trained.models.items():
+            stores.save_model(model, f"{folder}/models", name)
+        stores.save_codes(trained.codes, f"{folder}/models/codes")
+        if FOREST.name in trained.models:
+            forest = classifier_of(trained.models[FOREST.name])
+            table = importances(spark, forest, trained.train.columns)
+            files.write_csv(table, f"{folder}/models/feature_importance")
+        earlier = files.stored_predictions(spark, f"{folder}/predictions")
+        scored = materialize(numbered(score_all(trained, run_ts), earlier), "scored")
+        files.append_predictions(predictions_of(scored), f"{folder}/predictions")
+        stores.append_metrics(metrics_rows(trained, scored, run_ts), f"{folder}/metrics")
     return trained
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
@@ -17,6 +17,11 @@ from pyspark.ml.classification import (
 LABEL, FEATURES, WEIGHT, FOLD = "target", "features", "weight", "fold"
 SEED = 42
 FOLDS = 5
+# Spark's own defaults. Both are parameters of a candidate (``max_iter`` and ``tol``);
+# ``converged`` tells whether a fit came to rest before, and ``logistic_gradient`` how
+# steep the loss still is.
+MAX_ITERATIONS = 100
+TOLERANCE = 1e-6
 
 Params = dict[str, float]
 
@@ -34,6 +39,8 @@ def logistic(params: Params, rows: float) -> Estimator:
         regParam=penalty(params, rows),
         elasticNetParam=0.0,
         standardization=False,
+        maxIter=int(params.get("max_iter", MAX_ITERATIONS)),
+        tol=params.get("tol", TOLERANCE),
     )
 
 
@@ -69,11 +76,17 @@ def svm(params: Params, rows: float) -> Estimator:
         weightCol=WEIGHT,
         regParam=penalty(params, rows),
         standardization=False,
-        maxIter=50,
-        tol=1e-4,
+        maxIter=int(params.get("max_iter", MAX_ITERATIONS)),
+        tol=params.get("tol", TOLERANCE),
     )
 
 
+def converged(model: Model) -> bool:
+    """Whether an iterative fit ended by itself, and not at its limit of iterations."""
+    summary = model.summary() if callable(model.summary) else model.summary
+    return summary.totalIterations < model.getMaxIter()
+
+
 @dataclass(frozen=True)
 class Spec:
     name: str

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def training_set(train: DataFrame, cols: Sequence[str] | None = None) -> Trainin
     # One folder per fold, so that a fold's rows are found by partition pruning.
     stored = materialize(prepared, "training", partition_by=[FOLD])
     rows = assembler.transform(stored).withColumn(LABEL, F.col(LABEL).cast("double"))
-    return TrainingSet(rows.persist(), assembler, stored.count())
+    return TrainingSet(rows, assembler, stored.count())
 
 
 # --- grid search ---------------------------------------------------------
@@ -169,15 +170,45 @@ def soft_vote(train: TrainingSet, bases: Sequence[SearchResult]) -> PipelineMode
     return PipelineModel([train.assembler, *voters, vote])
 
 
+def logistic_gradient(train: TrainingSet, model: Model) -> float:
+    """Largest slope of the penalized loss at the fitted coefficients, in one aggregate.
+
+    Per feature in units of its standard deviation, as the optimizer sees it.
+    """
+    scored = model.transform(train.rows)
+    off = F.col(WEIGHT) * (vector_to_array(model.getProbabilityCol())[1] - F.col(LABEL))
+    cols = train.columns
+    sums = scored.agg(
+        F.sum(WEIGHT).alias("_weight"),
+        F.sum(off).alias("_intercept"),
+        *[F.sum(off * F.col(c)).alias(f"_g{i}") for i, c in enumerate(cols)],
+        *[F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(cols)],
+    ).first()
+    slopes = [abs(sums["_intercept"]) / sums["_weight"]]
+    for i, beta in enumerate(model.coefficients.toArray()):
+        if sums[f"_s{i}"]:
+            slope = sums[f"_g{i}"] / sums["_weight"] + model.getRegParam() * float(beta)
+            slopes.append(abs(slope) / sums[f"_s{i}"])
+    return max(slopes)
+
+
 def out_of_fold(train: TrainingSet, models: Callable[[int], Sequence[Model]]) -> DataFrame:
-    """Every training row, scored by models that did not see it."""
+    """Every training row, scored by models that did not see it; ``left_out`` is their fold."""
 
     def scored(fold: int) -> DataFrame:
-        return reduce(lambda df, model: model.transform(df), models(fold), train.inside(fold))
+        rows = train.inside(fold).withColumn("left_out", F.lit(fold))
+        return reduce(lambda df, model: model.transform(df), models(fold), rows)
 
     return reduce(DataFrame.unionByName, [scored(fold) for fold in range(FOLDS)])
 
 
+def unseen_scores(train: TrainingSet, bases: Sequence[SearchResult]) -> DataFrame:
+    """Training rows with each base's probability by the model that did not see them."""
+    return out_of_fold(
+        train, lambda fold: [renamed(base.fold_models[fold], base.name) for base in bases]
+    )
+
+
 def fit_stacking(train: TrainingSet, bases: Sequence[SearchResult]) -> PipelineModel:
     """A balanced logistic regression on out-of-fold probabilities of the bases.
 
@@ -192,10 +223,7 @@ def fit_stacking(train: TrainingSet, bases: Sequence[SearchResult]) -> PipelineM
         outputCol="_base_scores",
         indices=[2 * i + 1 for i in range(len(bases))],
     )
-    unseen = out_of_fold(
-        train, lambda fold: [renamed(base.fold_models[fold], base.name) for base in bases]
-    )
-    scored = slicer.transform(joined.transform(unseen))
+    scored = slicer.transform(joined.transform(unseen_scores(train, bases)))
     inputs = materialize(scored.select("_base_scores", LABEL, WEIGHT), "stacking")
     final = LogisticRegression(
         featuresCol="_base_scores",
@@ -226,8 +254,7 @@ def with_fourier(train: TrainingSet, size: int = 128) -> tuple[TrainingSet, Four
         featuresCol=FEATURES, outputCol="fourier", gamma=kernel_width(train), size=size,
         inputSize=len(train.columns), seed=SEED,
     )
-    rows = stage.transform(train.rows).persist()
-    return TrainingSet(rows, train.assembler, train.size), stage
+    return TrainingSet(stage.transform(train.rows), train.assembler, train.size), stage
 
 
 def fit_svm(
@@ -252,5 +279,4 @@ def fit_svm(
         rawPredictionCol="_calibrated_raw",
         predictionCol="_calibrated",
     ).fit(materialize(inputs, "margins"))
-    mapped.rows.unpersist()
     return found, PipelineModel([train.assembler, stage, found.model, slicer, calibration])

@@ -25,6 +25,7 @@ from riskframe.learning.training import (
     training_set,
 )
 from riskframe.operators.encoding import encode_categoricals
+from riskframe.operators.ids import assign_ids
 from riskframe.operators.metrics import classification_metrics, confusion_matrix
 from riskframe.operators.sampling import stratified_parts
 from riskframe.session import materialize
@@ -81,7 +82,6 @@ def train_models(
     if len(members) == len(ENSEMBLE):
         trained.models["voting_classifier"] = soft_vote(trained.train, members)
         trained.models["stacking_classifier"] = fit_stacking(trained.train, members)
-    trained.train.rows.unpersist()
     return trained
 
 
@@ -92,12 +92,11 @@ def score(
     run_ts: datetime | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Predictions in the canonical columns; ``df.id`` is the patient.
+    """Predictions in the canonical columns but their own id; ``df.id`` is the patient.
 
-    A prediction's own id is a hash of patient, model and run, so that it is
-    the same when a task is repeated.
+    Patient, model and run are the key. ``numbered`` adds contiguous ids.
     """
-    scored = model.transform(df).select(
+    return model.transform(df).select(
         F.col("id").alias("patient_id"),
         F.col("prediction").cast("int").alias("prediction"),
         vector_to_array("probability")[1].alias("probability"),
@@ -105,8 +104,6 @@ def score(
         run_time(run_ts).alias("created_at"),
         *keep,
     )
-    number = F.xxhash64("patient_id", "model_name", "created_at")
-    return scored.select(number.alias("id"), *scored.columns)
 
 
 def score_all(trained: Trained, run_ts: datetime | None = None) -> DataFrame:
@@ -120,6 +117,12 @@ def score_all(trained: Trained, run_ts: datetime | None = None) -> DataFrame:
     return out
 
 
+def numbered(scored: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Predictions with ids that follow those of the ``stored`` ones."""
+    last = 0 if stored is None else stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return assign_ids(scored, start=last + 1)
+
+
 def predictions_of(scored: DataFrame) -> DataFrame:
     return conform(scored, PREDICTIONS)
 

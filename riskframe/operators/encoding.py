@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.ids import assign_ids
-from riskframe.operators.joins import BROADCAST_ROWS, at_most, attach_lookup
+from riskframe.operators.joins import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS,
+    at_most,
+    attach_lookup,
+)
 from riskframe.session import materialize
 
 # Columns encoded for training, and in a decoded clinical table.
@@ -38,16 +43,18 @@ def category_codes(
     values = materialize(listed, "categories")
     if at_most(values, max_rows):
         place = F.row_number().over(Window.partitionBy("feature").orderBy("value"))
-        return values.withColumn("code", (place - 1).cast("long"))
+        # Written out, so that the ranking is not planned again for every column.
+        return materialize(values.withColumn("code", (place - 1).cast("long")), "codes")
     ranged = values.repartitionByRange("feature", "value").sortWithinPartitions("feature", "value")
     numbered = assign_ids(ranged, "_id")
     # One row per encoded column.
     firsts = F.broadcast(
         numbered.groupBy(F.col("feature").alias("_feature")).agg(F.min("_id").alias("_first"))
     )
-    return numbered.join(firsts, F.col("feature") == F.col("_feature")).select(
+    coded = numbered.join(firsts, F.col("feature") == F.col("_feature")).select(
         "feature", "value", (F.col("_id") - F.col("_first")).alias("code")
     )
+    return materialize(coded, "codes")
 
 
 def _text(name: str) -> Column:
@@ -57,14 +64,22 @@ def _text(name: str) -> Column:
 def apply_codes(
     df: DataFrame, codes: DataFrame, cols: Sequence[str], max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Replace each column by its code; a value without one becomes null."""
-    small = at_most(codes, max_rows)
+    """Replace each column by its code; a value without one becomes null.
+
+    Whether a column's codes are broadcast is decided by their own number and size.
+    """
+    sizes = codes.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("size")
+    )
+    small = {
+        row.feature for row in sizes.collect() if row.n <= max_rows and row.size <= BROADCAST_BYTES
+    }
     out = df
     for c in cols:
         lookup = codes.where(F.col("feature") == c).select(
             F.col("value").alias("_text"), F.col("code").alias("_code")
         )
-        joined = attach_lookup(out.withColumn("_text", _text(c)), lookup, "_text", small)
+        joined = attach_lookup(out.withColumn("_text", _text(c)), lookup, "_text", c in small)
         out = joined.withColumn(c, F.col("_code")).select(*df.columns)
     return out
 

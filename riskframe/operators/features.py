@@ -47,9 +47,12 @@ def rule_score(rules: Sequence[Rule]) -> Column:
 
 
 def engineer_features(
-    df: DataFrame, keep_raw_pattern: bool = False, on_duplicate_edges: str = "collapse"
+    df: DataFrame,
+    keep_raw_pattern: bool = False,
+    on_duplicate_edges: str = "collapse",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Derive all features; an ``id`` column is carried along.
+    """Derive all features; an ``id`` column and those of ``keep`` are carried along.
 
     ``keep_raw_pattern`` also keeps the measured pattern value, which the
     stored feature list leaves out.
@@ -97,7 +100,7 @@ def engineer_features(
     return (
         df.withColumns({**derived, "_edges": score_quartiles(df)})
         .withColumn("risk_level", level)
-        .select(*kept, *FEATURE_TYPES)
+        .select(*kept, *FEATURE_TYPES, *keep)
     )
 
 

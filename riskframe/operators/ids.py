@@ -5,32 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.operators.joins import BROADCAST_ROWS, at_most, attach_lookup
 from riskframe.session import materialize
 
+# A running id holds the place in the partition in its low bits.
+PLACE = (1 << 33) - 1
+
 
 def assign_ids(df: DataFrame, name: str = "id", start: int = 1) -> DataFrame:
     """Number the rows ``start, start + 1, …`` in partition order.
 
-    The rows are written out once; a row's place in its file then stays the
-    same however the files are split or a task is repeated. Only the file
-    sizes are summed up: no row is shuffled and no key can be hot.
+    The rows are written out once, each with its partition and its place there;
+    these stay the same however the files are split or a task is repeated. Only
+    the partitions' sizes are summed up: no row is shuffled and no key can be
+    hot. The offsets, one row per partition, are broadcast after a size check.
     """
-    stored = materialize(df, "numbered")
-    file = F.col("_metadata.file_name")
-    # part-<task>-…-c<chunk>…: as one number, in the order of writing.
-    ordinal = F.regexp_extract(file, r"part-(\d+)", 1).cast("long") * 1_000_000 + F.regexp_extract(
-        file, r"-c(\d+)", 1
-    ).cast("long")
-    placed = stored.select(
-        *df.columns, ordinal.alias("_file"), F.col("_metadata.row_index").alias("_place")
+    running = F.monotonically_increasing_id()
+    stored = materialize(
+        df.withColumns(
+            {
+                "_partition": F.shiftright(running, 33),
+                "_place": running.bitwiseAND(F.lit(PLACE)),
+            }
+        ),
+        "numbered",
     )
-    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    # One short row per written file.
-    offsets = sizes.select(
-        F.col("_file").alias("_offset_of"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+    sizes = stored.groupBy("_partition").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(
+        sizes.select("_partition", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")),
+        "offsets",
     )
-    return placed.join(F.broadcast(offsets), F.col("_file") == F.col("_offset_of")).select(
+    placed = attach_lookup(stored, offsets, "_partition", at_most(offsets, BROADCAST_ROWS))
+    return placed.select(
         (F.col("_offset") + F.col("_place") + start).cast("long").alias(name), *df.columns
     )

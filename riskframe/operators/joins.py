@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A lookup goes to every executor only up to this many rows.
+# A lookup goes to every executor only up to this many rows, and up to this size.
 BROADCAST_ROWS = 100_000
-# At most this many keys can be hot, since each must own 1/MAX_HOT_KEYS of the rows.
-MAX_HOT_KEYS = 10_000
+BROADCAST_BYTES = 16 << 20
 # Rows of one hot key that a single task should join.
 ROWS_PER_SPLIT = 1_000_000
 
@@ -19,21 +18,19 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def hot_keys(
-    rows: DataFrame,
-    key: str,
-    rows_per_split: int = ROWS_PER_SPLIT,
-    max_hot: int = MAX_HOT_KEYS,
+    rows: DataFrame, key: str, rows_per_split: int = ROWS_PER_SPLIT, count: Column | None = None
 ) -> DataFrame:
-    """Keys with many rows, and the number of parts to cut each into.
+    """Keys with more rows than one task should join, and the number of parts to cut each into.
 
-    A key must exceed ``1/max_hot`` of all rows to be listed, so there are
-    fewer than ``max_hot`` of them whatever the data.
+    There are fewer than ``rows / rows_per_split`` of them whatever the data: a
+    million for a trillion rows. ``count`` is for sums in which a row stands for
+    as many rows.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(
-        (F.col("_n") > rows_per_split) & (F.col("_n") * max_hot > total)
-    ).select(F.col(key).alias("_hot_key"), F.ceil(F.col("_n") / rows_per_split).alias("_splits"))
+    number = F.count(F.lit(1)) if count is None else F.sum(count)
+    counts = rows.groupBy(key).agg(number.alias("_n"))
+    return counts.where(F.col("_n") > rows_per_split).select(
+        F.col(key).alias("_hot_key"), F.ceil(F.col("_n") / rows_per_split).alias("_splits")
+    )
 
 
 def join_on_unique_key(
@@ -42,9 +39,9 @@ def join_on_unique_key(
     rows_key: str,
     entity_key: str,
     rows_per_split: int = ROWS_PER_SPLIT,
-    max_hot: int = MAX_HOT_KEYS,
     how: str = "inner",
     nulls_match: bool = False,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join of ``rows`` with the one row per key of ``entities``.
 
@@ -52,6 +49,8 @@ def join_on_unique_key(
     the hot entities are copied to as many parts. Everything else meets in one
     ordinary shuffled join (or a broadcast one, if AQE finds a side small).
     Rows need a column, such as an id, in which those of one key differ.
+    ``hot`` is the outcome of ``hot_keys`` if it is known already; it is short
+    by construction, and therefore broadcast.
     """
 
     def same(left: str, right: str) -> Column:
@@ -60,7 +59,7 @@ def join_on_unique_key(
         return F.col(left) == F.col(right)
 
     matched = rows if nulls_match else rows.where(F.col(rows_key).isNotNull())
-    hot = F.broadcast(hot_keys(matched, rows_key, rows_per_split, max_hot))
+    hot = F.broadcast(hot_keys(matched, rows_key, rows_per_split) if hot is None else hot)
     spread = rows.join(hot, same(rows_key, "_hot_key"), "left").select(
         *rows.columns,
         F.when(F.col("_splits").isNull(), F.lit(0).cast("long"))
@@ -79,9 +78,14 @@ def join_on_unique_key(
     return joined.drop("_part", "_copy")
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Size check before a broadcast; stops counting beyond ``rows``."""
-    return df.limit(rows + 1).count() <= rows
+def at_most(df: DataFrame, rows: int, size: int | None = None) -> bool:
+    """Size check before a broadcast: rows, and bytes written out as text.
+
+    Stops counting beyond ``rows``.
+    """
+    written = F.octet_length(F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in df.columns]))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(written), F.lit(0))).first()
+    return found[0] <= rows and found[1] <= (BROADCAST_BYTES if size is None else size)
 
 
 def attach_lookup(
@@ -90,7 +94,6 @@ def attach_lookup(
     key: str,
     small: bool,
     rows_per_split: int = ROWS_PER_SPLIT,
-    max_hot: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Left join of per-key values, nulls matching nulls.
 
@@ -104,6 +107,6 @@ def attach_lookup(
         joined = rows.join(F.broadcast(right), same, "left")
     else:
         joined = join_on_unique_key(
-            rows, right, key, "_lookup_key", rows_per_split, max_hot, "left", nulls_match=True
+            rows, right, key, "_lookup_key", rows_per_split, "left", nulls_match=True
         )
     return joined.select(*rows.columns, *values)

@@ -27,6 +27,11 @@ def _number(name: str) -> Column:
     return F.when(~F.isnan(col), col)
 
 
+def _finite(name: str) -> Column:
+    col = _number(name)
+    return F.when(F.abs(col) < math.inf, col)
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
@@ -36,24 +41,32 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation; nulls and NaN are skipped.
 
+    Infinite values count as the lowest and highest. They are told by their
+    number alone, and the search for a rank goes through finite values. Between
+    two values of which one is infinite the quantile is that one.
     ``df`` is read several times, so it should be a stored table.
     """
     measures = []
     for name in cols:
-        x = _number(name)
+        x, finite = _number(name), _finite(name)
         measures.append(
             F.struct(
                 F.count(x).alias("n"),
-                F.min(x).alias("lo"),
-                F.max(x).alias("hi"),
-                F.coalesce(F.bool_and(F.rint(x) == x), F.lit(True)).alias("whole"),
+                F.count_if(x == -math.inf).alias("lowest"),
+                F.count_if(x == math.inf).alias("highest"),
+                F.min(finite).alias("lo"),
+                F.max(finite).alias("hi"),
+                F.coalesce(F.bool_and(F.rint(finite) == finite), F.lit(True)).alias("whole"),
             ).alias(name)
         )
     facts = df.agg(*measures).first()
     narrow = [
         name
         for name in cols
-        if facts[name].n and facts[name].whole and facts[name].hi - facts[name].lo <= whole_range
+        if facts[name].n
+        and not facts[name].lowest + facts[name].highest
+        and facts[name].whole
+        and facts[name].hi - facts[name].lo <= whole_range
     ]
     out: dict[str, list[float | None]] = {name: [None] * len(probs) for name in cols}
     if narrow:
@@ -86,7 +99,12 @@ def _by_narrowing(
         for prob in probs:
             position = prob * (fact.n - 1)
             for rank in (math.floor(position), math.ceil(position)):
-                spans[name, rank] = (fact.lo, fact.hi, 0)
+                if rank < fact.lowest:
+                    spans[name, rank] = (-math.inf, -math.inf, 0)
+                elif rank >= fact.n - fact.highest:
+                    spans[name, rank] = (math.inf, math.inf, 0)
+                else:
+                    spans[name, rank] = (fact.lo, fact.hi, fact.lowest)
 
     while open_spans := sorted(
         {(name, *span) for (name, _), span in spans.items() if span[0] < span[1]}
@@ -95,6 +113,7 @@ def _by_narrowing(
         for row in _bucket_counts(df, open_spans, buckets).collect():
             counts.setdefault(row.span, []).append(row)
         index = {span: i for i, span in enumerate(open_spans)}
+        before = dict(spans)
         for (name, rank), span in spans.items():
             if (name, *span) not in index:
                 continue
@@ -104,13 +123,19 @@ def _by_narrowing(
                     spans[name, rank] = (row.lo, row.hi, below)
                     break
                 below += row.n
+        if spans == before:
+            raise RuntimeError(f"a pass over {open_spans} found nothing narrower")
 
     def interpolate(name: str, prob: float) -> float:
         position = prob * (facts[name].n - 1)
         low = spans[name, math.floor(position)][0]
         high = spans[name, math.ceil(position)][0]
         share = position - math.floor(position)
-        return low if share == 0 else low * (1 - share) + high * share
+        if share == 0 or low == high:
+            return low
+        if math.isinf(low) or math.isinf(high):
+            return high if math.isinf(high) else low
+        return low * (1 - share) + high * share
 
     return {name: [interpolate(name, prob) for prob in probs] for name in facts}
 

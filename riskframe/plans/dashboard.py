@@ -6,6 +6,7 @@ is drawn from; the results are the same.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from riskframe.functions import correctness, risk_category, risk_factors
 from riskframe.functions.labels import OLDER_GROUPS, RISK_FACTOR_CUTOFF, RISK_THRESHOLDS
 from riskframe.plans.views import (
+    demographic_risk,
     feature_importance,
     mean_score,
     patient_profiles,
+    risk_assessment,
     scores_per_patient,
     share_of_rows,
     sum_where,
@@ -84,15 +87,24 @@ def sex_by_category(
 def score_histogram(
     patients: DataFrame, predictions: DataFrame, width: float = BIN_WIDTH
 ) -> DataFrame:
-    """Counts per bin ``[bin_start, bin_start + width)``; the last one includes 1."""
-    bins = round(1 / width)
-    place = F.least(F.floor(F.col("probability") * bins), F.lit(bins - 1)).alias("bin")
+    """Counts per bin ``[bin_start, bin_start + width)``; the last one ends at 1 and includes it.
+
+    If 1 is no multiple of ``width``, the last bin is narrower.
+    """
+    if not 0 < width <= 1:
+        raise ValueError("width must lie in (0, 1]")
+    # A width that divides 1 up to rounding makes a whole number of equal bins.
+    whole = abs(1 / width - round(1 / width)) < 1e-9
+    bins = round(1 / width) if whole else math.ceil(1 / width)
+    scaled = F.col("probability") * bins if whole else F.col("probability") / width
+    start = F.col("bin") / bins if whole else F.col("bin") * width
+    place = F.least(F.floor(scaled), F.lit(bins - 1)).alias("bin")
     sums = scores_per_patient(predictions.where(F.col("probability").isNotNull()), place)
     return (
         with_patients(sums, patients)
         .groupBy("bin")
         .agg(total().alias("count"))
-        .select("bin", (F.col("bin") / bins).alias("bin_start"), "count")
+        .select("bin", start.alias("bin_start"), "count")
     )
 
 
@@ -126,6 +138,17 @@ def risk_factor_counts(
     )
 
 
+def _in(column: Column, values: Sequence | None) -> Column:
+    return F.lit(True) if values is None else column.isin(*values)
+
+
+def _between(column: Column, dates: tuple[datetime | None, datetime | None]) -> Column:
+    """Includes the start and excludes the end; a missing end is open."""
+    start, end = dates
+    after = F.lit(True) if start is None else column >= F.lit(start)
+    return after if end is None else after & (column < F.lit(end))
+
+
 def filter_inputs(
     patients: DataFrame,
     predictions: DataFrame,
@@ -136,26 +159,49 @@ def filter_inputs(
     sexes: Sequence | None = None,
     thresholds: Sequence[float] = RISK_THRESHOLDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """The dashboard's filters, applied to the tables below every query.
+    """The dashboard's filters, applied to the tables below a view.
 
-    ``dates`` includes its start and excludes its end. Age group and sex limit
-    the patients, everything else the predictions; all of it reaches the scan.
+    Age group and sex limit the patients, everything else the predictions; all
+    of it reaches the scan. Right for every view whose rows depend on the rows
+    kept alone. The age-adjusted risk is set against a mean over all rows, so
+    that view is filtered above it, by ``filtered_assessment``.
     """
-    start, end = dates
-    if start is not None:
-        predictions = predictions.where(F.col("created_at") >= F.lit(start))
-    if end is not None:
-        predictions = predictions.where(F.col("created_at") < F.lit(end))
-    if models is not None:
-        predictions = predictions.where(F.col("model_name").isin(*models))
-    if risk_categories is not None:
-        predictions = predictions.where(_category(thresholds).isin(*risk_categories))
-    if age_groups is not None:
-        patients = patients.where(F.col("age_group").isin(*age_groups))
-    if sexes is not None:
-        patients = patients.where(F.col("sex").isin(*sexes))
+    predictions = predictions.where(
+        _between(F.col("created_at"), dates)
+        & _in(F.col("model_name"), models)
+        & _in(_category(thresholds), risk_categories)
+    )
+    patients = patients.where(_in(F.col("age_group"), age_groups) & _in(F.col("sex"), sexes))
     return patients, predictions
 
 
 def filtered_profiles(patients: DataFrame, predictions: DataFrame, **filters) -> DataFrame:
     return patient_profiles(*filter_inputs(patients, predictions, **filters))
+
+
+def filtered_demographics(patients: DataFrame, predictions: DataFrame, **filters) -> DataFrame:
+    return demographic_risk(*filter_inputs(patients, predictions, **filters))
+
+
+def filtered_assessment(
+    patients: DataFrame,
+    predictions: DataFrame,
+    dates: tuple[datetime | None, datetime | None] = (None, None),
+    models: Sequence[str] | None = None,
+    risk_categories: Sequence[str] | None = None,
+    age_groups: Sequence[str] | None = None,
+    sexes: Sequence | None = None,
+    thresholds: Sequence[float] = RISK_THRESHOLDS,
+) -> DataFrame:
+    """The risk view's rows that the filters keep, with means over all of its rows.
+
+    ``dates`` limit the view's own ``created_at``.
+    """
+    assessed = risk_assessment(patients, predictions)
+    return assessed.where(
+        _between(F.col("created_at"), dates)
+        & _in(F.col("model_name"), models)
+        & _in(risk_category(F.col("risk_score"), thresholds), risk_categories)
+        & _in(F.col("age_group"), age_groups)
+        & _in(F.col("sex"), sexes)
+    )

@@ -30,11 +30,8 @@ from riskframe.functions.labels import (
     RISK_THRESHOLDS,
 )
 from riskframe.operators.joins import (
-    BROADCAST_ROWS,
-    MAX_HOT_KEYS,
     ROWS_PER_SPLIT,
-    at_most,
-    attach_lookup,
+    hot_keys,
     join_on_unique_key,
 )
 from riskframe.sources.schemas import CLINICAL_TYPES, IMPORTANCES
@@ -140,7 +137,7 @@ def feature_correlations(
     """Pearson correlation of each feature with the target, in one pass.
 
     Pairs with a null are left out of the correlation but counted in
-    ``sample_size``; a constant column has no correlation and no row.
+    ``sample_size``; a constant column, or one with NaN, has no correlation and no row.
     """
     y = F.col(target).cast("double")
 
@@ -163,7 +160,7 @@ def feature_correlations(
     )
     out = (
         wide.select(F.inline(rows), "sample_size")
-        .where(F.col("correlation").isNotNull())
+        .where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
         .select("feature1", F.lit(target).alias("feature2"), "correlation", "sample_size")
     )
     return out.orderBy(F.abs("correlation").desc()) if sort else out
@@ -293,7 +290,6 @@ def patient_risk_analysis(
     patients: DataFrame,
     predictions: DataFrame,
     rows_per_split: int = ROWS_PER_SPLIT,
-    max_hot: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     joined = join_on_unique_key(
         _score_side(predictions, "id").withColumnRenamed("id", "_prediction_id"),
@@ -301,7 +297,6 @@ def patient_risk_analysis(
         "patient_id",
         "id",
         rows_per_split,
-        max_hot,
     )
     return joined.select(
         "id",
@@ -329,9 +324,9 @@ def patient_profiles(
     )
 
 
-def mean_score_by_age_group(patients: DataFrame, predictions: DataFrame) -> DataFrame:
+def _mean_by_age_group(patients: DataFrame, sums: DataFrame) -> DataFrame:
     return (
-        with_patients(scores_per_patient(predictions), patients, "age_group")
+        with_patients(sums, patients, "age_group")
         .groupBy("age_group")
         .agg(mean_score().alias("_mean_score"))
     )
@@ -344,7 +339,6 @@ def risk_assessment(
     older_groups: Sequence[str] = OLDER_GROUPS,
     cutoff: float = RISK_FACTOR_CUTOFF,
     rows_per_split: int = ROWS_PER_SPLIT,
-    max_hot: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Every prediction with its patient, labels, and score relative to the
     mean score of the patient's age group.
@@ -355,16 +349,21 @@ def risk_assessment(
     returned as ``rule_risk_score``, since the view's own is the probability.
     """
     own = patients.withColumnRenamed("risk_score", "rule_risk_score")
-    means = mean_score_by_age_group(patients, predictions)
-    few_groups = at_most(patients.select("age_group").distinct(), BROADCAST_ROWS)
-    rated = attach_lookup(own, means, "age_group", few_groups)
+    sums = scores_per_patient(predictions)
+    means = _mean_by_age_group(patients, sums)
+    # The sums that the means need tell the hot keys too.
+    hot = hot_keys(sums.where("patient_id is not null"), "patient_id", rows_per_split, F.col("n"))
+    groups = means.withColumnRenamed("age_group", "_group")
+    # No hint and no job: AQE sees how small the means are.
+    same_group = F.col("age_group").eqNullSafe(F.col("_group"))
+    rated = own.join(groups, same_group, "left").select(*own.columns, "_mean_score")
     joined = join_on_unique_key(
         _score_side(predictions, "id").withColumnRenamed("id", "_prediction_id"),
         rated,
         "patient_id",
         "id",
         rows_per_split,
-        max_hot,
+        hot=hot,
     )
     score = F.col("_probability")
     return joined.select(

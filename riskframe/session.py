@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,5 +72,28 @@ def materialize(
     checkpoint the copy still serves single columns.
     """
     path = scratch_path(df.sparkSession, name)
+    if _OPEN_SCOPES:
+        _OPEN_SCOPES[-1].append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+_OPEN_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``materialize`` writes inside, once the work in it is stored.
+
+    For jobs that end in a write. A table that is still to be read must not
+    leave the scope. Tables written by other threads at the same time belong to
+    the scope too.
+    """
+    _OPEN_SCOPES.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _OPEN_SCOPES.pop():
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

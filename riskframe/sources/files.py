@@ -7,10 +7,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.operators.joins import at_most
-from riskframe.sources.schemas import PATIENTS, PREDICTIONS, RAW, RAW_COLUMNS, conform
-
-SMALL_FILE_ROWS = 100_000
+from riskframe.sources.schemas import (
+    PATIENTS,
+    PREDICTIONS,
+    RAW,
+    RAW_CLINICAL,
+    RAW_COLUMNS,
+    conform,
+)
 
 
 def load_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -44,11 +48,21 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTIONS).parquet(path).select(*PREDICTIONS.fieldNames())
 
 
-def write_small_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header. Refuses a table too large for one task."""
-    if not at_most(df, SMALL_FILE_ROWS):
-        raise ValueError(f"more than {SMALL_FILE_ROWS} rows; write the table as Parquet")
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def stored_predictions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The predictions at ``path``, if there are any yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return read_predictions(spark, path) if system.exists(place) else None
+
+
+def read_clinical(spark: SparkSession, path: str) -> DataFrame:
+    """The raw clinical table, with coded attributes."""
+    return spark.read.schema(RAW_CLINICAL).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header, as many as the table has partitions."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def run_time(at: datetime | None):

@@ -171,19 +171,20 @@ def test_id_and_raw_pattern_are_carried_on_request(spark):
 # --- joins ---------------------------------------------------------------
 
 
-def test_hot_keys_are_few_by_construction(spark):
-    rows = spark.range(1000).select(F.when(F.col("id") < 400, 1).otherwise(F.col("id")).alias("k"))
-    assert table(joins.hot_keys(rows, "k", rows_per_split=50, max_hot=10)) == [(1, 8)]
-    # With a third of the rows needed, nobody is hot.
-    assert table(joins.hot_keys(rows, "k", rows_per_split=50, max_hot=2)) == []
+def test_every_key_too_large_for_one_task_is_hot(spark):
+    key = F.when(F.col("id") < 400, 1).when(F.col("id") < 460, 2).otherwise(F.col("id"))
+    rows = spark.range(1000).select(key.alias("k"))
+    assert table(joins.hot_keys(rows, "k", rows_per_split=50)) == [(1, 8), (2, 2)]
+    sums = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert table(joins.hot_keys(sums, "k", 50, F.col("n"))) == [(1, 8), (2, 2)]
 
 
 def test_large_lookup_with_hot_and_null_keys(spark):
     key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id"))
     rows = spark.range(300).withColumn("k", key)
     lookup = spark.createDataFrame([(7, "seven"), (None, "none"), (10, "ten")], "k long, v string")
-    assert table(joins.hot_keys(rows, "k", 30, 100)) == [(7, 4), (None, 4)]
-    got = joins.attach_lookup(rows, lookup, "k", False, rows_per_split=30, max_hot=100)
+    assert table(joins.hot_keys(rows, "k", 30)) == [(7, 4), (None, 4)]
+    got = joins.attach_lookup(rows, lookup, "k", False, rows_per_split=30)
     plain = joins.attach_lookup(rows, lookup, "k", True)
     assert got.columns == plain.columns and table(got) == table(plain)
     # Row 7 has the key 7 as well.
@@ -195,7 +196,7 @@ def test_large_lookup_with_hot_and_null_keys(spark):
 def test_split_join_equals_plain_join(spark, patients, predictions, rows_per_split):
     right = patients.select(F.col("id").alias("pid"), "age_group")
     got = joins.join_on_unique_key(
-        predictions, right, "patient_id", "pid", rows_per_split, max_hot=1000
+        predictions, right, "patient_id", "pid", rows_per_split
     )
     plain = predictions.join(right, F.col("patient_id") == F.col("pid"))
     assert got.columns == plain.columns
@@ -203,7 +204,7 @@ def test_split_join_equals_plain_join(spark, patients, predictions, rows_per_spl
 
 
 def test_split_join_spreads_a_hot_key(spark, patients, predictions):
-    assert table(joins.hot_keys(predictions, "patient_id", 10, 100)) == [(3, 6)]
+    assert table(joins.hot_keys(predictions, "patient_id", 10)) == [(3, 6)]
     parts = predictions.where("patient_id = 3").select(
         F.pmod(joins.row_hash(predictions), F.lit(6)).alias("part")
     )
@@ -212,6 +213,9 @@ def test_split_join_spreads_a_hot_key(spark, patients, predictions):
 
 def test_size_check(spark):
     assert joins.at_most(spark.range(5), 5) and not joins.at_most(spark.range(6), 5)
+    long_text = spark.createDataFrame([("x" * 100,)], "k string")
+    assert joins.at_most(long_text, 5, 100) and not joins.at_most(long_text, 5, 99)
+    assert joins.at_most(spark.range(0), 5)
 
 
 @pytest.mark.parametrize("small, rows_per_split", [(True, 1), (False, 1), (False, 1000)])

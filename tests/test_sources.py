@@ -65,16 +65,13 @@ def test_predictions_are_appended(spark, predictions, tmp_path):
     assert "PartitionFilters: [isnotnull(model_name" in plan
 
 
-def test_small_csv(spark, tmp_path, monkeypatch):
+def test_csv_has_as_many_files_as_partitions(spark, tmp_path):
     path = tmp_path / "importance"
-    df = spark.createDataFrame([("x", 0.5)], "feature string, importance double")
-    files.write_small_csv(df, str(path))
-    written = list(path.glob("part-*.csv"))
-    assert len(written) == 1
-    assert written[0].read_text() == "feature,importance\nx,0.5\n"
-    monkeypatch.setattr(files, "SMALL_FILE_ROWS", 3)
-    with pytest.raises(ValueError):
-        files.write_small_csv(spark.range(4), str(path))
+    files.write_csv(spark.createDataFrame([("x", 0.5)], "feature string, importance double"), str(path))
+    texts = [f.read_text() for f in path.glob("part-*.csv")]
+    assert "feature,importance\nx,0.5\n" in texts
+    files.write_csv(spark.range(100_001).repartition(3), str(path))
+    assert len(list(path.glob("part-*.csv"))) == 3
 
 
 def test_metrics_and_codes_round_trip(spark, tmp_path):

@@ -62,7 +62,7 @@ def counts(rows, *keys):
     return near((*k, len(v)) for k, v in grouped(rows, *keys).items())
 
 
-SPLITS = [{}, {"rows_per_split": 4, "max_hot": 100}]
+SPLITS = [{}, {"rows_per_split": 4}]
 
 
 @pytest.mark.parametrize("split", SPLITS)
@@ -86,12 +86,6 @@ def test_risk_assessment(patients, predictions, joined, split):
     assert near(table(got.select(*cols))) == near(expected)
 
 
-def test_risk_assessment_with_many_age_groups(patients, predictions, monkeypatch):
-    expected = table(views.risk_assessment(patients, predictions))
-    monkeypatch.setattr(views, "BROADCAST_ROWS", 2)
-    assert table(views.risk_assessment(patients, predictions)) == expected
-
-
 def test_group_without_any_score(spark, patients, predictions):
     only_zero = predictions.where("patient_id = 1").withColumn("probability", F.lit(0.0))
     got = views.risk_assessment(patients, only_zero)

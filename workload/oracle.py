@@ -8,6 +8,7 @@ AGE_BINS = [
     (60, "55-60"), (65, "60-65"), (70, "65-70"), (100, ">70"),
 ]
 RISK_STEPS = [(0.2, "Low Risk"), (0.4, "Moderate Risk"), (0.6, "High Risk")]
+STRICT = [(0.1, "Low Risk"), (0.3, "Moderate Risk"), (0.5, "High Risk")]
 CONFIDENCE_STEPS = [(0.2, "Very Low"), (0.4, "Low"), (0.6, "Medium"), (0.8, "High")]
 
 
@@ -180,6 +181,20 @@ SHUFFLED = f"""{PATIENTS}, sh as (
   from pa
 )"""
 
+# Rows of the stratified fifth that is held out, and what must hold of each as a model scores it.
+IN_TEST = "(place <= floor(n * 0.2 + 0.5))"
+HELD_OUT = """id as patient_id, '{}' as model_name, target, true as probability_in_range,
+       true as class_follows_probability"""
+
+# The features that models are trained on.
+TRAINED = (
+    "age", "sex", "trestbps", "chol", "thalach", "age_group", "bp_age_interaction",
+    "chol_age_interaction", "hr_bp_interaction", "high_bp_risk", "high_chol_risk", "high_hr_risk",
+    "risk_score", "age_squared", "bp_squared", "chol_squared", "bp_chol_ratio", "hr_bp_ratio",
+    "quantum_pattern", "quantum_pattern_squared", "quantum_pattern_cubed", "sex_age_group",
+    "healthy_bp", "healthy_chol", "healthy_hr", "health_score", "risk_level",
+)
+
 CELLS = """
 cells as (
   select model_name, count(*) filter (target = 1 and prediction = 1) as tp,
@@ -340,10 +355,68 @@ select id, age, sex, target, age_group, cp_type, chol_normalized,
        cast(null as varchar) as risk_level, timestamp '2024-01-01' as created_at
 from pa"""),
     "predictions_store": _with(PREDICTIONS, "select * from pr"),
-    "orphan_predictions": _with(f"{PATIENTS}, {PREDICTIONS}", """
-select patient_id, count(*) as predictions from pr
-where patient_id not in (select id from pa where cp_type <> 'BUILDING')
+    "orphan_predictions": _with(f"""{PATIENTS}, {PREDICTIONS}, shifted as (
+  select case when id % 10 = 0 then patient_id + 100000000 else patient_id end as patient_id from pr
+)""", """
+select patient_id, count(*) as predictions from shifted
+where patient_id not in (select id from pa)
 group by patient_id"""),
+    "surrogate_rows": _with(MEASURES, """
+select *, true as in_range, true as own_id from (select distinct * from ms)"""),
+    "quantiles_with_infinities": """
+with v as (
+  select case user_id % 50 when 0 then 'inf'::double when 1 then '-inf'::double else value end as x
+  from events
+), ranked as (
+  select x, row_number() over (order by x) - 1 as place, count(*) over () - 1 as last from v
+), p as (
+  select unnest([0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]::double[]) as prob
+), found as (
+  select prob, l.x as low, h.x as high, prob * l.last - l.place as share
+  from p join ranked l on l.place = floor(prob * l.last)
+         join ranked h on h.place = ceil(prob * h.last)
+), q as (
+  select prob, case when share = 0 or low = high then low when isinf(high) then high
+                    when isinf(low) then low else low * (1 - share) + high * share end as x
+  from found
+)
+select prob, case when isinf(x) then null else round(x, 6) end as value,
+       case when isinf(x) then cast(sign(x) as int) else 0 end as infinite from q""",
+    "prepared_patients": _with(IMPUTED, f"""
+select age, sex, round(trestbps)::int as trestbps, round(chol)::int as chol,
+       round(thalach)::int as thalach, target, {_age_group("age")} as age_group,
+       round((trestbps - bp0) / (bp1 - bp0), 6) as trestbps_normalized,
+       round((chol - ch0) / (ch1 - ch0), 6) as chol_normalized,
+       round((thalach - hr0) / (hr1 - hr0), 6) as thalach_normalized, 2 as correlations
+from cl, (select min(trestbps) as bp0, max(trestbps) as bp1, min(chol) as ch0, max(chol) as ch1,
+                 min(thalach) as hr0, max(thalach) as hr1 from cl)"""),
+    "csv_importances": _with(METRICS, "select * from fi"),
+    "codes_store": _with(PATIENTS, " union all ".join(f"""
+select '{c}' as feature, value, row_number() over (order by value) - 1 as code
+from (select distinct coalesce({c}::varchar, 'None') as value from pa)"""
+        for c in ("age_group", "cp_type", "thal_type"))),
+    "metrics_store": _with(METRICS, """
+select model_name, sum(most) as most, count(*) as runs from mm group by model_name"""),
+    "ordered_demographics": _with(PATIENTS, """
+select row_number() over (order by age_group nulls first, sex nulls first) as position,
+       age_group, sex from (select distinct age_group, sex from pa)"""),
+    "views_with_thresholds": _with(JOINED, f"""
+select 'tableau_risk_assessment' as view, {_steps("probability", STRICT, "Very High Risk")}
+       as risk_category, count(*) as n from j group by all
+union all
+select 'tableau_patient_profiles', {_steps("probability", STRICT, "Very High Risk")}, count(*)
+from j group by all
+union all
+select 'risk_score_distribution', {_steps("probability", STRICT, "Very High Risk")}, count(*)
+from pr group by all"""),
+    "dash_filtered_demographics": _with(JOINED, """
+select age_group, sex, count(*) as total_patients,
+       count(*) filter (target = 1) as heart_disease_cases,
+       round(avg((target = 1)::int), 6) as heart_disease_rate,
+       round(avg(probability), 6) as avg_risk_score,
+       min(probability) as min_risk_score, max(probability) as max_risk_score
+from j where created_at >= timestamp '2024-01-05' and model_name in ('click', 'view') and sex = 1
+group by age_group, sex"""),
     "label_encode": _with(PATIENTS, f"""
 select id, {_rank_code("age_group")}, {_rank_code("cp_type")}, {_rank_code("fbs")},
        {_rank_code("thal_type")}
@@ -362,6 +435,33 @@ select id, target,
        (place > floor(n * 0.2 + 0.5))::int + (place > floor(n * 0.4 + 0.5))::int
        + (place > floor(n * 0.6 + 0.5))::int + (place > floor(n * 0.8 + 0.5))::int as fold
 from sh"""),
+    "train_lr_score": _with(SHUFFLED, f"""
+select {HELD_OUT.format("logistic_regression")}, true as nearly_at_rest
+from sh where {IN_TEST}"""),
+    "svm_score": _with(SHUFFLED, f"""
+select {HELD_OUT.format("svm")} from sh where {IN_TEST}"""),
+    "voting_score": _with(SHUFFLED, f"""
+select {HELD_OUT.format("voting_classifier")}, true as vote_is_mean, true as class_is_majority
+from sh where {IN_TEST}"""),
+    "stacking_score": _with(SHUFFLED, f"""
+select id as patient_id, target, cast(0 as bigint) as times_scored,
+       cast(null as integer) as left_out, true as probability_in_range
+from sh where {IN_TEST}
+union all
+select id, target, cast(1 as bigint),
+       (later > floor(m * 0.2 + 0.5))::int + (later > floor(m * 0.4 + 0.5))::int
+       + (later > floor(m * 0.6 + 0.5))::int + (later > floor(m * 0.8 + 0.5))::int, true
+from (select id, target, place - floor(n * 0.2 + 0.5) as later, n - floor(n * 0.2 + 0.5) as m
+      from sh where not {IN_TEST})"""),
+    "search_metrics": _with(SHUFFLED, f"""
+select 'decision_tree' as model_name, count(*) as held_out,
+       count(*) filter (target = 1) as positives, true as accuracy_fits, true as cv_in_range,
+       true as chosen_from_grid
+from sh where {IN_TEST}"""),
+    "forest_importance": f"""
+select unnest([{", ".join(f"'{name}'" for name in TRAINED)}]) as feature, true as in_range,
+       1.0::double as total, cast({len(TRAINED) * (len(TRAINED) + 1) // 2} as bigint)
+       as sum_of_places, true as trees_as_chosen""",
     "classification_metrics": _with(f"{JOINED}, {CELLS}", """
 select model_name, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy,
        coalesce(round(tp / nullif(tp + fp, 0), 6), 0) as precision,
@@ -371,3 +471,8 @@ from cells"""),
     "confusion_matrix": _with(f"{JOINED}, {CELLS}", """
 select model_name, tn, fp, fn, tp from cells"""),
 }
+
+ORACLE["dash_filtered_assessment"] = f"""
+select * from ({ORACLE["risk_assessment"]})
+where model_name in ('click', 'view') and risk_category in ('High Risk', 'Very High Risk')
+  and age_group in ('40-50', '50-55', '>70') and sex = 1"""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions import cut
+from riskframe.jobs import prepare_patients
 from riskframe.operators.cleaning import (
     clean,
     decode,
@@ -28,13 +29,13 @@ from riskframe.operators.metrics import (
     confusion_matrix,
 )
 from riskframe.operators.quality import orphan_predictions
-from riskframe.operators.quantiles import quantile_bins
+from riskframe.operators.quantiles import exact_quantiles, quantile_bins
 from riskframe.operators.sampling import assign_folds, stratified_parts
 from riskframe.plans import dashboard, views
 from riskframe.plans.catalog import register_views
-from riskframe.session import scratch_path
-from riskframe.sources import files
-from riskframe.sources.schemas import RAW_COLUMNS
+from riskframe.session import materialize, scratch_path
+from riskframe.sources import files, stores
+from riskframe.sources.schemas import IMPORTANCES, RAW_COLUMNS
 from workload import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,15 +64,7 @@ def on(source: Callable[..., DataFrame], view: Callable[..., DataFrame], *floats
 
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measurements written as a raw CSV file and read back."""
-    path = scratch_path(spark, "raw-csv")
-    names = {new: old for old, new in RAW_COLUMNS.items()}
-    raw = tables.raw_measures(spark, sf_dir).withColumn(
-        "quantum_pattern_raw", F.col("age") / 8
-    )
-    measured = {c: F.col(c).cast("int") for c in tables.NORMALIZED}
-    raw.withColumns(measured).select(*RAW_COLUMNS.values()).withColumnsRenamed(names).write.option(
-        "header", True
-    ).csv(path)
+    path = write_raw_csv(spark, sf_dir)
     loaded = files.load_raw(spark, path)
     return loaded.withColumns({c: F.col(c).cast("double") for c in tables.NORMALIZED})
 
@@ -113,6 +106,124 @@ def surrogate_ids(df: DataFrame) -> DataFrame:
     return numbered.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def surrogate_rows(df: DataFrame) -> DataFrame:
+    """The distinct rows, and whether each has an id of its own from 1 to their number."""
+    numbered = assign_ids(drop_duplicate_rows(df), "_id")
+    rows = [c for c in numbered.columns if c != "_id"]
+    number = numbered.agg(F.count(F.lit(1))).scalar()
+    same = Window.partitionBy("_id")
+    return numbered.select(
+        *rows,
+        F.col("_id").between(F.lit(1), number).alias("in_range"),
+        (F.count(F.lit(1)).over(same) == 1).alias("own_id"),
+    )
+
+
+def quantiles_with_infinities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the events' values, some of them infinite."""
+    place = F.col("user_id") % 50
+    values = tables.table(spark, sf_dir, "events").select(
+        F.when(place == 0, float("inf")).when(place == 1, float("-inf")).otherwise(F.col("value"))
+        .alias("x")
+    )
+    probs = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+    found = exact_quantiles(materialize(values, "values"), ["x"], probs)["x"]
+    rows = spark.createDataFrame(list(zip(probs, found)), "prob double, x double")
+    infinite = F.abs("x") == float("inf")
+    return rows.select(
+        "prob",
+        F.when(~infinite, F.round("x", DIGITS)).alias("value"),
+        F.when(infinite, F.signum("x")).otherwise(0).cast("int").alias("infinite"),
+    )
+
+
+def write_raw_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The measurements as a raw CSV file."""
+    path = scratch_path(spark, "raw-csv")
+    names = {new: old for old, new in RAW_COLUMNS.items()}
+    raw = tables.raw_measures(spark, sf_dir).withColumn("quantum_pattern_raw", F.col("age") / 8)
+    measured = {c: F.col(c).cast("int") for c in tables.NORMALIZED}
+    raw.withColumns(measured).select(*RAW_COLUMNS.values()).withColumnsRenamed(names).write.option(
+        "header", True
+    ).csv(path)
+    return path
+
+
+def prepared_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patients table as the job makes it from the CSV, with its number of correlations."""
+    folder = scratch_path(spark, "cohort")
+    prepare_patients(spark, write_raw_csv(spark, sf_dir), folder, datetime(2024, 1, 1))
+    patients = files.read_patients(spark, f"{folder}/patients")
+    correlated = views.feature_correlations(patients).agg(F.count(F.lit(1)).cast("int")).scalar()
+    return rounded(
+        patients.select(
+            "age", "sex", "trestbps", "chol", "thalach", "target", "age_group",
+            *tables.NORMALIZED.values(), correlated.alias("correlations"),
+        ),
+        *tables.NORMALIZED.values(),
+    )
+
+
+def csv_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances written as CSV and read back."""
+    path = scratch_path(spark, "importances")
+    ranked = views.feature_importance(tables.model_metrics(spark, sf_dir))
+    files.write_csv(ranked.select("model_name", "feature_name", "importance"), path)
+    schema = "model_name string, feature_name string, importance double"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def codes_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category codes stored and read back."""
+    path = scratch_path(spark, "stored-codes")
+    _, codes = encode_categoricals(
+        tables.patients(spark, sf_dir), ("age_group", "cp_type", "thal_type")
+    )
+    stores.save_codes(codes, path)
+    return stores.read_codes(spark, path)
+
+
+def metrics_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics appended in two runs and read back, with the importance of one feature in each."""
+    path = scratch_path(spark, "metrics")
+    rows = tables.model_metrics(spark, sf_dir)
+    for side in (F.col("model_name") < "m", F.col("model_name") >= "m"):
+        stores.append_metrics(rows.where(side), path)
+    entries = F.from_json("metrics", IMPORTANCES)
+    first = F.round(entries[0]["importance"] * 100).cast("long")
+    return stores.read_metrics(spark, path).groupBy("model_name").agg(
+        F.sum(first).alias("most"), F.count(F.lit(1)).alias("runs")
+    )
+
+
+def ordered_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view's rows in display order, numbered as they come."""
+    shown = views.presented(
+        "patient_demographics", views.patient_demographics(tables.patients(spark, sf_dir))
+    )
+    return assign_ids(shown.select("age_group", "sex"), "position")
+
+
+def views_with_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each risk category in the named views, with limits of the caller."""
+    register_views(
+        spark,
+        tables.patients(spark, sf_dir),
+        tables.predictions(spark, sf_dir),
+        tables.model_metrics(spark, sf_dir),
+        thresholds=(0.1, 0.3, 0.5),
+    )
+    counted = [
+        f"select '{view}' as view, risk_category, {n} as n from {view} group by risk_category"
+        for view, n in (
+            ("tableau_risk_assessment", "count(*)"),
+            ("tableau_patient_profiles", "count(*)"),
+            ("risk_score_distribution", "sum(patient_count)"),
+        )
+    ]
+    return spark.sql(" union all ".join(counted))
+
+
 def stored_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patients written to the canonical table and read back."""
     path = scratch_path(spark, "patients")
@@ -195,9 +306,12 @@ def matrix(patients: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of patients outside one market segment."""
-    known = tables.patients(spark, sf_dir).where(F.col("cp_type") != "BUILDING")
-    return orphan_predictions(known, tables.predictions(spark, sf_dir))
+    """Predictions whose patient is not in the table: every tenth key is shifted beyond it."""
+    patient = F.when(F.col("id") % 10 == 0, F.col("patient_id") + 100_000_000)
+    shifted = tables.predictions(spark, sf_dir).withColumn(
+        "patient_id", F.coalesce(patient, "patient_id")
+    )
+    return orphan_predictions(tables.patients(spark, sf_dir), shifted)
 
 
 def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,12 +335,37 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filtered_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dashboard.filtered_assessment(
+        tables.patients(spark, sf_dir),
+        tables.predictions(spark, sf_dir),
+        models=["click", "view"],
+        risk_categories=["High Risk", "Very High Risk"],
+        age_groups=["40-50", "50-55", ">70"],
+        sexes=[1],
+    )
+    return rounded(kept, "age_adjusted_risk")
+
+
+def filtered_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dashboard.filtered_demographics(
+        tables.patients(spark, sf_dir),
+        tables.predictions(spark, sf_dir),
+        dates=(datetime(2024, 1, 5), None),
+        models=["click", "view"],
+        sexes=[1],
+    )
+    return rounded(kept, "heart_disease_rate", "avg_risk_score")
+
+
 QUERIES: dict[str, Query] = {
     # one row per prediction
     "risk_assessment": on_both(views.risk_assessment, "age_adjusted_risk"),
     "patient_risk_analysis": on_both(views.patient_risk_analysis),
     "patient_profiles": on_both(views.patient_profiles),
     "dash_filtered": filtered,
+    "dash_filtered_assessment": filtered_assessment,
+    "dash_filtered_demographics": filtered_demographics,
     # aggregated views
     "model_performance": on(tables.predictions, views.model_performance, "avg_probability"),
     "risk_score_distribution": on(tables.predictions, views.risk_score_distribution),
@@ -246,6 +385,8 @@ QUERIES: dict[str, Query] = {
     "feature_importance_json": on(tables.model_metrics, views.feature_importance),
     "model_training_data": training_data,
     "registered_views": registered_views,
+    "views_with_thresholds": views_with_thresholds,
+    "ordered_demographics": ordered_demographics,
     # dashboard
     "dash_accuracy_by_model": on_both(dashboard.accuracy_by_model, "accuracy"),
     "dash_correct_by_category": on_both(dashboard.correctness_by_category),
@@ -271,6 +412,12 @@ QUERIES: dict[str, Query] = {
     "minmax_normalize": on(tables.raw_measures, normalized),
     "code_decode": decoded,
     "surrogate_ids": on(tables.raw_measures, surrogate_ids),
+    "surrogate_rows": on(tables.raw_measures, surrogate_rows),
+    "quantiles_with_infinities": quantiles_with_infinities,
+    "prepared_patients": prepared_patients,
+    "csv_importances": csv_importances,
+    "codes_store": codes_store,
+    "metrics_store": metrics_store,
     "patients_store": stored_patients,
     "predictions_store": stored_predictions,
     "orphan_predictions": orphans,

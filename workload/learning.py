@@ -137,7 +137,8 @@ def stacking_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     trained = start(spark, sf_dir)
     _, model = fit_svm(trained.train)
-    return finish(trained, models.SVM.name, model)
+    # The class is the side of the margin, which the calibrated probability may round away.
+    return finish(trained, models.SVM.name, model).drop("class_follows_probability")
 
 
 def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

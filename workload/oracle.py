@@ -439,7 +439,8 @@ from sh"""),
 select {HELD_OUT.format("logistic_regression")}, true as nearly_at_rest
 from sh where {IN_TEST}"""),
     "svm_score": _with(SHUFFLED, f"""
-select {HELD_OUT.format("svm")} from sh where {IN_TEST}"""),
+select id as patient_id, 'svm' as model_name, target, true as probability_in_range
+from sh where {IN_TEST}"""),
     "voting_score": _with(SHUFFLED, f"""
 select {HELD_OUT.format("voting_classifier")}, true as vote_is_mean, true as class_is_majority
 from sh where {IN_TEST}"""),

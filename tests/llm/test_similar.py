@@ -71,3 +71,36 @@ def test_resemblance_and_wide_fingerprints():
     assert len(prints) == len(set(prints)) == 4
     assert simhash.wide_fingerprints(b"", 2, 3) == [0, 0, 0]
     assert simhash.wide_fingerprints(b"one", 2, 1) != [0]
+
+
+def edited(seed=9):
+    """Texts of 300 words, each with one that shares 0.80 to 0.85 of its shingles: a passage replaced,
+    the tail cut, or words changed one by one."""
+    random.seed(seed)
+    pairs = []
+    while len(pairs) < 90:
+        text = [f"w{random.randrange(5_000)}" for _ in range(300)]
+        other, way = list(text), len(pairs) % 3
+        if way == 0:
+            length = random.randrange(20, 33)
+            at = random.randrange(300 - length)
+            other[at : at + length] = [f"v{random.randrange(5_000)}" for _ in range(length)]
+        elif way == 1:
+            other = other[: 300 - random.randrange(42, 62)]
+        else:
+            for at in random.sample(range(300), random.randrange(4, 8)):
+                other[at] = "changed"
+        texts = " ".join(text), " ".join(other)
+        if 0.8 <= simhash.resemblance(*texts, 5) <= 0.85:
+            pairs.append(texts)
+    return pairs
+
+
+def test_passages_replaced_and_tails_cut_are_found(spark):
+    pairs = edited()
+    rows = [(2 * n + i, text) for n, pair in enumerate(pairs) for i, text in enumerate(pair)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = dict(simhash.similar_documents(table).collect())
+    for way in range(3):
+        caught = [found[2 * n] == found[2 * n + 1] for n in range(way, len(pairs), 3)]
+        assert sum(caught) >= 0.9 * len(caught), (way, sum(caught), len(caught))

@@ -104,3 +104,14 @@ def test_passages_replaced_and_tails_cut_are_found(spark):
     for way in range(3):
         caught = [found[2 * n] == found[2 * n + 1] for n in range(way, len(pairs), 3)]
         assert sum(caught) >= 0.9 * len(caught), (way, sum(caught), len(caught))
+
+
+def test_texts_of_one_repeated_line_are_not_copies(spark):
+    random.seed(3)
+    line = "one line of nine words that fills a page " * 200
+    rows = [(n, line + " ".join(f"w{random.randrange(9_000)}" for _ in range(100))) for n in range(12)]
+    rows.append((12, rows[5][1].replace(" w", " changed w", 1)))
+    found = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # Their fingerprints are close, their distinct shingles are not.
+    assert max((simhash.fingerprint(a.encode()) ^ simhash.fingerprint(rows[0][1].encode())).bit_count() for _, a in rows) <= 3
+    assert found == {n: n for n in range(12)} | {12: 5}

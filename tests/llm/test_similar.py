@@ -115,3 +115,20 @@ def test_texts_of_one_repeated_line_are_not_copies(spark):
     # Their fingerprints are close, their distinct shingles are not.
     assert max((simhash.fingerprint(a.encode()) ^ simhash.fingerprint(rows[0][1].encode())).bit_count() for _, a in rows) <= 3
     assert found == {n: n for n in range(12)} | {12: 5}
+
+
+def test_pairs_that_do_not_resemble_the_first_of_their_entry_are_found(spark):
+    random.seed(2)
+    passage = " ".join(f"p{n}" for n in range(200))
+    rows = []
+    for n in range(10):
+        own = [f"w{random.randrange(9_000)}" for _ in range(100)]
+        rows += [(3 * n + i, f"{passage} {' '.join(own)} end{i}") for i in range(3)]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    signatures = spark.createDataFrame(
+        [(i, bytearray(simhash.signature(t.encode()).tobytes())) for i, t in rows], "node long, signature binary"
+    )
+    members = given.selectExpr("7L as key", "doc_id as node")
+    links = simhash._links(members, given, signatures, 5, 0.8)
+    found = simhash.connected_components(links).collect()
+    assert {r.node: r.component for r in found} == {n: n - n % 3 for n in range(30)}

@@ -186,11 +186,11 @@ def mix(
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """Whole rows of ``docs`` in the order of the mixture, as often as they are passed.
 
-    ``docs`` is a stored table: its rows are told apart by their place, which is
-    the same whenever it is read. Texts are shuffled once to meet their places
-    in the mixture, and once into order.
+    Rows are told apart by a number that is stored with them once: how a table is
+    cut into partitions may change from job to job. Texts are shuffled once to meet
+    their places in the mixture, and once into order.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     places = mix(numbered, id_col="_row", **options).select(
         F.col("doc_id").alias("_of"), F.col("fraction").alias("_fraction")
     )

@@ -46,3 +46,19 @@ def test_run_equals_its_stages(spark, folder):
 def test_names_of_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.without_copies, corpus_pipeline.mixed])
+def test_rows_keep_their_numbers_when_the_table_is_cut_otherwise(spark, tmp_path, stage):
+    rows = [(i, f"text {i} of its own", "big" if i % 4 else "small") for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    after = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    # As if executors had come or gone between two jobs: files are packed into other partitions.
+    spark.conf.set("spark.sql.files.minPartitionNum", 1)
+    try:
+        found = Counter((r.doc_id, r.text, r.source) for r in after.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert set(found) == set(rows)
+    assert all(n == 1 for row, n in found.items() if stage is not corpus_pipeline.mixed or row[2] == "big")

@@ -106,7 +106,7 @@ SENTENCES = [
     ("mit", "as is", r"the software is provided .as is., without warranty of any kind, express or implied", 60),
     ("isc", "with or without fee", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted", 90),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification, are permitted", 85),
-    ("bsd-3-clause", "neither the name", r"neither the names? of .{1,120}? may be used to endorse or promote products derived from", 88),
+    ("bsd-3-clause", "neither the name", r"neither the names? of [\s\S]{1,500}? may be used to endorse or promote products derived from", 88),
     ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display", 92),
     ("apache-2.0", "you may not use this file", r"you may not use this file except in compliance with the licen[sc]e", 85),
     ("apache-2.0", "without warranties or conditions", r"without warranties or conditions of any kind, either express or implied", 60),
@@ -228,7 +228,9 @@ class Scanner:
         place and by their order. One that lies inside a place already taken is
         suppressed.
         """
-        tried = {n for _, numbers in self.keywords.iter(low.decode("latin-1")) for n in numbers}
+        # A rule's blank is any white space, so its keyword is looked up among single blanks.
+        folded = b" ".join(low.split()).decode("latin-1")
+        tried = {n for _, numbers in self.keywords.iter(folded) for n in numbers}
         levels: dict[int, list[tuple[int, int, int]]] = {}
         for number in tried:
             rule = self.rules[number]

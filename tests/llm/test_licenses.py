@@ -95,3 +95,21 @@ def test_awkward_and_empty_tables(docs, awkward, no_docs):
     rows = licenses.scan(docs).collect()
     assert sorted(r.n_words for r in rows) == sorted(len(words_of(t)) for _, t, _ in awkward)
     assert licenses.scan(no_docs).count() == 0
+
+
+def test_wrapped_notices_are_found():
+    for text, label in (
+        ("Permission is hereby granted, free of\ncharge, to any person obtaining a copy of this  software", "mit"),
+        ("Redistribution  and\n use in source and binary forms, with or without modification, are permitted", "bsd"),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or\nwithout fee is hereby granted", "isc"),
+        ("it is in the public\ndomain", "public-domain"),
+        ("released under the Common  Public License", "cpl-1.0"),
+        ("the SIL Open\r\nFont License", "ofl-1.1"),
+        ("GNU General Public License as published by the Free Software\nFoundation", "gpl"),
+        ("Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or "
+         "promote products derived from", "bsd-3-clause"),
+    ):
+        assert labels(text) == label
+        # Places are those of the text as it is.
+        found = SCANNER.detections(text.lower().encode())
+        assert found[-1][1] <= 30 and len(text) - 1 <= found[-1][2] <= len(text)

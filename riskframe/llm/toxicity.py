@@ -173,16 +173,17 @@ def _gathered(rows: DataFrame) -> list[np.ndarray]:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["places"])
 
-    packed = rows.select("_text").mapInArrow(features, "places binary").toPandas()["places"]
-    return [np.frombuffer(p, dtype="<i4") for p in packed]
+    # Views of what Arrow received, so that the driver holds a sample once.
+    packed = rows.select("_text").mapInArrow(features, "places binary").toArrow()["places"]
+    return [np.frombuffer(p.as_buffer(), dtype="<i4") for p in packed]
 
 
 def train(
     docs: DataFrame,
     labels: DataFrame,
     learn: Column | None = None,
-    most_positive: int = 4_000,
-    most_unlabelled: int = 8_000,
+    most_positive: int = 8_000,
+    most_unlabelled: int = 16_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 11,

@@ -85,3 +85,10 @@ def test_risk_is_not_driven_below_zero():
     model = toxicity.fit_nnpu(rows[:100], rows[100:], 0.2)
     assert not model.weights.any()
     assert -4 < model.bias < 1
+
+
+def test_samples_are_as_large_as_they_were():
+    import inspect
+
+    given = inspect.signature(toxicity.train).parameters
+    assert given["most_positive"].default >= 8_000 and given["most_unlabelled"].default >= 16_000

@@ -26,7 +26,7 @@ from riskframe.llm.common import LOWER, ceil_div, column, crc_of_id, table, whol
 from riskframe.session import materialize
 
 #: Words that are outputs of the model of their own; all others share classes by how they begin.
-WORDS = 1_024
+WORDS = 2_048
 SHARED = 512
 BEGINNING = 3
 #: Words whose counts every task has at hand, and the longest of them in bytes. The counts of
@@ -170,26 +170,35 @@ class LogBilinear:
         )
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits by the class before, by the one before that, and log of their norm.
+        """What classes add to the context as the one before, as the one before that, and
+        log of the norm of each pair.
 
         The score is a sum of the two, so the norm of a pair of classes is a
-        product of two rows of exponentials: one matrix product has them all.
+        product of two rows of exponentials: one matrix product has them all. It
+        is worked out a few rows at a time, as the norms are large by themselves.
         """
-        near = (self.r * self.c1) @ self.q.T
-        far = (self.r * self.c2) @ self.q.T + self.b
-        top, top_far = near.max(axis=1), far.max(axis=1)
-        norm = np.exp(near - top[:, None]) @ np.exp(far - top_far[:, None]).T
-        np.log(np.maximum(norm, 1e-30, out=norm), out=norm)
-        norm += top[:, None] + top_far
+        near, far = self.r * self.c1, self.r * self.c2
+        high = far @ self.q.T
+        high += self.b
+        top_far = high.max(axis=1)
+        high -= top_far[:, None]
+        np.exp(high, out=high)
+        norm = np.empty((len(near), len(far)), dtype=np.float32)
+        for start in range(0, len(near), 256):
+            low = near[start : start + 256] @ self.q.T
+            top = low.max(axis=1)
+            low -= top[:, None]
+            part = np.matmul(np.exp(low, out=low), high.T, out=norm[start : start + 256])
+            np.log(np.maximum(part, 1e-30, out=part), out=part)
+            part += top[:, None] + top_far
         return near, far, norm
 
     def log_probabilities(
         self, tables: tuple, target: np.ndarray, before: np.ndarray, earlier: np.ndarray
     ) -> np.ndarray:
         near, far, norm = tables
-        return (near[before, target] + far[earlier, target] - norm[before, earlier]).astype(
-            np.float64
-        )
+        logits = np.einsum("ij,ij->i", near[before] + far[earlier], self.q[target]) + self.b[target]
+        return (logits - norm[before, earlier]).astype(np.float64)
 
 
 class Trainer:

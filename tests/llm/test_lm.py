@@ -129,3 +129,26 @@ def test_many_copies_are_averaged(spark):
     row = packed.mapInArrow(lm._average, packed.schema).first()
     assert row.tokens == 6
     assert np.frombuffer(row.parameters, np.float32) == pytest.approx([14 / 6] * 3)
+
+
+def test_all_words_of_their_own_in_little_memory():
+    import tracemalloc
+
+    assert lm.WORDS >= 2_048
+    outputs = lm.WORDS + lm.SHARED + 1
+    noise = np.random.default_rng(1).random(outputs)
+    network = lm.LogBilinear.start(noise / noise.sum(), 1)
+    square = 4 * (outputs + 1) ** 2
+    tracemalloc.start()
+    tables = network.tables()
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # One square of single precision stays, and one more beside it is needed to work it out.
+    assert kept < 1.1 * square and most < 2.5 * square
+    before, earlier = np.array([0, 7, outputs]), np.array([outputs, 3, 9])
+    near, far = network.r[before] * network.c1, network.r[earlier] * network.c2
+    logits = ((near + far) @ network.q.T + network.b).astype(np.float64)
+    target = np.array([5, 2_000, 2_400])
+    expected = logits[np.arange(3), target] - np.log(np.exp(logits).sum(axis=1))
+    found = network.log_probabilities(tables, target, before, earlier)
+    assert found == pytest.approx(expected, abs=1e-4)

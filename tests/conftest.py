@@ -65,15 +65,3 @@ def prediction_rows():
 @pytest.fixture(scope="session")
 def predictions(spark, prediction_rows):
     return spark.createDataFrame(prediction_rows, PREDICTIONS).repartition(3)
-
-
-def table(df, *order):
-    """Rows as plain tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)
-
-
-def near(rows, digits=9):
-    """Floats rounded for comparison."""
-    return sorted(
-        (tuple(round(x, digits) if isinstance(x, float) else x for x in r) for r in rows), key=repr
-    )

@@ -2,7 +2,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
-from conftest import table
+from helpers import table
 
 from riskframe import __main__ as command
 from riskframe import jobs

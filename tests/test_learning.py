@@ -2,7 +2,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
-from conftest import near, table
+from helpers import near, table
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 

@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import near, table
+from helpers import near, table
 from pyspark.sql import functions as F
 
 from riskframe.operators import (

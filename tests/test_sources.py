@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import table
+from helpers import table
 from pyspark.sql import functions as F
 
 from riskframe import session

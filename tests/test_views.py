@@ -4,7 +4,7 @@ from collections import defaultdict
 from datetime import datetime
 
 import pytest
-from conftest import near, table
+from helpers import near, table
 from pyspark.sql import functions as F
 
 from riskframe.plans import dashboard, views

@@ -116,6 +116,10 @@ def _streamed(
         ]
         if held is not None:
             rows = [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
+        # Copies of a row are one document, and stand together.
+        other = np.ones(len(rows[0]), dtype=bool)
+        other[1:] = np.logical_or.reduce([r[1:] != r[:-1] for r in rows])
+        rows = [r[other] for r in rows]
         number = len(rows[0])
         new_key = np.ones(number, dtype=bool)
         new_key[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
@@ -195,7 +199,7 @@ def keep_bitmaps(
     Keys are compared by 128-bit hashes.
 
     ``keep`` is a zlib-compressed string of bits, little end first: 1 for a line
-    that stays. It ends at the last line that goes, and documents that lose no
+    that stays. It ends with the byte of the last line that goes, and documents that lose no
     line have no row, so nothing of the texts is written or moved here.
 
     Rows of equal id and equal text are one document; a null or empty text is one
@@ -211,7 +215,8 @@ def keep_bitmaps(
             bitmaps, numbers = [], []
             for gone in batch.column(2):
                 places = gone.values.to_numpy()
-                bits = np.ones(int(places.max()) + 1, dtype=bool)
+                # Whole bytes: what follows on the last line that goes stays.
+                bits = np.ones(int(places.max()) // 8 * 8 + 8, dtype=bool)
                 bits[places] = False
                 bitmaps.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes()))
                 numbers.append(len(places))

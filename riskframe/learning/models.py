@@ -6,41 +6,22 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml import Estimator
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+
+from riskframe.learning.newton import NewtonClassifier
+from riskframe.learning.trees import Cut
 
 LABEL, FEATURES, WEIGHT, FOLD = "target", "features", "weight", "fold"
+KERNEL_FEATURES = "kernel_features"
 SEED = 42
 FOLDS = 5
-# Spark's own defaults. Both are parameters of a candidate (``max_iter`` and ``tol``);
-# ``converged`` tells whether a fit came to rest before, and ``logistic_gradient`` how
-# steep the loss still is.
-MAX_ITERATIONS = 100
-TOLERANCE = 1e-6
-
 Params = dict[str, float]
 
 
-def penalty(params: Params, rows: float) -> float:
-    """Spark averages the loss over the rows, the constant C scales their sum."""
-    return 1.0 / (params["C"] * rows)
-
-
 def logistic(params: Params, rows: float) -> Estimator:
-    return LogisticRegression(
-        featuresCol=FEATURES,
-        labelCol=LABEL,
-        weightCol=WEIGHT,
-        regParam=penalty(params, rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=int(params.get("max_iter", MAX_ITERATIONS)),
-        tol=params.get("tol", TOLERANCE),
+    return NewtonClassifier(
+        featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, C=float(params["C"])
     )
 
 
@@ -69,42 +50,64 @@ def forest(params: Params, rows: float) -> Estimator:
 
 
 def svm(params: Params, rows: float) -> Estimator:
-    """Linear machine on Fourier features, in place of a kernel machine."""
-    return LinearSVC(
-        featuresCol="fourier",
+    """Linear machine on kernel features, which makes it one with the kernel."""
+    return NewtonClassifier(
+        featuresCol=KERNEL_FEATURES,
         labelCol=LABEL,
         weightCol=WEIGHT,
-        regParam=penalty(params, rows),
-        standardization=False,
-        maxIter=int(params.get("max_iter", MAX_ITERATIONS)),
-        tol=params.get("tol", TOLERANCE),
+        C=float(params["C"]),
+        loss="hinge",
     )
 
 
-def converged(model: Model) -> bool:
-    """Whether an iterative fit ended by itself, and not at its limit of iterations."""
-    summary = model.summary() if callable(model.summary) else model.summary
-    return summary.totalIterations < model.getMaxIter()
+def cut_of(params: Params) -> Cut:
+    """How far a deep fit has to be cut back to be this candidate."""
+    trees = params.get("n_estimators")
+    return Cut(
+        int(params["max_depth"]),
+        int(params.get("min_samples_split", 2)),
+        None if trees is None else int(trees),
+    )
 
 
 @dataclass(frozen=True)
 class Spec:
+    """A classifier and its grid.
+
+    Candidates that differ in the parameters of ``cut`` alone come from one fit with
+    the largest of these, cut back. With a ``loss``, candidates are penalties ``C``
+    of a linear model on the column ``features``, and all are solved together.
+    """
+
     name: str
     build: Callable[[Params, float], Estimator]
     grid: dict[str, Sequence[float]]
+    cut: tuple[str, ...] = ()
+    loss: str | None = None
+    features: str = FEATURES
 
     def candidates(self) -> list[Params]:
         return [dict(zip(self.grid, values)) for values in product(*self.grid.values())]
 
 
-# The grids searched. A minimum of rows to split a node has no
-# counterpart in Spark's trees, so that dimension is missing.
-LOGISTIC = Spec("logistic_regression", logistic, {"C": (0.1, 1, 10)})
-TREE = Spec("decision_tree", tree, {"max_depth": (3, 4, 5), "min_samples_leaf": (1, 2)})
+# The grids searched.
+LOGISTIC = Spec("logistic_regression", logistic, {"C": (0.1, 1, 10)}, loss="logistic")
+TREE = Spec(
+    "decision_tree",
+    tree,
+    {"max_depth": (3, 4, 5), "min_samples_split": (2, 5), "min_samples_leaf": (1, 2)},
+    cut=("max_depth", "min_samples_split"),
+)
 FOREST = Spec(
     "random_forest",
     forest,
-    {"n_estimators": (100, 200), "max_depth": (5, 6, 7), "min_samples_leaf": (1, 2)},
+    {
+        "n_estimators": (100, 200),
+        "max_depth": (5, 6, 7),
+        "min_samples_split": (2, 3),
+        "min_samples_leaf": (1, 2),
+    },
+    cut=("n_estimators", "max_depth", "min_samples_split"),
 )
-SVM = Spec("svm", svm, {"C": (0.1, 1, 10)})
+SVM = Spec("svm", svm, {"C": (0.1, 1, 10)}, loss="hinge", features=KERNEL_FEATURES)
 SPECS = (LOGISTIC, TREE, FOREST, SVM)

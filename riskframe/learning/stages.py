@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasInputCols, HasOutputCol, HasSeed
+from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,51 +29,3 @@ class SoftVote(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWr
                 "prediction": (mean > 0.5).cast("double"),
             }
         )
-
-
-class FourierFeatures(
-    Transformer, HasFeaturesCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable
-):
-    """Random Fourier features of a Gaussian kernel (Rahimi and Recht, 2007).
-
-    A linear model on them approximates one with the kernel
-    ``exp(-gamma * |x - y|^2)``.
-    """
-
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-    size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
-    inputSize = Param(Params._dummy(), "inputSize", "length of the input", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(
-        self,
-        *,
-        featuresCol: str = "features",
-        outputCol: str = "fourier",
-        gamma: float = 1.0,
-        size: int = 128,
-        inputSize: int = 1,
-        seed: int = 42,
-    ):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        gamma, size, width, seed = (
-            self.getOrDefault(p) for p in (self.gamma, self.size, self.inputSize, self.seed)
-        )
-
-        @F.pandas_udf("array<double>")
-        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            draw = np.random.default_rng(seed)
-            directions = draw.normal(scale=np.sqrt(2 * gamma), size=(width, size))
-            shifts = draw.uniform(0, 2 * np.pi, size)
-            for batch in batches:
-                if len(batch):
-                    waves = np.cos(np.stack(batch.to_list()) @ directions + shifts)
-                    yield pd.Series(list(waves * np.sqrt(2 / size)))
-                else:
-                    yield pd.Series([], dtype=object)
-
-        source = vector_to_array(F.col(self.getFeaturesCol()))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(project(source)))

@@ -8,31 +8,39 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.learning.kernel import Nystrom, NystromModel
 from riskframe.learning.models import (
     FEATURES,
     FOLD,
     FOLDS,
+    KERNEL_FEATURES,
     LABEL,
     SEED,
     SVM,
     WEIGHT,
     Params,
     Spec,
+    cut_of,
 )
-from riskframe.learning.stages import FourierFeatures, SoftVote
+from riskframe.learning.newton import NewtonClassifier, Problem, fit_linear, linear_model
+from riskframe.learning.stages import SoftVote
+from riskframe.learning.trees import Cut, SavedTrees
 from riskframe.operators.joins import BROADCAST_ROWS, at_most, attach_lookup
 from riskframe.operators.metrics import class_weights
 from riskframe.operators.sampling import assign_folds
 from riskframe.session import materialize
 
 NOT_FEATURES = ("id", LABEL, "created_at")
+#: Landmarks of the kernel machine, at most.
+LANDMARKS = 256
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> list[str]:
@@ -51,6 +59,8 @@ class TrainingSet:
     rows: DataFrame
     assembler: VectorAssembler
     size: int
+    #: What makes a linear model's features out of the assembled ones.
+    mapped: Callable[[np.ndarray], np.ndarray] = lambda x: x
 
     @property
     def columns(self) -> list[str]:
@@ -104,13 +114,7 @@ def precisions(models: Sequence[Model], rows: DataFrame) -> list[float]:
         if quiet.hasParam("probabilityCol"):
             quiet = quiet.setProbabilityCol("")
         scored = quiet.transform(scored)
-        positive = F.col(out) == 1
-        cells.append(
-            F.coalesce(
-                F.try_divide(F.count_if(positive & (F.col(LABEL) == 1)), F.count_if(positive)),
-                F.lit(0.0),
-            ).alias(out)
-        )
+        cells.append(precision_of(F.col(out) == 1).alias(out))
     return list(scored.agg(*cells).first())
 
 
@@ -123,27 +127,112 @@ def in_threads(tasks: Iterable[Callable[[], Any]], parallelism: int) -> list:
 def grid_search(train: TrainingSet, spec: Spec, parallelism: int = 8) -> SearchResult:
     """The candidate with the best mean precision over the folds, refitted on all rows.
 
-    Unlike ``CrossValidator`` it scores the candidates of a fold together,
-    picks the rows of a fold by a plain filter, and keeps the best candidate's
-    fold models, which stacking and calibration need again.
+    Candidates share what they can: those that are one deep tree or forest cut
+    back share its fit, and all penalties and folds of a logistic regression
+    share their passes. The candidates of a fold are scored together, the rows of a
+    fold are picked by a plain filter, and the best candidate's fold models are
+    kept, which stacking and calibration need again.
     """
+    if spec.cut:
+        return _search_cuts(train, spec, parallelism)
     candidates = spec.candidates()
-    fits = [
-        lambda fold=fold, params=params: spec.build(params, train.fold_size).fit(
-            train.outside(fold)
+    if spec.loss:
+        problems = [
+            Problem(params["C"], fold) for fold in (*range(FOLDS), None) for params in candidates
+        ]
+        found = fit_linear(
+            train.rows, problems, FEATURES, LABEL, WEIGHT, FOLD, spec.loss, train.mapped
         )
-        for fold in range(FOLDS)
-        for params in candidates
-    ]
-    fitted = in_threads(fits, parallelism)
+        fitted = [
+            linear_model(train.rows, x, spec.features, LABEL, WEIGHT, spec.loss) for x in found
+        ]
+    else:
+        fits = [
+            lambda fold=fold, params=params: spec.build(params, train.fold_size).fit(
+                train.outside(fold)
+            )
+            for fold in range(FOLDS)
+            for params in candidates
+        ]
+        fitted = in_threads(fits, parallelism)
     by_fold = [fitted[i : i + len(candidates)] for i in range(0, len(fitted), len(candidates))]
-    scores = [precisions(models, train.inside(fold)) for fold, models in enumerate(by_fold)]
+    scores = [precisions(by_fold[fold], train.inside(fold)) for fold in range(FOLDS)]
     means = [sum(column) / FOLDS for column in zip(*scores)]
     best = means.index(max(means))
-    model = spec.build(candidates[best], train.size).fit(train.rows)
+    if spec.loss:
+        model = by_fold[FOLDS][best]
+    else:
+        model = spec.build(candidates[best], train.size).fit(train.rows)
     return SearchResult(
-        spec.name, candidates[best], means[best], model, [models[best] for models in by_fold]
+        spec.name, candidates[best], means[best], model,
+        [by_fold[fold][best] for fold in range(FOLDS)],
+    )
+
+
+def _search_cuts(train: TrainingSet, spec: Spec, parallelism: int) -> SearchResult:
+    """Search over candidates that come from a few deep fits."""
+    spark = train.rows.sparkSession
+    candidates = spec.candidates()
+    # Candidates by what a cut cannot change.
+    families: dict[tuple, list[int]] = {}
+    for i, params in enumerate(candidates):
+        rest = tuple((k, v) for k, v in params.items() if k not in spec.cut)
+        families.setdefault(rest, []).append(i)
+    largest = {k: max(spec.grid[k]) for k in spec.cut if k != "min_samples_split"}
+
+    def fitted(rows: DataFrame, family: tuple, size: float) -> SavedTrees:
+        return SavedTrees(spark, spec.build({**dict(family), **largest}, size).fit(rows))
+
+    tasks = [
+        lambda fold=fold, family=family: fitted(train.outside(fold), family, train.fold_size)
+        for fold in range(FOLDS)
+        for family in families
+    ]
+    deep = in_threads(tasks, parallelism)
+    models = {
+        (fold, family): deep[fold * len(families) + j]
+        for fold in range(FOLDS)
+        for j, family in enumerate(families)
+    }
+
+    def scores(fold: int, family: tuple) -> list[float]:
+        cuts = [cut_of(candidates[i]) for i in families[family]]
+        return cut_precisions(models[fold, family], train.inside(fold), cuts)
+
+    scored = in_threads(
+        [lambda fold=f, family=g: scores(fold, family) for f in range(FOLDS) for g in families],
+        parallelism,
+    )
+    sums = [0.0] * len(candidates)
+    for at, values in enumerate(scored):
+        family = list(families)[at % len(families)]
+        for i, value in zip(families[family], values, strict=True):
+            sums[i] += value
+    best = sums.index(max(sums))
+    params = candidates[best]
+    family = next(f for f, members in families.items() if best in members)
+    whole = fitted(train.rows, family, train.size)
+    cut = cut_of(params)
+    fold_models = in_threads(
+        [lambda fold=fold: models[fold, family].cut_back(cut) for fold in range(FOLDS)], parallelism
     )
+    return SearchResult(spec.name, params, sums[best] / FOLDS, whole.cut_back(cut), fold_models)
+
+
+def cut_precisions(saved: SavedTrees, rows: DataFrame, cuts: Sequence[Cut]) -> list[float]:
+    """Precision of class 1 of a deep model after each cut, all in one pass over the rows."""
+    reached, classes = saved.classes(rows, cuts)
+    cells = []
+    for i in range(len(cuts)):
+        positive = F.col("_classes")[i] == 1
+        cells.append(precision_of(positive).alias(f"_{i}"))
+    return list(reached.select(LABEL, classes.alias("_classes")).agg(*cells).first())
+
+
+def precision_of(positive: Column) -> Column:
+    """Share of label 1 among the rows held positive; 0 where none is."""
+    true = F.count_if(positive & (F.col(LABEL) == 1))
+    return F.coalesce(F.try_divide(true, F.count_if(positive)), F.lit(0.0))
 
 
 # --- models ready for scoring --------------------------------------------
@@ -170,10 +259,10 @@ def soft_vote(train: TrainingSet, bases: Sequence[SearchResult]) -> PipelineMode
     return PipelineModel([train.assembler, *voters, vote])
 
 
-def logistic_gradient(train: TrainingSet, model: Model) -> float:
-    """Largest slope of the penalized loss at the fitted coefficients, in one aggregate.
+def logistic_gradient(train: TrainingSet, model: Model, C: float) -> float:
+    """Largest slope of the penalised loss at the fitted coefficients, in one aggregate.
 
-    Per feature in units of its standard deviation, as the optimizer sees it.
+    Per unit of weight, and per feature in units of its root mean square.
     """
     scored = model.transform(train.rows)
     off = F.col(WEIGHT) * (vector_to_array(model.getProbabilityCol())[1] - F.col(LABEL))
@@ -182,13 +271,13 @@ def logistic_gradient(train: TrainingSet, model: Model) -> float:
         F.sum(WEIGHT).alias("_weight"),
         F.sum(off).alias("_intercept"),
         *[F.sum(off * F.col(c)).alias(f"_g{i}") for i, c in enumerate(cols)],
-        *[F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(cols)],
+        *[F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"_s{i}") for i, c in enumerate(cols)],
     ).first()
-    slopes = [abs(sums["_intercept"]) / sums["_weight"]]
+    unit = C * sums["_weight"]
+    slopes = [abs(C * sums["_intercept"] + model.intercept) / unit]
     for i, beta in enumerate(model.coefficients.toArray()):
         if sums[f"_s{i}"]:
-            slope = sums[f"_g{i}"] / sums["_weight"] + model.getRegParam() * float(beta)
-            slopes.append(abs(slope) / sums[f"_s{i}"])
+            slopes.append(abs(C * sums[f"_g{i}"] + float(beta)) / sums[f"_s{i}"] / unit)
     return max(slopes)
 
 
@@ -236,47 +325,31 @@ def fit_stacking(train: TrainingSet, bases: Sequence[SearchResult]) -> PipelineM
     return PipelineModel([train.assembler, *voters, joined, slicer, final])
 
 
-def kernel_width(train: TrainingSet) -> float:
-    """``1 / (columns * variance of all feature values)``, in one aggregate."""
-    cols = train.columns
-    sums = train.rows.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.avg(F.col(c) * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)],
-    ).first()
-    mean = sum(sums[f"m{i}"] for i in range(len(cols))) / len(cols)
-    square = sum(sums[f"s{i}"] for i in range(len(cols))) / len(cols)
-    variance = square - mean * mean
-    return 1.0 / (len(cols) * variance) if variance > 0 else 1.0
-
-
-def with_fourier(train: TrainingSet, size: int = 128) -> tuple[TrainingSet, FourierFeatures]:
-    stage = FourierFeatures(
-        featuresCol=FEATURES, outputCol="fourier", gamma=kernel_width(train), size=size,
-        inputSize=len(train.columns), seed=SEED,
-    )
-    return TrainingSet(stage.transform(train.rows), train.assembler, train.size), stage
+def with_kernel(train: TrainingSet, size: int) -> tuple[TrainingSet, NystromModel]:
+    stage = Nystrom(
+        featuresCol=FEATURES, outputCol=KERNEL_FEATURES, size=size, seed=SEED
+    ).fit(train.rows)
+    mapped = stage.transform(train.rows)
+    return TrainingSet(mapped, train.assembler, train.size, stage.mapping()), stage
 
 
 def fit_svm(
-    train: TrainingSet, spec: Spec = SVM, size: int = 128, parallelism: int = 8
+    train: TrainingSet, spec: Spec = SVM, size: int = LANDMARKS, parallelism: int = 8
 ) -> tuple[SearchResult, PipelineModel]:
-    """Support vector machine with probabilities.
+    """Support vector machine with a Gaussian kernel and probabilities.
 
-    The margins are turned into probabilities by a logistic regression on
+    The kernel is that of standardised columns, approximated by ``size`` landmarks
+    at most. The margins are turned into probabilities by a logistic regression on
     out-of-fold margins (Platt, 1999).
     """
-    mapped, stage = with_fourier(train, size)
+    mapped, stage = with_kernel(train, size)
     found = grid_search(mapped, spec, parallelism)
     # The raw prediction is [-margin, margin].
     slicer = VectorSlicer(inputCol="rawPrediction", outputCol="_margin", indices=[1])
     unseen = out_of_fold(mapped, lambda fold: [found.fold_models[fold]])
     inputs = slicer.transform(unseen).select("_margin", LABEL, WEIGHT)
-    calibration = LogisticRegression(
-        featuresCol="_margin",
-        labelCol=LABEL,
-        weightCol=WEIGHT,
-        regParam=1.0 / train.size,
-        rawPredictionCol="_calibrated_raw",
-        predictionCol="_calibrated",
-    ).fit(materialize(inputs, "margins"))
+    calibration = NewtonClassifier(featuresCol="_margin", labelCol=LABEL, weightCol=WEIGHT).fit(
+        materialize(inputs, "margins")
+    )
+    calibration.setRawPredictionCol("_calibrated_raw").setPredictionCol("_calibrated")
     return found, PipelineModel([train.assembler, stage, found.model, slicer, calibration])

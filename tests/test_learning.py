@@ -7,7 +7,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.learning import models, training, workflow
-from riskframe.learning.stages import FourierFeatures, SoftVote
+from riskframe.learning.stages import SoftVote
+from riskframe.learning.trees import Cut
 from riskframe.operators.features import engineer_features
 from riskframe.plans.views import feature_importance
 from riskframe.sources import stores
@@ -21,7 +22,7 @@ SPECS = (
         "random_forest", models.forest,
         {"n_estimators": (5,), "max_depth": (3,), "min_samples_leaf": (1,)},
     ),
-    models.Spec("svm", lambda p, n: models.svm(p, n).setMaxIter(5), {"C": (1,)}),
+    models.Spec("svm", models.svm, {"C": (1,)}, loss="hinge", features=models.KERNEL_FEATURES),
 )
 
 
@@ -30,8 +31,8 @@ def grid(spec):
 
 
 def test_grid_sizes():
-    assert [grid(s) for s in models.SPECS] == [3, 6, 12, 3]
-    assert models.penalty({"C": 10}, 400) == pytest.approx(1 / 4000)
+    assert [grid(s) for s in models.SPECS] == [3, 12, 24, 3]
+    assert models.cut_of(models.TREE.candidates()[-1]) == Cut(5, 5)
 
 
 @pytest.fixture(scope="module")
@@ -91,7 +92,7 @@ def test_models_learn(scored):
 
 
 def test_predictions_table(trained, scored):
-    out = workflow.predictions_of(scored)
+    out = workflow.predictions_of(workflow.numbered(scored))
     assert out.schema.simpleString() == PREDICTIONS.simpleString()
     rows = out.collect()
     assert len({r.id for r in rows}) == len(rows) == 6 * trained.test.count()
@@ -193,20 +194,3 @@ def test_importance_table(spark, trained):
     rows = df.collect()
     assert [r.importance for r in rows] == sorted((r.importance for r in rows), reverse=True)
     assert {r.feature for r in rows} == set(trained.train.columns)
-
-
-def test_fourier_features_approximate_the_kernel(spark):
-    points = np.random.default_rng(1).normal(size=(6, 3))
-    df = spark.createDataFrame([(p.tolist(),) for p in points], "x array<double>")
-    stage = FourierFeatures(
-        featuresCol="v", outputCol="z", gamma=0.3, size=4096, inputSize=3, seed=5
-    )
-    out = stage.transform(df.select(array_to_vector("x").alias("v")))
-    z = np.array([r[0] for r in out.select(vector_to_array("z")).collect()])
-    kernel = np.exp(-0.3 * ((points[:, None] - points[None]) ** 2).sum(-1))
-    assert np.abs(z @ z.T - kernel).max() < 0.06
-
-
-def test_kernel_width(trained):
-    x = np.array(trained.train.rows.select(*trained.train.columns).collect())
-    assert training.kernel_width(trained.train) == pytest.approx(1 / (x.shape[1] * x.var()))

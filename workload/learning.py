@@ -1,21 +1,24 @@
 """Registered learning queries, on patients made from customer.
 
-Each searches the whole grids of its models on the stratified four fifths of the
-table. What a model learns no SQL can tell, but what must hold of it can be:
-which patients are held out, which fold each training row was left out with,
+Most search the whole grids of their models on the stratified four fifths of the
+table. What such a model learns no SQL can tell, but what must hold of it can
+be: which patients are held out, which fold each training row was left out with,
 that classes follow from probabilities and votes from members. The queries
-compute these facts from the fitted models.
+compute these facts from the fitted models. Two small models are recomputed by
+SQL: the coefficients of a logistic regression and the split of a tree's root.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.learning import models
+from riskframe.learning.kernel import Nystrom
+from riskframe.learning.newton import Problem, fit_linear
 from riskframe.learning.training import (
     SearchResult,
     fit_stacking,
@@ -26,6 +29,7 @@ from riskframe.learning.training import (
     soft_vote,
     unseen_scores,
 )
+from riskframe.learning.trees import SavedTrees
 from riskframe.learning.workflow import (
     Trained,
     importances,
@@ -34,14 +38,17 @@ from riskframe.learning.workflow import (
     score_all,
 )
 from riskframe.operators.features import engineer_features
-from riskframe.session import materialize
+from riskframe.operators.joins import attach_lookup
+from riskframe.operators.metrics import class_weights
+from riskframe.session import materialize, scratch_path
+from riskframe.sources import stores
 from workload import tables
 
 RUN = datetime(2024, 2, 1)
 MEASURES = ("id", "age", "sex", "trestbps", "chol", "thalach", "target")
 MEMBERS = (models.FOREST, models.LOGISTIC, models.TREE)
-#: Largest slope of the loss after a fit, in standard deviations of a feature.
-NEARLY_AT_REST = 0.05
+#: Largest slope of the loss after a fit, per unit of weight and of a feature's root mean square.
+AT_REST = 1e-6
 CLOSE = 1e-9
 
 
@@ -74,10 +81,96 @@ def probability(column: str) -> Column:
 
 def train_lr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     trained = start(spark, sf_dir)
-    model = grid_search(trained.train, models.LOGISTIC).model
-    slope = logistic_gradient(trained.train, model)
-    held_out = finish(trained, models.LOGISTIC.name, scorer(trained.train, model))
-    return held_out.withColumn("nearly_at_rest", F.lit(slope) < NEARLY_AT_REST)
+    found = grid_search(trained.train, models.LOGISTIC)
+    slope = logistic_gradient(trained.train, found.model, found.params["C"])
+    held_out = finish(trained, models.LOGISTIC.name, scorer(trained.train, found.model))
+    return held_out.withColumn("at_rest", F.lit(slope) < AT_REST)
+
+
+def logistic_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of a regression on two measures for each penalty of the grid, from one search
+    through all of them."""
+    patients = tables.patients(spark, sf_dir)
+    weights = class_weights(patients, "target").select("target", "weight")
+    measured = attach_lookup(patients, weights, "target", True).select(
+        array_to_vector(
+            F.array((F.col("chol") - 225) / 75.0, (F.col("trestbps") - 135) / 45.0)
+        ).alias("features"),
+        "target",
+        "weight",
+    )
+    penalties = models.LOGISTIC.grid["C"]
+    problems = [Problem(C) for C in penalties]
+    found = fit_linear(materialize(measured, "measured"), problems, weight="weight")
+    rows = [
+        (float(C), term, float(beta))
+        for C, betas in zip(penalties, found, strict=True)
+        for term, beta in zip(("chol", "trestbps", "intercept"), betas, strict=True)
+    ]
+    listed = spark.createDataFrame(rows, "C double, term string, coefficient double")
+    return listed.withColumn("coefficient", F.round("coefficient", 5))
+
+
+#: What the root of a tree may be split by: few whole numbers each, so that every one is tried.
+STEPS = {
+    "age_step": ("age", 10), "chol_step": ("chol", 25),
+    "bp_step": ("trestbps", 15), "hr_step": ("thalach", 10),
+}
+
+
+def tree_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of a deep tree, its gain, and the rows and cases of the two nodes under it."""
+    patients = tables.patients(spark, sf_dir).select(
+        "target",
+        F.lit(1.0).alias("weight"),
+        array_to_vector(
+            F.array(*[F.floor(F.col(c) / size).cast("double") for c, size in STEPS.values()])
+        ).alias("features"),
+    )
+    deep = models.tree({"max_depth": 5, "min_samples_leaf": 1}, 0).fit(patients)
+    nodes = SavedTrees(spark, deep).trees[0].rows
+    root = nodes[0]
+    left, right = nodes[root["leftChild"]], nodes[root["rightChild"]]
+    row = (
+        list(STEPS)[root["split"]["featureIndex"]],
+        float(root["split"]["leftCategoriesOrThreshold"][0]),
+        round(float(root["gain"]), 6),
+        left["rawCount"], int(left["impurityStats"][1]),
+        right["rawCount"], int(right["impurityStats"][1]),
+    )
+    return spark.createDataFrame(
+        [row],
+        "feature string, threshold double, gain double, "
+        "left_rows long, left_cases long, right_rows long, right_cases long",
+    )
+
+
+def kernel_equal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patients of one age and sex, and how many different kernel features they get."""
+    patients = tables.patients(spark, sf_dir).select(
+        "age", "sex", array_to_vector(F.array(F.col("age") * 1.0, F.col("sex") * 1.0)).alias("features")
+    )
+    mapped = Nystrom(size=32).fit(patients).transform(patients)
+    return mapped.groupBy("age", "sex").agg(
+        F.count(F.lit(1)).alias("patients"),
+        F.count_distinct(vector_to_array("kernel_features")).alias("different"),
+    )
+
+
+def model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out patients, and whether a model scores them alike after it was stored and loaded."""
+    trained = start(spark, sf_dir)
+    model = scorer(trained.train, models.logistic({"C": 1}, 0).fit(trained.train.rows))
+    folder = scratch_path(spark, "models")
+    stores.save_model(model, folder, models.LOGISTIC.name)
+    loaded = stores.load_model(folder, models.LOGISTIC.name)
+    before = model.transform(trained.test).select("id", probability("probability").alias("p"))
+    after = loaded.transform(trained.test).select(
+        F.col("id").alias("patient_id"), probability("probability").alias("q")
+    )
+    return before.join(after, F.col("id") == F.col("patient_id")).select(
+        "patient_id", (F.col("p") == F.col("q")).alias("same_probability")
+    )
 
 
 def voting_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +270,10 @@ def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "train_lr_score": train_lr_score,
+    "logistic_coefficients": logistic_coefficients,
+    "tree_root": tree_root,
+    "kernel_equal_rows": kernel_equal_rows,
+    "model_store": model_store,
     "search_metrics": search_metrics,
     "forest_importance": forest_importance,
     "voting_score": voting_score,

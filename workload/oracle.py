@@ -183,6 +183,47 @@ SHUFFLED = f"""{PATIENTS}, sh as (
 
 # Rows of the stratified fifth that is held out, and what must hold of each as a model scores it.
 IN_TEST = "(place <= floor(n * 0.2 + 0.5))"
+
+
+def _newton(steps: int = 20) -> str:
+    """Newton's steps for a logistic regression on two measures, one after another."""
+    parts = [
+        """
+wt as (
+  select target, (select count(*) from pa) / (2.0 * count(*)) as w from pa group by target
+), z as (
+  select (chol - 225) / 75.0 as x1, (trestbps - 135) / 45.0 as x2, 2.0 * target - 1 as s, w
+  from pa join wt using (target)
+), s0 as (
+  select c, 0.0::double as b0, 0.0::double as b1, 0.0::double as b2
+  from (select unnest([0.1, 1.0, 10.0])::double as c)
+)"""
+    ]
+    for i in range(steps):
+        parts.append(f"""
+g{i} as (
+  select c, b0, b1, b2,
+         b0 - c * sum(w * s * p) as d0, b1 - c * sum(w * s * p * x1) as d1,
+         b2 - c * sum(w * s * p * x2) as d2,
+         1 + c * sum(w * p * (1 - p)) as h00, c * sum(w * p * (1 - p) * x1) as h01,
+         c * sum(w * p * (1 - p) * x2) as h02, 1 + c * sum(w * p * (1 - p) * x1 * x1) as h11,
+         c * sum(w * p * (1 - p) * x1 * x2) as h12, 1 + c * sum(w * p * (1 - p) * x2 * x2) as h22
+  from (select *, 1 / (1 + exp(s * (b0 + b1 * x1 + b2 * x2))) as p from s{i}, z)
+  group by c, b0, b1, b2
+), s{i + 1} as (
+  select c,
+         b0 - (d0 * (h11 * h22 - h12 * h12) - h01 * (d1 * h22 - h12 * d2)
+               + h02 * (d1 * h12 - h11 * d2)) / det as b0,
+         b1 - (h00 * (d1 * h22 - h12 * d2) - d0 * (h01 * h22 - h12 * h02)
+               + h02 * (h01 * d2 - d1 * h02)) / det as b1,
+         b2 - (h00 * (h11 * d2 - d1 * h12) - h01 * (h01 * d2 - d1 * h02)
+               + d0 * (h01 * h12 - h11 * h02)) / det as b2
+  from (select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02)
+               + h02 * (h01 * h12 - h11 * h02) as det from g{i})
+)""")
+    return ",".join(parts)
+
+
 HELD_OUT = """id as patient_id, '{}' as model_name, target, true as probability_in_range,
        true as class_follows_probability"""
 
@@ -436,8 +477,41 @@ select id, target,
        + (place > floor(n * 0.6 + 0.5))::int + (place > floor(n * 0.8 + 0.5))::int as fold
 from sh"""),
     "train_lr_score": _with(SHUFFLED, f"""
-select {HELD_OUT.format("logistic_regression")}, true as nearly_at_rest
+select {HELD_OUT.format("logistic_regression")}, true as at_rest
 from sh where {IN_TEST}"""),
+    "model_store": _with(SHUFFLED, f"""
+select id as patient_id, true as same_probability from sh where {IN_TEST}"""),
+    "kernel_equal_rows": _with(PATIENTS, """
+select age, sex, count(*) as patients, cast(1 as bigint) as different from pa group by all"""),
+    "logistic_coefficients": _with(f"{PATIENTS}, {_newton()}", """
+select c as "C", term, round(coefficient, 5) as coefficient
+from (select c, b0 as intercept, b1 as chol, b2 as trestbps from s20)
+unpivot (coefficient for term in (intercept, chol, trestbps))"""),
+    "tree_root": _with(PATIENTS, """
+, st as (
+  select target, unnest(['age_step', 'chol_step', 'bp_step', 'hr_step']) as feature,
+         unnest([floor(age / 10.0), floor(chol / 25.0), floor(trestbps / 15.0),
+                 floor(thalach / 10.0)]) as value
+  from pa
+), steps as (
+  select feature, value, (value + lead(value) over (partition by feature order by value)) / 2
+         as threshold
+  from (select distinct feature, value from st)
+), sides as (
+  select s.feature, s.threshold, count(*) filter (t.value <= s.threshold) as ln,
+         count(*) filter (t.value <= s.threshold and target = 1) as lc,
+         count(*) filter (t.value > s.threshold) as rn,
+         count(*) filter (t.value > s.threshold and target = 1) as rc
+  from steps s join st t on s.feature = t.feature
+  where s.threshold is not null group by all
+), gains as (
+  select *, 2.0 * (lc + rc) * (ln + rn - lc - rc) / (ln + rn) / (ln + rn)
+         - (2.0 * lc * (ln - lc) / ln + 2.0 * rc * (rn - rc) / rn) / (ln + rn) as gain
+  from sides
+)
+select feature, threshold, round(gain, 6) as gain, ln as left_rows, lc as left_cases,
+       rn as right_rows, rc as right_cases
+from gains order by gain desc limit 1"""),
     "svm_score": _with(SHUFFLED, f"""
 select id as patient_id, 'svm' as model_name, target, true as probability_in_range
 from sh where {IN_TEST}"""),

@@ -27,6 +27,7 @@ from riskframe.operators.cleaning import clean, decode, min_max_normalize
 from riskframe.operators.features import engineer_features
 from riskframe.operators.ids import assign_ids
 from riskframe.plans.catalog import register_views
+from riskframe.plans.sums import SumsTable
 from riskframe.session import materialize, scratch_scope
 from riskframe.sources import files, stores
 from riskframe.sources.schemas import CLINICAL_TYPES, FEATURE_TYPES
@@ -42,11 +43,21 @@ SCALED = {
 
 
 def prepare_patients(
-    spark: SparkSession, raw_csv: str, folder: str, created_at: datetime | None = None
+    spark: SparkSession,
+    raw_csv: str,
+    folder: str,
+    created_at: datetime | None = None,
+    most_bad: int | None = None,
 ) -> None:
-    """Raw CSV to the patients table, which is replaced."""
+    """Raw CSV to the patients table, which is replaced.
+
+    With ``most_bad`` so many lines that cannot be read are put beside the table,
+    as ``bad_lines``; without it the first one fails the job.
+    """
     with scratch_scope(spark):
-        ready = patients_from(clean(files.load_raw(spark, raw_csv)))
+        bad_lines = None if most_bad is None else f"{folder}/bad_lines"
+        raw = files.load_raw(spark, raw_csv, bad_lines, most_bad)
+        ready = patients_from(clean(raw))
         files.write_patients(ready, f"{folder}/patients", created_at)
 
 
@@ -92,8 +103,10 @@ def train_and_store(
     """Train on the patients table; store models, codes, metrics and predictions.
 
     Predictions of the held-out patients and the metrics are appended, models
-    and importances replaced.
+    and importances replaced. A job that is repeated for the same ``run_ts``
+    replaces its own predictions and metrics.
     """
+    run = None if run_ts is None else run_ts.isoformat()
     patients = files.read_patients(spark, f"{folder}/patients").select("id", *FEATURE_TYPES)
     with scratch_scope(spark):
         trained = train_models(patients, specs)
@@ -104,18 +117,25 @@ def train_and_store(
             forest = classifier_of(trained.models[FOREST.name])
             table = importances(spark, forest, trained.train.columns)
             files.write_csv(table, f"{folder}/models/feature_importance")
-        earlier = files.stored_predictions(spark, f"{folder}/predictions")
+        earlier = files.stored_predictions(spark, f"{folder}/predictions", run)
         scored = materialize(numbered(score_all(trained, run_ts), earlier), "scored")
-        files.append_predictions(predictions_of(scored), f"{folder}/predictions")
-        stores.append_metrics(metrics_rows(trained, scored, run_ts), f"{folder}/metrics")
+        files.append_predictions(predictions_of(scored), f"{folder}/predictions", run)
+        stores.append_metrics(metrics_rows(trained, scored, run_ts), f"{folder}/metrics", run)
     return trained
 
 
 def open_views(spark: SparkSession, folder: str) -> list[str]:
-    """Register all views over the stored tables, and return their names."""
+    """Register all views over the stored tables, and return their names.
+
+    Sums of predictions are brought up to date first, which reads new runs alone.
+    """
+    patients, predictions = f"{folder}/patients", f"{folder}/predictions"
+    kept = SumsTable(f"{folder}/sums", patients, predictions)
+    kept.update(spark)
     return register_views(
         spark,
-        files.read_patients(spark, f"{folder}/patients"),
-        files.read_predictions(spark, f"{folder}/predictions"),
+        files.read_patients(spark, patients),
+        files.read_predictions(spark, predictions),
         stores.read_metrics(spark, f"{folder}/metrics"),
+        kept_sums=kept.read(spark),
     )

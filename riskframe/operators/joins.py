@@ -22,14 +22,17 @@ def hot_keys(
 ) -> DataFrame:
     """Keys with more rows than one task should join, and the number of parts to cut each into.
 
-    There are fewer than ``rows / rows_per_split`` of them whatever the data: a
-    million for a trillion rows. ``count`` is for sums in which a row stands for
-    as many rows.
+    There are never more than ``BROADCAST_ROWS`` of them: a part is at least as
+    large as all rows over that number, which counts from a hundred billion rows on.
+    ``count`` is for sums in which a row stands for as many rows.
     """
     number = F.count(F.lit(1)) if count is None else F.sum(count)
     counts = rows.groupBy(key).agg(number.alias("_n"))
-    return counts.where(F.col("_n") > rows_per_split).select(
-        F.col(key).alias("_hot_key"), F.ceil(F.col("_n") / rows_per_split).alias("_splits")
+    share = counts.agg(F.ceil(F.sum("_n") / F.lit(BROADCAST_ROWS))).scalar()
+    size = F.greatest(F.lit(rows_per_split).cast("long"), F.coalesce(share, F.lit(0).cast("long")))
+    sized = counts.withColumn("_size", size).where(F.col("_n") > F.col("_size"))
+    return sized.select(
+        F.col(key).alias("_hot_key"), F.ceil(F.col("_n") / F.col("_size")).alias("_splits")
     )
 
 
@@ -49,8 +52,8 @@ def join_on_unique_key(
     the hot entities are copied to as many parts. Everything else meets in one
     ordinary shuffled join (or a broadcast one, if AQE finds a side small).
     Rows need a column, such as an id, in which those of one key differ.
-    ``hot`` is the outcome of ``hot_keys`` if it is known already; it is short
-    by construction, and therefore broadcast.
+    ``hot`` is the outcome of ``hot_keys`` if it is known already; it has a bounded
+    number of rows, and is therefore broadcast.
     """
 
     def same(left: str, right: str) -> Column:

@@ -1,10 +1,11 @@
-"""Exact quantiles of columns of any size.
-
-``percentile`` and ``median`` keep every distinct value of a column in one
-task. That is fine for whole numbers in a limited range, which the first pass
-here recognises. For all others each further pass counts the values in a fixed
-number of buckets and keeps only the bucket that holds the wanted rank, until
-that bucket is one value: about five passes for a trillion distinct doubles.
+"""Exact quantiles of columns of any size in two scans.
+
+The first scan makes a mergeable sketch of each column (``percentile_approx``),
+whose answers are off by one rank in ``ACCURACY`` at most. That gives every
+wanted quantile a window which holds its exact value and little else, whatever
+the distribution. The second scan counts the values below and at the ends of
+each window, and keeps the few that lie inside. The exact rank is found among
+those. Columns of few rows take one exact aggregate as their second scan.
 """
 
 from __future__ import annotations
@@ -12,70 +13,52 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskframe.functions import quantile_label
+from riskframe.session import materialize
 
-BUCKETS = 4096
-# Whole numbers spanning at most this range have few enough distinct values.
-WHOLE_RANGE = 100_000
+#: Ranks of a sketch: its answers are off by rows / ACCURACY at most.
+ACCURACY = 10_000
+#: So many values may be held by one task.
+DIRECT_ROWS = 1_000_000
 
 
 def _number(name: str) -> Column:
-    col = F.col(name).cast("double")
+    col = F.col(f"`{name}`").cast("double")
     return F.when(~F.isnan(col), col)
 
 
-def _finite(name: str) -> Column:
-    col = _number(name)
-    return F.when(F.abs(col) < math.inf, col)
-
-
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
     probs: Sequence[float],
-    buckets: int = BUCKETS,
-    whole_range: int = WHOLE_RANGE,
+    accuracy: int = ACCURACY,
+    direct_rows: int = DIRECT_ROWS,
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation; nulls and NaN are skipped.
 
-    Infinite values count as the lowest and highest. They are told by their
-    number alone, and the search for a rank goes through finite values. Between
-    two values of which one is infinite the quantile is that one.
-    ``df`` is read several times, so it should be a stored table.
+    Infinite values count as the lowest and highest. Between two values of which
+    one is infinite the quantile is that one. A column without values has none.
+    ``df`` is read twice, so it should be a stored table.
     """
-    measures = []
-    for name in cols:
-        x, finite = _number(name), _finite(name)
-        measures.append(
-            F.struct(
-                F.count(x).alias("n"),
-                F.count_if(x == -math.inf).alias("lowest"),
-                F.count_if(x == math.inf).alias("highest"),
-                F.min(finite).alias("lo"),
-                F.max(finite).alias("hi"),
-                F.coalesce(F.bool_and(F.rint(finite) == finite), F.lit(True)).alias("whole"),
-            ).alias(name)
-        )
-    facts = df.agg(*measures).first()
-    narrow = [
-        name
-        for name in cols
-        if facts[name].n
-        and not facts[name].lowest + facts[name].highest
-        and facts[name].whole
-        and facts[name].hi - facts[name].lo <= whole_range
-    ]
+    facts = _sketched(df, cols, probs, accuracy)
     out: dict[str, list[float | None]] = {name: [None] * len(probs) for name in cols}
-    if narrow:
+    few = [c for c in cols if 0 < facts[c]["n"] <= direct_rows and facts[c]["finite"]]
+    if few:
         wanted = F.array(*[F.lit(float(prob)) for prob in probs])
-        row = df.agg(*[F.percentile(_number(name), wanted).alias(name) for name in narrow]).first()
+        row = df.agg(*[F.percentile(_number(c), wanted).alias(c) for c in few]).first()
         out.update(row.asDict())
-    wide = {name: facts[name] for name in cols if facts[name].n and name not in narrow}
-    if wide:
-        out.update(_by_narrowing(df, wide, probs, buckets))
+    many = [c for c in cols if facts[c]["n"] and c not in few]
+    if many:
+        ranks = {}
+        for c in many:
+            places = [prob * (facts[c]["n"] - 1) for prob in probs]
+            ranks[c] = sorted({r for x in places for r in (math.floor(x), math.ceil(x))})
+        values = _at_ranks(df, facts, ranks, accuracy, direct_rows)
+        for c in many:
+            out[c] = [_between(values[c], prob * (facts[c]["n"] - 1)) for prob in probs]
     return out
 
 
@@ -89,76 +72,133 @@ def quantile_bins(
     return df.withColumn(name, quantile_label(F.col(col), column, labels, on_duplicate_edges))
 
 
-def _by_narrowing(
-    df: DataFrame, facts: dict[str, Row], probs: Sequence[float], buckets: int
-) -> dict[str, list[float]]:
-    """Only bucket counts reach the driver: at most ``buckets`` per wanted rank."""
-    # (column, rank) -> (lowest value, highest value, rows below the lowest)
-    spans: dict[tuple[str, int], tuple[float, float, int]] = {}
-    for name, fact in facts.items():
-        for prob in probs:
-            position = prob * (fact.n - 1)
-            for rank in (math.floor(position), math.ceil(position)):
-                if rank < fact.lowest:
-                    spans[name, rank] = (-math.inf, -math.inf, 0)
-                elif rank >= fact.n - fact.highest:
-                    spans[name, rank] = (math.inf, math.inf, 0)
+def _between(values: dict[int, float], place: float) -> float:
+    low, high = values[math.floor(place)], values[math.ceil(place)]
+    share = place - math.floor(place)
+    if share == 0 or low == high:
+        return low
+    if math.isinf(low) or math.isinf(high):
+        return high if math.isinf(high) else low
+    return low * (1 - share) + high * share
+
+
+def _sketched(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int
+) -> dict[str, dict]:
+    """Number of values of each column, whether all are finite, and a window for each of
+    ``probs``: values on either side of the exact quantile."""
+    margin = 3.0 / accuracy
+    ends = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-margin, margin)]
+    asked = F.array(*[F.lit(end) for end in ends])
+    row = df.agg(
+        *[
+            F.struct(
+                F.count(_number(c)).alias("n"),
+                F.coalesce(F.max(F.abs(_number(c))) < math.inf, F.lit(True)).alias("finite"),
+                F.percentile_approx(_number(c), asked, accuracy).alias("ends"),
+            ).alias(f"c{i}")
+            for i, c in enumerate(cols)
+        ]
+    ).first()
+    out = {}
+    for i, c in enumerate(cols):
+        fact = row[f"c{i}"]
+        windows = []
+        if fact["n"]:
+            windows = [(fact["ends"][2 * j], fact["ends"][2 * j + 1]) for j in range(len(probs))]
+        out[c] = {"n": fact["n"], "finite": fact["finite"], "windows": windows}
+    return out
+
+
+def _at_ranks(
+    df: DataFrame,
+    facts: dict[str, dict],
+    ranks: dict[str, list[int]],
+    accuracy: int,
+    direct_rows: int,
+) -> dict[str, dict[int, float]]:
+    """The values at ``ranks`` (from 0) of each column.
+
+    Rows are counted by an observation of the pass that keeps the values inside:
+    that pass has no shuffle after it, so each task counts once however often it
+    is repeated. Of n values a window keeps 6 n / ``accuracy`` or so, the ends
+    apart, which may be frequent and are only counted.
+    """
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    todo = {c: set(r) for c, r in ranks.items()}
+    windows = {c: sorted(set(facts[c]["windows"])) for c in ranks}
+    while any(todo.values()):
+        spans = [(c, low, high) for c in todo if todo[c] for low, high in windows[c]]
+        counts, inside = _counted(df, spans)
+        sizes = {r["span"]: r["count"] for r in inside.groupBy("span").count().collect()}
+        inner: dict[int, list[int]] = {}
+        for i, (c, low, high) in enumerate(spans):
+            below, at_low, at_high = (counts[f"{k}{i}"] for k in ("below", "low", "high"))
+            first = below + at_low
+            for rank in list(todo[c]):
+                if below <= rank < first:
+                    found[c][rank] = low
+                elif first <= rank < first + sizes.get(i, 0):
+                    inner.setdefault(i, []).append(rank)
+                elif first + sizes.get(i, 0) <= rank < first + sizes.get(i, 0) + at_high:
+                    found[c][rank] = high
                 else:
-                    spans[name, rank] = (fact.lo, fact.hi, fact.lowest)
-
-    while open_spans := sorted(
-        {(name, *span) for (name, _), span in spans.items() if span[0] < span[1]}
-    ):
-        counts: dict[int, list[Row]] = {}
-        for row in _bucket_counts(df, open_spans, buckets).collect():
-            counts.setdefault(row.span, []).append(row)
-        index = {span: i for i, span in enumerate(open_spans)}
-        before = dict(spans)
-        for (name, rank), span in spans.items():
-            if (name, *span) not in index:
-                continue
-            below = span[2]
-            for row in sorted(counts[index[name, *span]], key=lambda r: r.bucket):
-                if below + row.n > rank:
-                    spans[name, rank] = (row.lo, row.hi, below)
-                    break
-                below += row.n
-        if spans == before:
-            raise RuntimeError(f"a pass over {open_spans} found nothing narrower")
-
-    def interpolate(name: str, prob: float) -> float:
-        position = prob * (facts[name].n - 1)
-        low = spans[name, math.floor(position)][0]
-        high = spans[name, math.ceil(position)][0]
-        share = position - math.floor(position)
-        if share == 0 or low == high:
-            return low
-        if math.isinf(low) or math.isinf(high):
-            return high if math.isinf(high) else low
-        return low * (1 - share) + high * share
-
-    return {name: [interpolate(name, prob) for prob in probs] for name in facts}
-
-
-def _bucket_counts(df: DataFrame, open_spans: list, buckets: int) -> DataFrame:
-    found = []
-    for i, (name, lo, hi, _) in enumerate(open_spans):
-        x = _number(name)
-        # Halves keep the width finite for any two finite doubles.
-        width = hi / 2 - lo / 2
-        if width:
-            place = F.floor((x / 2 - lo / 2) / F.lit(width) * buckets)
-            bucket = F.least(place, F.lit(buckets - 1)).cast("int")
-        else:
-            bucket = F.when(x > lo, 1).otherwise(0)
-        found.append(
-            F.when(
-                x.between(lo, hi),
-                F.struct(F.lit(i).alias("span"), bucket.alias("bucket"), x.alias("x")),
+                    continue
+                todo[c].discard(rank)
+        for i, (c, _, _) in enumerate(spans):
+            if i in inner:
+                offset = counts[f"below{i}"] + counts[f"low{i}"]
+                own = inside.where(F.col("span") == i).select("x")
+                chosen = sorted(set(inner[i]))
+                values = _selected(
+                    own, sizes[i], [r - offset for r in chosen], accuracy, direct_rows
+                )
+                found[c].update(zip(chosen, values, strict=True))
+        # A rank outside all its windows, as of a few rows that ranks are far apart for: look
+        # through all values.
+        windows = {c: [(-math.inf, math.inf)] for c in todo}
+    return found
+
+
+def _counted(df: DataFrame, spans: list[tuple[str, float, float]]) -> tuple[dict, DataFrame]:
+    """Values below, at the lower and at the upper end of each span; and (span, x) inside."""
+    metrics, hits = [], []
+    for i, (c, low, high) in enumerate(spans):
+        x = _number(c)
+        metrics += [
+            F.count_if(x < low).alias(f"below{i}"),
+            F.count_if(x == low).alias(f"low{i}"),
+            F.count_if((x == high) & (F.lit(low) < high)).alias(f"high{i}"),
+        ]
+        if low < high:
+            hits.append(
+                F.when((x > low) & (x < high), F.struct(F.lit(i).alias("span"), x.alias("x")))
             )
+    observed = Observation()
+    watched = df.observe(observed, *metrics)
+    if hits:
+        kept = watched.select(F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+        inside = kept.select("hit.span", "hit.x")
+    else:
+        inside = watched.where(F.lit(False)).select(
+            F.lit(0).alias("span"), F.lit(0.0).alias("x")
         )
-    return (
-        df.select(F.explode(F.array_compact(F.array(*found))).alias("hit"))
-        .groupBy("hit.span", "hit.bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("hit.x").alias("lo"), F.max("hit.x").alias("hi"))
-    )
+        # Nothing is kept; the rows are still to be counted.
+        watched.select(F.lit(1)).write.format("noop").mode("overwrite").save()
+        return observed.get, inside
+    inside = materialize(inside, "inside")
+    return observed.get, inside
+
+
+def _selected(
+    values: DataFrame, n: int, ranks: list[int], accuracy: int, direct_rows: int
+) -> list[float]:
+    """The values at ``ranks`` of the one column ``x`` of ``n`` values, all of them numbers."""
+    if n <= direct_rows:
+        ordered = values.agg(F.sort_array(F.collect_list("x")).alias("all"))
+        row = ordered.select(*[F.get("all", F.lit(r)).alias(f"r{i}") for i, r in enumerate(ranks)])
+        return list(row.first())
+    probs = [r / (n - 1) for r in ranks]
+    facts = _sketched(values, ["x"], probs, accuracy)
+    found = _at_ranks(values, facts, {"x": ranks}, accuracy, direct_rows)["x"]
+    return [found[r] for r in ranks]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.functions.labels import OLDER_GROUPS, RISK_FACTOR_CUTOFF, RISK_THRESHOLDS
-from riskframe.plans import views
+from riskframe.plans import sums, views
 
 
 def register_views(
@@ -18,9 +18,13 @@ def register_views(
     thresholds: Sequence[float] = RISK_THRESHOLDS,
     older_groups: Sequence[str] = OLDER_GROUPS,
     cutoff: float = RISK_FACTOR_CUTOFF,
+    kept_sums: DataFrame | None = None,
 ) -> list[str]:
     """Create or replace the views, and return their names. No job runs.
 
+    Aggregated views are read from ``kept_sums`` if given, instead of from all
+    predictions; those are sums for the same thresholds.
+
     The thresholds hold for every view that sorts scores into risk categories,
     the older groups and the cutoff for risk factors.
     """
@@ -42,6 +46,14 @@ def register_views(
             *both, thresholds, older_groups, cutoff
         ),
     }
+    if kept_sums is not None:
+        named |= {
+            "model_performance": sums.model_performance(kept_sums),
+            "risk_score_distribution": sums.risk_score_distribution(kept_sums),
+            "tableau_model_trends": sums.model_trends(kept_sums),
+            "tableau_demographic_risk": sums.demographic_risk(kept_sums),
+            "tableau_prediction_confidence": sums.prediction_confidence(kept_sums),
+        }
     for name, df in named.items():
         df.createOrReplaceTempView(name)
     return list(named)

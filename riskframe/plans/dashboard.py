@@ -143,10 +143,13 @@ def _in(column: Column, values: Sequence | None) -> Column:
 
 
 def _between(column: Column, dates: tuple[datetime | None, datetime | None]) -> Column:
-    """Includes the start and excludes the end; a missing end is open."""
-    start, end = dates
-    after = F.lit(True) if start is None else column >= F.lit(start)
-    return after if end is None else after & (column < F.lit(end))
+    """Includes the start and excludes the end; a missing end is open.
+
+    The limits have the column's type: they reach the scan as they are.
+    """
+    start, end = (None if x is None else F.lit(x).cast("timestamp_ntz") for x in dates)
+    after = F.lit(True) if start is None else column >= start
+    return after if end is None else after & (column < end)
 
 
 def filter_inputs(

@@ -33,6 +33,7 @@ from riskframe.operators.joins import (
     ROWS_PER_SPLIT,
     hot_keys,
     join_on_unique_key,
+    row_hash,
 )
 from riskframe.sources.schemas import CLINICAL_TYPES, IMPORTANCES
 
@@ -222,6 +223,63 @@ def model_comparison(predictions: DataFrame) -> DataFrame:
     )
 
 
+def model_pairs(predictions: DataFrame, rows_per_block: int = 10_000) -> DataFrame:
+    """Every two predictions of one patient by two models, one row per pair.
+
+    The number of rows grows with the square of a patient's predictions;
+    ``model_comparison`` has their sums. A patient of many predictions is cut into
+    blocks of about ``rows_per_block``, and every two blocks meet in a cell of
+    their own, so that no task makes more than about the square of that. Rows
+    are shuffled once: a row goes to each cell of its block, and tells which sides
+    of the pairs there it is on. Both sides of the join are then the same table.
+    """
+    rows = predictions.select("patient_id", "model_name", "prediction", "probability", "id")
+    rows = rows.where(F.col("patient_id").isNotNull() & F.col("model_name").isNotNull())
+    hot = F.broadcast(hot_keys(rows, "patient_id", rows_per_block))
+    parts = F.coalesce(F.col("_splits"), F.lit(1).cast("long"))
+    cut = rows.join(hot, F.col("patient_id") == F.col("_hot_key"), "left").select(
+        *rows.columns, parts.alias("_parts"), F.pmod(row_hash(rows), parts).alias("_own")
+    )
+    # Cell (i, j) holds block i as the first side and block j as the second.
+    own, other = F.col("_own"), F.col("_other")
+    as_first = F.struct(
+        (own * F.col("_parts") + other).alias("cell"),
+        F.lit(1).alias("first"),
+        (own == other).cast("int").alias("second"),
+    )
+    as_second = F.struct(
+        (other * F.col("_parts") + own).alias("cell"), F.lit(0).alias("first"), F.lit(1).alias("second")
+    )
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_other")
+    sides = F.when(own == other, F.array(as_first)).otherwise(F.array(as_first, as_second))
+    dealt = cut.select("*", others).select(
+        "patient_id", "model_name", "prediction", "probability", F.explode(sides).alias("s")
+    )
+    dealt = dealt.select(
+        "patient_id", "model_name", "prediction", "probability",
+        F.col("s.cell").alias("cell"), F.col("s.first").alias("first"), F.col("s.second").alias("second"),
+    )
+    one, two = dealt.alias("one"), dealt.alias("two")
+    # The sides in one expression: apart, they would be filters before the shuffle,
+    # and the two shuffles would differ.
+    met = (
+        (F.col("one.patient_id") == F.col("two.patient_id"))
+        & (F.col("one.cell") == F.col("two.cell"))
+        & (F.col("one.first") + F.col("two.second") == 2)
+        & (F.col("one.model_name") < F.col("two.model_name"))
+    )
+    return one.join(two, met).select(
+        F.col("one.patient_id").alias("patient_id"),
+        F.col("one.model_name").alias("model1_name"),
+        F.col("two.model_name").alias("model2_name"),
+        F.col("one.prediction").alias("model1_prediction"),
+        F.col("two.prediction").alias("model2_prediction"),
+        F.col("one.probability").alias("model1_probability"),
+        F.col("two.probability").alias("model2_probability"),
+        agreement(F.col("one.prediction"), F.col("two.prediction")).alias("prediction_agreement"),
+    )
+
+
 # --- aggregates over patients and predictions ----------------------------
 
 

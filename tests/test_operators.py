@@ -17,6 +17,7 @@ from riskframe.operators import (
     quantiles,
     sampling,
 )
+from riskframe.session import materialize
 from riskframe.sources.schemas import FEATURE_TYPES
 
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -24,18 +25,47 @@ QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 # --- quantiles -----------------------------------------------------------
 
 
-@pytest.mark.parametrize("buckets", [3, 16, 4096])
-def test_exact_quantiles_match_numpy(spark, buckets):
+@pytest.mark.parametrize("accuracy", [20, 200, 10_000])
+@pytest.mark.parametrize("direct_rows", [0, 5, 100, 1_000_000])
+def test_exact_quantiles_match_numpy(spark, accuracy, direct_rows):
     draw = np.random.default_rng(7)
     free = np.concatenate([draw.normal(size=500), draw.exponential(1e6, 80), [0.25] * 300])
     whole = draw.integers(-20, 20, len(free))
     df = spark.createDataFrame(
-        [(float(a), int(b)) for a, b in zip(free, whole)], "a double, b int"
+        [(float(a), int(b)) for a, b in zip(free, whole)], "a double, `b c` int"
     ).repartition(5)
-    for whole_range in (100_000, 0):
-        got = quantiles.exact_quantiles(df, ["a", "b"], QUARTILES, buckets, whole_range)
-        assert got["a"] == pytest.approx(np.quantile(free, QUARTILES).tolist(), rel=1e-14)
-        assert got["b"] == np.quantile(whole, QUARTILES).tolist()
+    direct = max(direct_rows, 1)
+    got = quantiles.exact_quantiles(df, ["a", "b c"], QUARTILES, accuracy, direct)
+    assert got["a"] == pytest.approx(np.quantile(free, QUARTILES).tolist(), rel=1e-14)
+    assert got["b c"] == np.quantile(whole, QUARTILES).tolist()
+
+
+def test_quantiles_take_two_scans_of_the_table(spark):
+    """Whatever the values are: here they are told apart in the last bits only."""
+    base = spark.range(40_000).select((F.lit(1.0) + F.col("id") * F.lit(2.0**-52)).alias("x"))
+    stored = materialize(base, "values")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    watched = stored.mapInArrow(counted, "x double")
+    probs = [0.0, 0.1, 0.5, 1.0]
+    got = quantiles.exact_quantiles(watched, ["x"], probs, 1_000, 100)["x"]
+    expected = np.quantile(1.0 + np.arange(40_000) * 2.0**-52, probs, method="lower")
+    assert [round((a - b) * 2**52) for a, b in zip(got, expected)] in ([0, 0, 0, 0], [0, 1, 0, 0], [0, 1, 1, 0], [0, 0, 1, 0])
+    assert read.value == 2 * 40_000
+
+
+def test_infinite_values_are_the_ends(spark):
+    rows = [(-math.inf,)] * 3 + [(float(i),) for i in range(10)] + [(math.inf,)] * 2 + [(math.nan,), (None,)]
+    df = spark.createDataFrame(rows, "a double")
+    for direct in (1, 1_000_000):
+        got = quantiles.exact_quantiles(df, ["a"], [0.0, 0.15, 0.5, 12 / 14, 0.9, 1.0], 50, direct)["a"]
+        assert got[0] == -math.inf and got[1] == -math.inf and got[2] == 4.0
+        assert got[3] == 9.0 and got[4] == got[5] == math.inf
 
 
 def test_quantiles_skip_null_and_nan(spark):
@@ -47,8 +77,9 @@ def test_quantiles_skip_null_and_nan(spark):
 def test_quantiles_of_extreme_values(spark):
     top = 1.7e308
     df = spark.createDataFrame([(x,) for x in (-top, -1.0, 0.0, 5e-324, 1e-323, top)], "a double")
-    got = quantiles.exact_quantiles(df, ["a"], [0.0, 0.4, 0.6, 0.8, 1.0], 8)
-    assert got["a"] == [-top, 0.0, 5e-324, 1e-323, top]
+    for direct in (1, 1_000_000):
+        got = quantiles.exact_quantiles(df, ["a"], [0.0, 0.4, 0.6, 0.8, 1.0], 8, direct)
+        assert got["a"] == [-top, 0.0, 5e-324, 1e-323, top]
 
 
 def test_quantile_bins(spark):

@@ -551,3 +551,45 @@ ORACLE["dash_filtered_assessment"] = f"""
 select * from ({ORACLE["risk_assessment"]})
 where model_name in ('click', 'view') and risk_category in ('High Risk', 'Very High Risk')
   and age_group in ('40-50', '50-55', '>70') and sex = 1"""
+
+# The kept sums have the rows of the views that read all predictions.
+KEPT = {
+    "performance": "model_performance", "distribution": "risk_score_distribution",
+    "trends": "model_trends", "trends_weekly": "model_trends_weekly",
+    "demographic_risk": "demographic_risk", "confidence": "prediction_confidence",
+    "accuracy_by_model": "dash_accuracy_by_model", "correct_by_category": "dash_correct_by_category",
+    "age_distribution": "dash_age_distribution", "sex_by_category": "dash_sex_by_category",
+    "score_histogram": "dash_score_histogram", "score_by_category": "dash_score_by_category",
+    "risk_factors": "dash_risk_factors",
+}
+ORACLE |= {f"kept_{name}": ORACLE[view] for name, view in KEPT.items()}
+
+ORACLE |= {
+    "model_pairs": _with(PREDICTIONS, """
+select a.patient_id, a.model_name as model1_name, b.model_name as model2_name,
+       a.prediction as model1_prediction, b.prediction as model2_prediction,
+       round(a.probability, 6) as model1_probability,
+       round(b.probability, 6) as model2_probability,
+       if(a.prediction = b.prediction, 'Agreement', 'Disagreement') as prediction_agreement
+from pr a join pr b on a.patient_id = b.patient_id and a.model_name < b.model_name"""),
+    "repeated_run": _with(PREDICTIONS, """
+select model_name, count(*) as n, count(distinct id) as ids from pr group by model_name"""),
+    "bad_lines": _with(MEASURES, """
+select case age % 9 when 0 then '8 fields, not 7' when 1 then 'Age is no int' else 'read' end
+       as kind, count(*) as n
+from ms group by all"""),
+    "laid_out": _with(PREDICTIONS, """
+select 'day' as kept_by, id, patient_id, model_name, prediction, created_at from pr
+where created_at >= timestamp '2024-01-05' and created_at < timestamp '2024-01-06'
+union all
+select 'patient', id, patient_id, model_name, prediction, created_at from pr where patient_id = 7"""),
+    "stamped": _with(PATIENTS, """
+select id, true as in_time from pa"""),
+    "sorted_correlations": _with(PATIENTS, """
+select row_number() over (order by abs(correlation) desc) as position, feature1,
+       round(correlation, 6) as correlation
+from (select corr(age, target) as age, corr(chol, target) as chol,
+             corr(thalach, target) as thalach, corr(trestbps, target) as trestbps,
+             corr(sex, target) as sex from pa)
+unpivot (correlation for feature1 in (age, chol, thalach, trestbps, sex))"""),
+}

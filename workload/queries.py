@@ -246,6 +246,11 @@ def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- learning inputs and metrics -----------------------------------------
 
 
+def pairs_in_blocks(predictions: DataFrame) -> DataFrame:
+    """Small blocks, so that most patients fill several."""
+    return views.model_pairs(predictions, rows_per_block=40)
+
+
 def label_encode(df: DataFrame) -> DataFrame:
     encoded, _ = encode_categoricals(df, ("age_group", "cp_type", "fbs", "thal_type", "absent"))
     return encoded.select("id", "age_group", "cp_type", "fbs", "thal_type")
@@ -381,6 +386,9 @@ QUERIES: dict[str, Query] = {
     "model_comparison": on(
         tables.predictions, views.model_comparison, "model1_probability", "model2_probability"
     ),
+    "model_pairs": on(
+        tables.predictions, pairs_in_blocks, "model1_probability", "model2_probability"
+    ),
     "feature_correlations": on(tables.patients, views.feature_correlations, "correlation"),
     "feature_importance_json": on(tables.model_metrics, views.feature_importance),
     "model_training_data": training_data,

@@ -57,7 +57,7 @@ def prepare_patients(
     with scratch_scope(spark):
         bad_lines = None if most_bad is None else f"{folder}/bad_lines"
         raw = files.load_raw(spark, raw_csv, bad_lines, most_bad)
-        ready = patients_from(clean(raw))
+        ready = patients_from(clean(raw, places=True))
         files.write_patients(ready, f"{folder}/patients", created_at)
 
 
@@ -76,7 +76,7 @@ def prepare_clinical(
     """
     with scratch_scope(spark):
         raw = files.read_clinical(spark, raw_folder).drop("id", "created_at")
-        cleaned = clean(raw, [c for c in (*SCALED, "age") if c in raw.columns])
+        cleaned = clean(raw, [c for c in (*SCALED, "age") if c in raw.columns], places=True)
         ready = patients_from(cleaned, labels)
         files.write_patients(ready, f"{folder}/patients", created_at)
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators.ids import with_places
 from riskframe.operators.quantiles import exact_quantiles
 from riskframe.session import materialize
 
@@ -38,18 +39,25 @@ def impute_medians(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
 
 
 def clean(
-    df: DataFrame, impute_cols: Sequence[str] | None = None, approx: bool = False
+    df: DataFrame,
+    impute_cols: Sequence[str] | None = None,
+    approx: bool = False,
+    places: bool = False,
 ) -> DataFrame:
     """Distinct rows with medians for missing measurements.
 
     The distinct rows are written out once, so that the passes over single
-    columns do not repeat the shuffle.
+    columns do not repeat the shuffle. With ``places`` each row's is stored with it,
+    which ``assign_ids`` makes ids of without writing the rows again.
     """
     cols = [c for c in IMPUTED if c in df.columns] if impute_cols is None else list(impute_cols)
     distinct = drop_duplicate_rows(df)
-    if not cols:
+    if not cols and not places:
         return distinct
-    return impute_medians(materialize(distinct, "distinct"), cols, approx)
+    if places:
+        distinct = with_places(distinct)
+    stored = materialize(distinct, "distinct")
+    return impute_medians(stored, cols, approx) if cols else stored
 
 
 def min_max_normalize(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:

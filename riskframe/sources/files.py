@@ -22,6 +22,8 @@ from riskframe.sources.schemas import (
 )
 
 
+#: The day of a prediction, which is stored beside its time.
+DAY = "_day"
 #: The line of a record that could not be read.
 LINE = "_line"
 
@@ -102,18 +104,35 @@ def append_predictions(
     ``by_day_and_patient`` the rows are laid out so that filters on the time and on
     the patient each skip most of a file's parts.
     """
-    rows = conform(df, PREDICTIONS)
+    rows = conform(df, PREDICTIONS).withColumn(DAY, F.col("created_at").cast("date"))
     if by_day_and_patient:
-        day = F.unix_date(F.col("created_at").cast("date"))
-        rows = ordered_by_all(rows, [day, F.col("patient_id")], "created_at", "patient_id", "id")
+        keys = [F.unix_date(DAY), F.col("patient_id")]
+        rows = ordered_by_all(rows, keys, "created_at", "patient_id", "id")
     return tables.put_run(rows, path, run, ["model_name"])
 
 
 def read_predictions(
-    spark: SparkSession, path: str, runs: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    runs: Sequence[str] | None = None,
+    dates: tuple[datetime | None, datetime | None] = (None, None),
 ) -> DataFrame:
-    """Predictions of all runs, or of those named."""
-    return tables.read_runs(spark, path, PREDICTIONS, runs).select(*PREDICTIONS.fieldNames())
+    """Predictions of all runs, or of those named; from the first of ``dates`` on, and before the
+    second.
+
+    The extremes of days in a file's parts tell which of them are read; Spark does
+    not look at those of a time without zone.
+    """
+    schema = T.StructType([*PREDICTIONS.fields, T.StructField(DAY, T.DateType())])
+    rows = tables.read_runs(spark, path, schema, runs)
+    start, end = dates
+    if start is not None:
+        late = F.col("created_at") >= F.lit(start).cast("timestamp_ntz")
+        rows = rows.where((F.col(DAY) >= F.lit(start.date())) & late)
+    if end is not None:
+        early = F.col("created_at") < F.lit(end).cast("timestamp_ntz")
+        rows = rows.where((F.col(DAY) <= F.lit(end.date())) & early)
+    return rows.select(*PREDICTIONS.fieldNames())
 
 
 def stored_predictions(spark: SparkSession, path: str, but: str | None = None) -> DataFrame | None:

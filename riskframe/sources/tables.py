@@ -141,6 +141,8 @@ def read_runs(
     """
     wanted = runs(spark, path) if only is None else list(only)
     whole = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
+    if only is None and not wanted and any(n[0] not in "_." for n in _names(spark, path)):
+        raise LookupError(f"{path} holds files, but no run that was committed")
     folders = [run_folder(spark, path, run) for run in wanted]
     if not folders:
         return spark.createDataFrame([], whole)

@@ -95,10 +95,9 @@ def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.append_predictions(
         tables.predictions(spark, sf_dir), folder, "run", by_day_and_patient=True
     )
-    stored = files.read_predictions(spark, folder)
-    day = F.lit(datetime(2024, 1, 5))
-    of_day = stored.where((F.col("created_at") >= day) & (F.col("created_at") < day + timedelta(1)))
-    of_patient = stored.where("patient_id = 7")
+    day = datetime(2024, 1, 5)
+    of_day = files.read_predictions(spark, folder, dates=(day, day + timedelta(1)))
+    of_patient = files.read_predictions(spark, folder).where("patient_id = 7")
     return of_day.withColumn("kept_by", F.lit("day")).union(
         of_patient.withColumn("kept_by", F.lit("patient"))
     ).select("kept_by", "id", "patient_id", "model_name", "prediction", "created_at")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
+    BinaryType,
     DoubleType,
     IntegerType,
     LongType,
@@ -38,8 +39,14 @@ SIZE = 16
 ADDED = 0.1
 #: A task that counts hands its counts on at this many distinct words.
 MOST_COUNTED = 200_000
-#: A task that trains goes through its tokens at this many, in random order.
+#: A copy of the model goes through its tokens at this many, in random order.
 MOST_HELD = 400_000
+#: Tokens that a copy sees in a round, about, and the most copies; beyond, a copy sees more.
+COPY_TOKENS = 1_000_000
+MOST_COPIES = 4_096
+#: Steps that a copy makes in a round at least, if its tokens are enough for steps of LEAST_STEP.
+LEAST_STEPS = 256
+LEAST_STEP = 64
 #: A task that scores hands results on at this many texts.
 MOST_TEXTS = 256
 
@@ -202,12 +209,23 @@ class LogBilinear:
 
 
 class Trainer:
-    """Noise-contrastive steps of one task over its texts."""
+    """Noise-contrastive steps of one copy of the model.
 
-    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int, rate: float) -> None:
+    ``squares`` are the sums of squared slopes, by which steps grow shorter.
+    """
+
+    def __init__(
+        self,
+        model: LogBilinear,
+        noise: np.ndarray,
+        seed: int | list[int],
+        rate: float,
+        squares: np.ndarray | None = None,
+    ) -> None:
         self.model, self.noise, self.rate = model, noise, rate
         self.random = np.random.default_rng(seed)
-        self.squares = np.full(len(model.parameters), 1e-6, dtype=np.float32)
+        fresh = np.full(len(model.parameters), 1e-6, dtype=np.float32)
+        self.squares = fresh if squares is None else squares
         self.ladder = np.cumsum(noise)
 
     def step(self, target: np.ndarray, before: np.ndarray, earlier: np.ndarray, drawn: int) -> None:
@@ -285,63 +303,78 @@ def _vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
 
 
 def _round(
-    texts: DataFrame, start: LogBilinear, vocabulary: Vocabulary, drawn: int, batch: int, rate: float
-) -> LogBilinear:
-    """One round: each task trains a copy on its texts, and the copies are averaged by tokens."""
-    context = texts.sparkSession.sparkContext
-    shipped = context.broadcast(
-        {
-            "words": vocabulary.words[: vocabulary.own],
-            "noise": vocabulary.noise(),
-            "start": start.parameters,
-        }
-    )
+    rows: DataFrame,
+    state: np.ndarray,
+    noise: np.ndarray,
+    copies: int,
+    number: int,
+    drawn: int,
+    batch: int,
+    rate: float,
+    seed: int,
+) -> np.ndarray:
+    """One round: each copy of the model goes on with its rows, and the copies are averaged by
+    tokens. ``state`` holds the parameters and the sums of squared slopes.
+
+    ``rows`` are (copy, lot, classes). Which rows a copy has, and in which order,
+    follows from the rows alone, however the table is cut.
+    """
+    shipped = rows.sparkSession.sparkContext.broadcast({"state": state, "noise": noise})
+    outputs = len(noise)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = shipped.value
-        words = given["words"]
-        classes = Classes(zip(words, range(len(words)), strict=True))
-        end = len(words) + SHARED
-        model = LogBilinear(given["start"].copy(), len(given["noise"]))
-        trainer = Trainer(model, given["noise"], 1, rate)
-        tokens = 0
-        found: list[int] = []
-        lengths: list[int] = []
+        trainer, copy, tokens = None, None, 0
+        found: list[np.ndarray] = []
+        held = 0
 
         def learn() -> None:
-            places = np.array(found, dtype=np.int64)
-            places[places < 0] = len(words) - 1 - places[places < 0]
-            before, earlier = histories(places, np.array(lengths), end + 1)
+            places = np.concatenate(found).astype(np.int64)
+            lengths = np.array([len(x) for x in found])
+            before, earlier = histories(places, lengths, outputs)
             order = trainer.random.permutation(len(places))
             for part in np.array_split(order, max(1, len(order) // batch)):
                 trainer.step(places[part], before[part], earlier[part], drawn)
             found.clear()
-            lengths.clear()
+
+        def finished() -> pa.RecordBatch:
+            if found:
+                learn()
+            return _copy(tokens, np.concatenate([trainer.model.parameters, trainer.squares]))
 
         for arrow in batches:
-            for text in arrow.column(0).cast(pa.binary()).to_pylist():
-                numbers = list(map(classes.__getitem__, tokens_of(text)))
-                numbers.append(end)
-                lengths.append(len(numbers))
-                found += numbers
-                tokens += len(numbers)
-                if len(found) >= MOST_HELD:
+            owners = arrow.column(0).to_pylist()
+            for owner, packed in zip(owners, arrow.column(2).to_pylist(), strict=True):
+                if owner != copy:
+                    if trainer is not None:
+                        yield finished()
+                    parameters, squares = np.split(given["state"].copy(), 2)
+                    model = LogBilinear(parameters, outputs)
+                    trainer = Trainer(
+                        model, given["noise"], [seed, number, owner], rate, squares
+                    )
+                    copy, tokens, held = owner, 0, 0
+                # The end of a text is the last class, and is not stored.
+                found.append(np.append(np.frombuffer(packed, dtype="<u2"), outputs - 1))
+                tokens += len(found[-1])
+                held += len(found[-1])
+                if held >= MOST_HELD:
                     learn()
-        if found:
-            learn()
-        if tokens:
-            yield _copy(tokens, model.parameters)
-
-    copies = texts.mapInArrow(train, "tokens long, parameters binary")
-    number = texts.rdd.getNumPartitions()
-    while number > 32:
-        number = ceil_div(number, 16)
-        copies = copies.repartition(number).mapInArrow(_average, "tokens long, parameters binary")
-    copies = copies.toPandas()
-    if not len(copies):
-        return start
-    sums = _weighted(zip(copies["tokens"], copies["parameters"], strict=True))
-    return LogBilinear((sums[1] / sums[0]).astype(np.float32), start.outputs)
+                    held = 0
+        if trainer is not None:
+            yield finished()
+
+    dealt = rows.repartitionById(copies, F.col("copy")).sortWithinPartitions("copy", "lot")
+    trained = dealt.mapInArrow(train, "tokens long, parameters binary")
+    left = copies
+    while left > 32:
+        left = ceil_div(left, 16)
+        trained = trained.repartition(left).mapInArrow(_average, "tokens long, parameters binary")
+    trained = trained.toPandas()
+    if not len(trained):
+        return state
+    sums = _weighted(zip(trained["tokens"], trained["parameters"], strict=True))
+    return (sums[1] / sums[0]).astype(np.float32)
 
 
 def _weighted(copies: Iterator[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
@@ -381,43 +414,71 @@ class Model:
     counts: DataFrame
 
 
-def train(
-    docs: DataFrame,
-    text_col: str = "text",
-    rounds: int = 2,
+def vocabulary_of(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, DataFrame]:
+    """What tasks have at hand of the words of all whole texts, and the table of all counts."""
+    counts = materialize(count_words(docs, text_col), "words")
+    return _vocabulary(counts, docs.count()), counts
+
+
+def learn(
+    digests: DataFrame,
+    vocabulary: Vocabulary,
+    rounds: int = 4,
     drawn: int = 128,
     batch: int = 1_024,
     rate: float = 0.1,
     seed: int = 5,
-) -> Model:
-    """Log-bilinear model of all whole texts of ``docs``.
+    copy_tokens: int = COPY_TOKENS,
+) -> LogBilinear:
+    """Log-bilinear model of all texts of ``digests``, which are stored.
+
+    Training sees every token once: in each of ``rounds`` rounds copies of the
+    model go on with a share of the texts, and copies and their step lengths are
+    averaged, tree-wise, before the next. A text's round and copy follow from a
+    hash of the row. There is a copy for every ``copy_tokens`` of a round, so that
+    each makes enough steps to be worth averaging, whether the table is small
+    or large, and the result does not depend on partitions. A step tells the tokens
+    of a batch from ``drawn`` classes drawn from the unigram distribution; few
+    tokens are cut into smaller batches. Without any text the model stays at its start,
+    all classes alike.
+    """
+    noise = vocabulary.noise()
+    start = LogBilinear.start(noise, seed)
+    state = np.concatenate([start.parameters, np.full(len(start.parameters), 1e-6, np.float32)])
+    in_round = vocabulary.tokens // rounds
+    copies = min(MOST_COPIES, max(1, round(in_round / copy_tokens)))
+    batch = min(batch, max(LEAST_STEP, in_round // copies // LEAST_STEPS))
+    rows = digests.select(
+        F.pmod("lot", F.lit(rounds)).alias("turn"),
+        F.pmod(F.xxhash64("lot"), F.lit(copies)).cast("int").alias("copy"),
+        "lot",
+        "classes",
+    )
+    for number in range(rounds):
+        own = rows.where(F.col("turn") == number).select("copy", "lot", "classes")
+        state = _round(own, state, noise, copies, number, drawn, batch, rate, seed)
+    return LogBilinear(np.split(state, 2)[0], len(noise))
+
+
+def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> Model:
+    """Counts and model of all whole texts of ``docs``; ``options`` are those of ``learn``.
 
     Outputs are the ``WORDS`` most frequent words, ``SHARED`` classes for all
-    other words by their beginnings, and the end of a text. Counts cover every
-    token. Training sees every token once: in each of ``rounds`` rounds the tasks
-    train copies of the model on a share of the texts, and the copies are
-    averaged, tree-wise, before the next round. A step tells the tokens of a
-    batch from ``drawn`` classes drawn from the unigram distribution. Without
-    any text the model stays at its start, all classes alike.
+    other words by their beginnings, and the end of a text.
     """
-    counts = materialize(count_words(docs, text_col), "words")
-    vocabulary = _vocabulary(counts, docs.count())
-    network = LogBilinear.start(vocabulary.noise(), seed)
-    texts = docs.select(whole_text(text_col).alias("text"))
-    turn = F.pmod(F.crc32("text"), F.lit(rounds))
-    for number in range(rounds):
-        network = _round(
-            texts.where(turn == number), network, vocabulary, drawn, batch, rate
-        )
-    return Model(network, vocabulary, counts)
+    vocabulary, counts = vocabulary_of(docs, text_col)
+    digests = stored_digest(docs, vocabulary, id_col, text_col)
+    return Model(learn(digests, vocabulary, **options), vocabulary, counts)
 
 
-PARTIAL = StructType(
+DIGEST = StructType(
     [
+        StructField("lot", LongType()),
         StructField("n_tokens", LongType()),
         StructField("known", LongType()),
         StructField("log_counts", DoubleType()),
-        StructField("log_model", DoubleType()),
+        StructField("log_in_class", DoubleType()),
+        StructField("classes", BinaryType()),
         StructField(
             "rare",
             ArrayType(
@@ -428,6 +489,111 @@ PARTIAL = StructType(
 )
 
 
+def digest(
+    docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """What training and scoring need of each whole text; texts are split into words here only.
+
+    doc_id; ``lot``, a hash of the row (copies of a row get different ones);
+    ``n_tokens``, words and one end; ``known``, ``log_counts`` and ``log_in_class`` of the
+    tokens whose counts are at hand; ``classes`` of the words, two bytes each; and
+    the words ``rare`` enough not to be at hand. A null text is empty.
+    """
+    v = vocabulary
+    shipped = docs.sparkSession.sparkContext.broadcast(
+        (
+            v.words, v.counts, v.own, v.tokens, v.distinct, v.documents, v.shared_tokens,
+            v.shared_words,
+        )
+    )
+    kinds = dict(
+        zip(
+            DIGEST.fieldNames(),
+            (
+                pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(),
+                pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])),
+            ),
+            strict=True,
+        )
+    )
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(*shipped.value)
+        log_counts = np.log10(np.append(v.counts, 1) + ADDED)
+        end_log = np.log10(v.documents + ADDED)
+        share = np.zeros(v.end + 1)
+        share[v.own : v.end] = np.log10(v.shared_tokens + ADDED * (v.shared_words + 1))
+
+        def part_of(ids: pa.Array, lots: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+            words = [tokens_of(t) for t in texts]
+            lengths = np.array([len(w) for w in words])
+            flat = [w for text in words for w in text]
+            places = np.fromiter(map(v.classes.__getitem__, flat), dtype=np.int64, count=len(flat))
+            unseen = places < 0
+            target = v.model_classes(places)
+            own_logs = np.where(unseen, 0.0, log_counts[np.maximum(places, 0)])
+            in_class = np.where(places >= v.own, own_logs, 0.0) - share[target]
+            first = np.cumsum(lengths) - lengths
+            rare: list[list] = []
+            for text, start in zip(words, first.tolist(), strict=True):
+                gone = unseen[start : start + len(text)]
+                found = Counter(compress(text, gone.tolist())) if gone.any() else {}
+                rare.append([(w.decode("utf-8", "replace"), n) for w, n in found.items()])
+            packed = target.astype("<u2").tobytes()
+            # Copies of a row must not all come to one copy of the model.
+            seen: Counter[int] = Counter()
+            spread = []
+            for lot in lots.to_pylist():
+                moved = lot + seen[lot] * 0x9E3779B97F4A7C15
+                spread.append((moved + (1 << 63)) % (1 << 64) - (1 << 63))
+                seen[lot] += 1
+            columns = {
+                "lot": spread,
+                "n_tokens": lengths + 1,
+                "known": _sums(~unseen, first, lengths).astype(np.int64) + (v.documents > 0),
+                "log_counts": _sums(own_logs, first, lengths) + end_log,
+                "log_in_class": _sums(in_class, first, lengths),
+                "classes": [
+                    packed[2 * start : 2 * (start + n)]
+                    for start, n in zip(first.tolist(), lengths.tolist(), strict=True)
+                ],
+                "rare": rare,
+            }
+            return pa.RecordBatch.from_arrays(
+                [ids, *(pa.array(c, kinds[name]) for name, c in columns.items())],
+                names=["doc_id", *DIGEST.fieldNames()],
+            )
+
+        for batch in batches:
+            # The words of few texts at a time, so that a task holds little beside its batch.
+            for start in range(0, batch.num_rows, MOST_TEXTS):
+                part = batch.slice(start, MOST_TEXTS)
+                texts = part.column(2).cast(pa.binary()).to_pylist()
+                yield part_of(part.column(0), part.column(1), texts)
+
+    text = whole_text(text_col)
+    lot = F.xxhash64(text, column(id_col).cast("string"))
+    rows = docs.select(column(id_col).alias("doc_id"), lot.alias("lot"), text)
+    return rows.mapInArrow(digested, StructType([rows.schema.fields[0], *DIGEST.fields]))
+
+
+def _sums(values: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sum of each stretch of ``values``; an empty one has 0."""
+    out = np.zeros(len(lengths))
+    filled = lengths > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(values, first[filled], dtype=np.float64)
+    return out
+
+
+def stored_digest(
+    docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The ``digest``, written out with a number ``row`` for each row."""
+    rows = digest(docs, vocabulary, id_col, text_col)
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
+
+
 def score(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -438,73 +604,51 @@ def score(
     the model's log10 probability of the text: that of each token's class after
     the two classes before it, exactly normalised, times that of the word within
     a shared class, by its count and 0.1 for any unseen word. A null text is
-    empty and has its end alone.
+    empty and has its end alone. Repeated rows each get the same scores.
 
     Tasks have the counts of frequent words at hand. All other words of a text,
     however many there are, are joined with the table of counts.
     """
+    return score_digests(stored_digest(docs, model.vocabulary, id_col, text_col), model)
+
+
+def score_digests(digests: DataFrame, model: Model) -> DataFrame:
+    """Scores, as of ``score``, of texts whose ``stored_digest`` is known."""
     v = model.vocabulary
-    shipped = docs.sparkSession.sparkContext.broadcast(
-        {
-            "parameters": model.network.parameters,
-            "words": v.words,
-            "rest": (
-                v.counts, v.own, v.tokens, v.distinct, v.documents, v.shared_tokens, v.shared_words
-            ),
-        }
+    shipped = digests.sparkSession.sparkContext.broadcast(
+        {"parameters": model.network.parameters, "outputs": v.end + 1}
     )
+    handed_on = ("doc_id", "row", "n_tokens", "known", "log_counts", "log_in_class")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The worker keeps the value, and what is built from it, from task to task.
         kept = shipped.value
+        outputs = kept["outputs"]
         if "tables" not in kept:
-            v = Vocabulary(kept["words"], *kept["rest"])
-            network = LogBilinear(kept["parameters"], v.end + 1)
-            kept.update(vocabulary=v, network=network, tables=network.tables())
-        v, network, tables = kept["vocabulary"], kept["network"], kept["tables"]
-        log_counts = np.log10(np.concatenate([v.counts, [v.documents]]) + ADDED)
-        share = np.zeros(v.end + 1)
-        share[v.own : v.end] = np.log10(v.shared_tokens + ADDED * (v.shared_words + 1))
-        rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
-
-        def digest(text: bytes) -> tuple:
-            words = tokens_of(text)
-            places = np.fromiter(
-                map(v.classes.__getitem__, words), dtype=np.int64, count=len(words)
-            )
-            rare = places < 0
-            target = np.append(v.model_classes(places), v.end)
-            before, earlier = histories(target, np.array([len(target)]), v.begin)
-            logs = network.log_probabilities(tables, target, before, earlier)
-            at_hand = places[~rare]
-            own_logs = log_counts[at_hand]
-            in_class = own_logs[at_hand >= v.own].sum() - share[target].sum()
-            unseen = Counter(compress(words, rare.tolist())) if rare.any() else {}
-            return (
-                len(target),
-                len(at_hand) + (v.documents > 0),
-                float(own_logs.sum() + log_counts[-1]),
-                float(logs.sum() / np.log(10) + in_class),
-                [(w.decode("utf-8", "replace"), n) for w, n in unseen.items()],
-            )
-
+            network = LogBilinear(kept["parameters"], outputs)
+            kept.update(network=network, tables=network.tables())
+        network, tables = kept["network"], kept["tables"]
         for batch in batches:
-            # The words of few texts at a time, so that a task holds little beside its batch.
             for start in range(0, batch.num_rows, MOST_TEXTS):
                 part = batch.slice(start, MOST_TEXTS)
-                rows = [digest(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                columns = zip(*rows, strict=True)
+                texts = [
+                    np.append(np.frombuffer(x, dtype="<u2"), outputs - 1)
+                    for x in part.column(len(handed_on)).to_pylist()
+                ]
+                lengths = np.array([len(x) for x in texts])
+                target = np.concatenate(texts).astype(np.int64)
+                before, earlier = histories(target, lengths, outputs)
+                logs = network.log_probabilities(tables, target, before, earlier)
+                sums = np.add.reduceat(logs, np.cumsum(lengths) - lengths) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                    names=["doc_id", *PARTIAL.fieldNames()],
+                    [*(part.column(i) for i in range(len(handed_on))), pa.array(sums)],
+                    names=[*handed_on, "log_model"],
                 )
 
-    rows = docs.select(column(id_col).alias("doc_id"), whole_text(text_col))
-    schema = StructType([rows.schema.fields[0], *PARTIAL.fields])
-    partial = rows.mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id())
-    partial = materialize(partial, "partial")
-    rare = partial.select("row", F.explode("rare").alias("rare")).select("row", "rare.*")
+    given = digests.select(*handed_on, "classes")
+    schema = StructType([*given.schema.fields[:-1], StructField("log_model", DoubleType())])
+    partial = given.mapInArrow(scored, schema)
+    rare = digests.select("row", F.explode("rare").alias("rare")).select("row", "rare.*")
     counts = model.counts.select(F.col("word").alias("_word"), F.col("n").alias("c"))
     seen = F.coalesce("c", F.lit(0))
     rest = (
@@ -522,7 +666,7 @@ def score(
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         (F.col("log_counts") + logs - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("log_model") + logs).alias("score"),
+        (F.col("log_model") + F.col("log_in_class") + logs).alias("score"),
     )
 
 
@@ -534,8 +678,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest: all documents scored, learned from nine folds of ten."""
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(~held_out()))
-    return score(docs, model).select(
+    vocabulary, counts = vocabulary_of(docs.where(~held_out()))
+    digests = stored_digest(docs, vocabulary)
+    network = learn(digests.where(~held_out()), vocabulary)
+    model = Model(network, vocabulary, counts)
+    return score_digests(digests, model).select(
         "doc_id",
         held_out().alias("held_out"),
         "n_tokens",

@@ -152,3 +152,50 @@ def test_all_words_of_their_own_in_little_memory():
     expected = logits[np.arange(3), target] - np.log(np.exp(logits).sum(axis=1))
     found = network.log_probabilities(tables, target, before, earlier)
     assert found == pytest.approx(expected, abs=1e-4)
+
+
+def test_the_model_depends_on_the_rows_alone(spark):
+    """Not on how the table is cut; and each of several copies is worth averaging."""
+    import random
+
+    random.seed(7)
+    spoken = [["der", "die", "und", "ein", "zu"], ["the", "of", "and", "in", "to"]]
+    rows = [(i, " ".join(random.choices(spoken[i % 2], k=60))) for i in range(400)]
+    rows += [(1000 + i, "the same copy of one text " * 8) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in (1, 5, 32):
+        docs = table.repartition(parts)
+        vocabulary, counts = lm.vocabulary_of(docs)
+        digests = lm.stored_digest(docs, vocabulary)
+        network = lm.learn(digests, vocabulary, batch=128, copy_tokens=1_500)
+        model = lm.Model(network, vocabulary, counts)
+        sums = lm.score_digests(digests, model).agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+        found.append((sums["sum(score)"], (sums["sum(score)"] - sums["sum(base_score)"]) / sums["sum(n_tokens)"]))
+    assert all(gain > 0.15 for _, gain in found)
+    assert found[0][0] == pytest.approx(found[1][0], rel=1e-6) == pytest.approx(found[2][0], rel=1e-6)
+
+
+def test_copies_of_a_row_are_spread(spark):
+    rows = [(None, "one row of many")] * 3_000 + [(i, f"text {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    vocabulary, _ = lm.vocabulary_of(docs)
+    digests = lm.stored_digest(docs, vocabulary)
+    hot = digests.where("doc_id is null")
+    assert hot.select("lot").distinct().count() > 100
+    shares = [r["count"] for r in hot.groupBy((hot["lot"] % 4)).count().collect()]
+    assert len(shares) > 4 and max(shares) < 0.3 * 3_000
+    same = digests.where("doc_id is not null").join(
+        lm.stored_digest(docs.repartition(7), vocabulary).where("doc_id is not null").select("doc_id", "lot"),
+        ["doc_id", "lot"],
+    )
+    assert same.count() == 100
+
+
+def test_digest_of_awkward_texts(docs, no_docs, awkward, small):
+    vocabulary, _ = lm.vocabulary_of(docs)
+    rows = lm.digest(docs, vocabulary).collect()
+    assert len(rows) == len(awkward)
+    assert sorted(len(r.classes) // 2 + 1 for r in rows) == sorted(len(words(t)) + 1 for _, t, _ in awkward)
+    assert all(r.known + sum(x.n for x in r.rare) == r.n_tokens for r in rows)
+    assert lm.digest(no_docs, vocabulary).count() == 0

@@ -64,17 +64,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(
-    df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()
+    df: DataFrame,
+    name: str = "table",
+    partition_by: Sequence[str] = (),
+    codec: str = "snappy",
 ) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage at a place that outlives executors, and unlike a
-    checkpoint the copy still serves single columns.
+    checkpoint the copy still serves single columns. The ``codec`` zstd makes
+    long texts about a third smaller than the quicker default.
     """
     path = scratch_path(df.sparkSession, name)
     if _OPEN_SCOPES:
         _OPEN_SCOPES[-1].append(path)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 

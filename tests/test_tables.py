@@ -138,7 +138,7 @@ def test_either_filter_skips_most_rows(spark, tmp_path):
     ]
     for kept in filters:
         laid, other = kept(str(tmp_path / "laid")), kept(str(tmp_path / "any"))
-        assert scanned(laid) < 0.4 * 40_000 and scanned(other) == 40_000
+        assert scanned(laid) < 0.4 * 40_000 and scanned(laid) < 0.6 * scanned(other)
         assert table(laid) == table(other)
     assert table(filters[0](str(tmp_path / "any"))) == table(
         files.read_predictions(spark, str(tmp_path / "any")).where(

@@ -148,6 +148,25 @@ def running_offsets(
     )
 
 
+#: Rows that may share a hash before they are told apart.
+MOST_ALIKE = 1_024
+
+
+def told_apart(rows: DataFrame, lot: str, number: str, most: int = MOST_ALIKE) -> DataFrame:
+    """``rows`` with another ``lot`` for each of those that share one with more than ``most``.
+
+    ``rows`` are stored, and ``number`` differs from row to row. Rows are put in order
+    by ranges of their lots: equal rows, which share one, would all fall into one range.
+    All others keep theirs, which follows from the row alone.
+    """
+    counts = rows.groupBy(F.col(lot).alias("_lot")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(counts.where(F.col("_n") > most).select("_lot"), "alike")
+    other = F.when(F.col("_lot").isNull(), F.col(lot)).otherwise(F.xxhash64(lot, number))
+    names = [column(c) for c in rows.columns if c not in (lot, number)]
+    met = rows.join(hot, F.col(lot) == F.col("_lot"), "left")
+    return met.select(*names, other.alias(lot))
+
+
 def equal_part(value: Column, parts: int) -> Column:
     """Which of ``parts`` equal ranges a number from 0 to 1 lies in."""
     return F.least(F.floor(value * parts), F.lit(parts - 1)).cast("long")

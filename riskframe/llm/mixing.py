@@ -17,6 +17,7 @@ from riskframe.llm.common import (
     running_offsets,
     spread,
     table,
+    told_apart,
     whole_text,
 )
 from riskframe.session import materialize
@@ -118,7 +119,7 @@ def mix(
     sources are evenly interleaved). Texts are read once, to count their tokens.
 
     A null source is a source of its own; null texts are empty. Repeated rows
-    are rows like any other. An empty table stays empty.
+    are rows like any other, and are spread over blocks like others. An empty table stays empty.
     """
     text = whole_text(text_col)
     rows = docs.select(
@@ -127,7 +128,8 @@ def mix(
         (F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")) + 1).cast("long").alias("tokens"),
         F.xxhash64(F.lit(seed), column(id_col), F.crc32(text)).alias("lot"),
     )
-    rows = materialize(rows, "tokens")
+    numbered = rows.withColumn("number", F.monotonically_increasing_id())
+    rows = told_apart(materialize(numbered, "tokens"), "lot", "number", block_rows // 4)
     sums = rows.groupBy("source").agg(
         F.sum("tokens").alias("of_tokens"), F.count(F.lit(1)).alias("of_rows")
     )
@@ -190,7 +192,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     cut into partitions may change from job to job. Texts are shuffled once to meet
     their places in the mixture, and once into order.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = materialize(rows, "numbered", codec="zstd")
     places = mix(numbered, id_col="_row", **options).select(
         F.col("doc_id").alias("_of"), F.col("fraction").alias("_fraction")
     )

@@ -18,6 +18,8 @@ TILE_QUERIES = 512
 TILE_VECTORS = 4096
 #: Products of two int8 numbers that float32 adds up without rounding: 127 * 127 * 1040 < 2 ** 24.
 EXACT_TERMS = 1040
+#: More than what products of small numbers lose, and nothing beside others.
+TINY = 1e-300
 
 
 def usable(vector: Column) -> Column:
@@ -43,18 +45,24 @@ def one_per_id(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 class Block:
-    """Vectors of one length with their int8 form and what it leaves over."""
+    """Vectors of one length with their int8 form and what it leaves over.
+
+    But for ``exact`` all is of the vectors over the power of two that brings their
+    largest component below 1, so that no square overflows or vanishes.
+    """
 
     def __init__(self, ids: np.ndarray, exact: np.ndarray) -> None:
         self.ids, self.exact = ids, exact
-        self.scale = np.abs(exact).max(axis=1) / 127
-        whole = np.rint(exact / self.scale[:, None])
+        _, self.power = np.frexp(np.abs(exact).max(axis=1))
+        near_one = np.ldexp(exact, -self.power[:, None])
+        self.scale = np.abs(near_one).max(axis=1) / 127
+        whole = np.rint(near_one / self.scale[:, None])
         rounded = whole * self.scale[:, None]
         # Kept as float32, in which the products of whole numbers up to 127 are exact.
         self.int8 = whole.astype(np.float32)
-        self.norm = np.sqrt((exact**2).sum(axis=1))
+        self.norm = np.sqrt((near_one**2).sum(axis=1))
         self.rounded_norm = np.sqrt((rounded**2).sum(axis=1))
-        self.left_over = np.sqrt(((exact - rounded) ** 2).sum(axis=1))
+        self.left_over = np.sqrt(((near_one - rounded) ** 2).sum(axis=1))
 
     def part(self, rows: slice) -> Block:
         piece = object.__new__(Block)
@@ -68,6 +76,7 @@ def _tile(queries: Block, vectors: Block) -> tuple[np.ndarray, np.ndarray]:
 
     <q, v> - <q', v'> = <q, v - v'> + <q - q', v'>, so |q| |v - v'| + |q - q'| |v'|
     bounds the error; a little is added for the rounding of this computation itself.
+    Either may overflow; such a pair is to be looked at.
     """
     total = np.zeros((len(queries.ids), len(vectors.ids)))
     for start in range(0, queries.int8.shape[1], EXACT_TERMS):
@@ -77,7 +86,10 @@ def _tile(queries: Block, vectors: Block) -> tuple[np.ndarray, np.ndarray]:
     error = np.outer(queries.norm, vectors.left_over)
     error += np.outer(queries.left_over, vectors.rounded_norm)
     error += 1e-9 * np.outer(queries.norm, vectors.norm)
-    return total, error
+    power = queries.power[:, None] + vectors.power
+    with np.errstate(over="ignore"):
+        # What vanishes in either is less than what is added.
+        return np.ldexp(total, power), np.ldexp(error, power) + TINY
 
 
 class Search:
@@ -107,18 +119,24 @@ class Search:
         own = queries.ids[:, None] == vectors.ids
         about[own] = -np.inf
         least = self.least[first : first + len(queries.ids)]
+        with np.errstate(invalid="ignore", over="ignore"):
+            low, high = about - error, about + error
         if len(vectors.ids) > self.nearest:
-            low = np.partition(about - error, -self.nearest, axis=1)[:, -self.nearest]
+            low[~np.isfinite(low)] = -np.inf
+            low = np.partition(low, -self.nearest, axis=1)[:, -self.nearest]
             least = np.maximum(least, low)
-        q, v = np.nonzero((about + error >= least[:, None]) & ~own)
+        # A bound that is no number keeps its pair.
+        q, v = np.nonzero(~(high < least[:, None]) & ~own)
         step = max(1, 4_000_000 // queries.exact.shape[1])
         scores = np.zeros(len(q))
         for start in range(0, len(q), step):
             some = slice(start, start + step)
             # Term by term from the first component on, as a plain loop adds them up.
-            for a, b in zip(queries.exact[q[some]].T, vectors.exact[v[some]].T, strict=True):
-                scores[some] += a * b
-        self._merge(q + first, vectors.ids[v], scores)
+            with np.errstate(over="ignore", invalid="ignore"):
+                for a, b in zip(queries.exact[q[some]].T, vectors.exact[v[some]].T, strict=True):
+                    scores[some] += a * b
+        number = ~np.isnan(scores)
+        self._merge(q[number] + first, vectors.ids[v[number]], scores[number])
 
     def _merge(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         query, ids, scores = (
@@ -252,7 +270,9 @@ def nearest_neighbours(
     Rows with a null id take no part, nor do vectors that are null, empty, zero
     or hold a null or non-finite component. Of several rows with one id the
     smallest vector counts. Vectors of another length than the query's are no
-    candidates. An empty table on either side gives no rows.
+    candidates. A score beyond the range of doubles is infinite; a pair whose products
+    run out of it in both directions has none and takes no part. An empty table on
+    either side gives no rows.
     """
     spark = vectors.sparkSession
     corpus = materialize(one_per_id(vectors, id_col, vector_col), "vectors")

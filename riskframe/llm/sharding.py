@@ -15,6 +15,7 @@ from riskframe.llm.common import (
     running_offsets,
     spread,
     table,
+    told_apart,
     whole_text,
 )
 from riskframe.session import materialize
@@ -46,7 +47,7 @@ def interleave(
 
     A null source is a source of its own, a null text is empty, and a null id is
     an id like any other. Repeated rows each get a place; rows that are equal in
-    id, source and text are interchangeable. With fewer rows than shards some
+    id, source and text are interchangeable, and are spread like others. With fewer rows than shards some
     shards stay empty.
 
     Neither sort is a window over a source or the table: random numbers (and
@@ -62,7 +63,8 @@ def interleave(
         *([F.struct(*names_of(keep)).alias("kept")] if keep else []),
     )
     lot = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
-    rows = materialize(rows.withColumn("lot", lot), "rows")
+    numbered = rows.withColumns({"lot": lot, "number": F.monotonically_increasing_id()})
+    rows = told_apart(materialize(numbered, "rows"), "lot", "number")
     total = rows.count()
     parts = ceil_div(total, run_rows)
 

@@ -86,3 +86,16 @@ def test_large_lookups_are_spread_not_broadcast(spark):
     for most in (8 << 20, 0):
         found = attach(rows, few, "key", most).collect()
         assert sorted((r.doc_id, r.value) for r in found) == [(i, 1 if i % 3 == 0 else 2) for i in range(60)]
+
+
+def test_equal_rows_fill_many_blocks(spark):
+    rows = [(None, "the same row", "s")] * 20_000 + [(i, f"text {i}", "s") for i in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = mixing.mix(table, most_passes=None)
+    sizes = [r["count"] for r in found.groupBy("pass", "block").count().collect()]
+    assert sum(sizes) == 20_500 and max(sizes) < 1.2 * mixing.BLOCK_ROWS
+    places = sorted(r.place for r in found.collect())
+    assert places == list(range(20_500))
+    # All other rows stand where they stood without the number.
+    again = {r.doc_id: r.block for r in mixing.mix(table.repartition(7), most_passes=None).collect() if r.doc_id}
+    assert again == {r.doc_id: r.block for r in found.collect() if r.doc_id}

@@ -69,3 +69,41 @@ def test_products_lie_within_their_bounds():
     b = neighbours.Block(np.arange(70), random_numbers.normal(size=(70, 2500)) ** 3)
     about, error = neighbours._tile(a, b)
     assert (np.abs(about - a.exact @ b.exact.T) <= error).all()
+
+
+def test_very_large_and_very_small_vectors(spark):
+    draw = np.random.default_rng(5)
+    made = []
+    for i in range(160):
+        power = [0.0, 100.0, -150.0, -300.0][i % 4]
+        made.append((i, (draw.normal(size=6) * 10.0**power).tolist()))
+    made += [(200, [5e-324] * 6), (220, [5e-324, 0.0, 0.0, 0.0, 0.0, 0.0]), (240, [1e200] * 6), (241, [5e-324] * 6)]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    found = neighbours.nearest_neighbours(table.where("vec_id % 20 = 0"), table, 30, cell_rows=40).collect()
+    expected = []
+    for q, a in made:
+        if q % 20:
+            continue
+        scores = []
+        for v, b in made:
+            total = 0.0
+            for x, y in zip(a, b, strict=True):
+                total += x * y
+            if v != q:
+                scores.append((-total, v))
+        expected += [(q, n, v, -s) for n, (s, v) in enumerate(sorted(scores)[:30], 1)]
+    assert [tuple(r) for r in sorted(found)] == sorted(expected)
+
+
+def test_clashing_columns_and_awkward_vectors(spark):
+    from awkward import CLASHING
+
+    rows = [(i, [float(i % 7), 1.0]) for i in range(50)] + [(60, None), (80, [0.0, 0.0]), (None, [1.0, 2.0])]
+    names = [n for n in (*CLASHING, "cell", "side", "block", "query_id", "rank", "vector") if n != "score"]
+    names = list(dict.fromkeys(names))
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    extra = plain.selectExpr("*", *[f"'x' as `{n}`" for n in names])
+    a, b = (
+        sorted(map(tuple, neighbours.nearest_neighbours(t.where("vec_id % 20 = 0"), t, 3).collect())) for t in (plain, extra)
+    )
+    assert a == b and {q for q, *_ in a} == {0, 20, 40}

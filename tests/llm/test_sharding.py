@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from riskframe.llm import sharding
+from riskframe.session import materialize
 
 
 @pytest.mark.parametrize("run_rows", [4_096, 5])
@@ -56,3 +57,19 @@ def test_fewer_rows_than_shards_and_none(docs, no_docs):
 def test_plan_has_no_python(docs):
     plan = sharding.interleave(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_equal_rows_are_put_in_order_by_many_tasks(spark):
+    rows = [(None, "the same row", "s")] * 9_000 + [(i, f"text {i}", "s") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = sharding.interleave(table, 4, run_rows=1_000)
+    slots = {}
+    for r in found.collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert {s: sorted(x) for s, x in slots.items()} == {s: list(range(2_325)) for s in range(4)}
+    from riskframe.llm.common import equal_part, spread, told_apart
+
+    numbered = spark.createDataFrame([(5, i) for i in range(9_000)], "lot long, number long")
+    apart = told_apart(materialize(numbered), "lot", "number")
+    runs = apart.groupBy(equal_part(spread(apart["lot"]), 9)).count().collect()
+    assert len(runs) == 9 and max(r["count"] for r in runs) < 1_300

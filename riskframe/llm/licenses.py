@@ -106,7 +106,7 @@ SENTENCES = [
     ("mit", "as is", r"the software is provided .as is., without warranty of any kind, express or implied", 60),
     ("isc", "with or without fee", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted", 90),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification, are permitted", 85),
-    ("bsd-3-clause", "neither the name", r"neither the names? of [\s\S]{1,500}? may be used to endorse or promote products derived from", 88),
+    ("bsd-3-clause", "neither the name", r"neither the names? of (?:(?!neither the name)[\s\S])+? may be used to endorse or promote products derived from", 88),
     ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display", 92),
     ("apache-2.0", "you may not use this file", r"you may not use this file except in compliance with the licen[sc]e", 85),
     ("apache-2.0", "without warranties or conditions", r"without warranties or conditions of any kind, either express or implied", 60),
@@ -130,6 +130,30 @@ SENTENCES = [
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)", 58),
     ("proprietary", "without", r"may not be (?:reproduced|copied|distributed|republished)[^.]{0,80} without (?:the )?(?:prior |express |written )*(?:consent|permission)", 52),
     ("fair-use", "fair use", r"fair use (?:notice|doctrine|act)", 45),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public licen[sc]e,? version 1\.1", 90),
+    ("cddl-1.0", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 90),
+    ("epl-2.0", "accompanying materials", r"the accompanying materials are made available under the terms of the eclipse public licen[sc]e,? (?:v\.? ?|version )?2\.0", 90),
+    ("epl-1.0", "accompanying materials", r"the accompanying materials are made available under the terms of the eclipse public licen[sc]e,? (?:v\.? ?|version )?1\.0", 90),
+    ("ofl-1.1", "this font software", r"this font software is licen[sc]ed under the sil open font licen[sc]e", 90),
+    ("cc0-1.0", "neighboring rights", r"waived all copyright and related or neighboring rights", 88),
+    ("postgresql", "without a written agreement", r"for any purpose, without fee, and without a written agreement is hereby granted", 88),
+    ("ncsa", "to deal with the software", r"to deal with the software without restriction", 86),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project", 88),
+    ("php-3.01", "may not be called", r"products derived from this software may not be called .php.", 88),
+    ("python-2.0", "psf is making python", r"psf is making python available to licen[sc]ee on an .as is. basis", 90),
+    ("ruby", "at least one of the following", r"you may modify your copy of the software in any way, provided that you do at least one of the following", 84),
+    ("odbl-1.0", "made available under", r"made available under the open database licen[sc]e", 86),
+    ("pddl-1.0", "made available under", r"made available under the public domain dedication and licen[sc]e", 86),
+    ("sspl-1.0", "mongodb", r"server side public licen[sc]e, version 1, as published by mongodb", 90),
+    ("elastic-2.0", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service", 88),
+    ("busl-1.1", "non-production use", r"make non-production use of the licen[sc]ed work", 88),
+    ("ms-pl", "patent claim", r"if you bring a patent claim against any contributor over patents that you claim are infringed by the software", 84),
+    ("ogl-uk", "public sector information", r"contains public sector information licen[sc]ed under the open government licen[sc]e", 90),
+    ("openrail", "use-based restrictions", r"use-based restrictions (?:as set forth|referenced) in", 80),
+    ("zlib", "plainly marked", r"altered source versions must be plainly marked as such", 88),
+    ("bsl-1.0", "person or organization", r"free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", 91),
+    ("gfdl", "front-cover texts", r"with no invariant sections, no front-cover texts,? and no back-cover texts", 86),
+    ("eupl", "under the eupl", r"licen[sc]ed under the eupl", 86),
     ("terms", "terms of use", r"subject to (?:the|our) terms of (?:use|service)", 35),
     ("terms", "terms of service", r"subject to (?:the|our) terms of service", 35),
 ]

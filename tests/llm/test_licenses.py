@@ -113,3 +113,36 @@ def test_wrapped_notices_are_found():
         # Places are those of the text as it is.
         found = SCANNER.detections(text.lower().encode())
         assert found[-1][1] <= 30 and len(text) - 1 <= found[-1][2] <= len(text)
+
+
+def test_holders_of_any_length():
+    scanner = licenses.Scanner()
+    for size in (1, 520, 40_000):
+        holder = ("acme " * size).strip()
+        low = f"neither the name of {holder} may be used to endorse or promote products derived from this".encode()
+        found = [(rule.label, end) for rule, _, end in scanner.detections(low) if rule.label == "bsd-3-clause"]
+        assert found == [("bsd-3-clause", len(low) - len(" this"))]
+    # Each beginning looks no further than the next, so that many without an end cost little.
+    many = b"neither the name of nobody " * 20_000
+    assert not [r for r, _, _ in scanner.detections(many) if r.label == "bsd-3-clause"]
+    last = many + b"may be used to endorse or promote products derived from it"
+    assert [s for r, s, _ in scanner.detections(last) if r.label == "bsd-3-clause"] == [len(many) - 27]
+
+
+def test_every_sentence_is_found_where_it_stands():
+    """A text made of each sentence's own words, wrapped, is labelled by it or by one of higher priority."""
+    scanner = licenses.Scanner()
+    texts = {
+        "cddl-1.0": "The contents of this file are subject to the terms of the\nCommon Development and Distribution License",
+        "epl-2.0": "This program and the accompanying materials are made available under\nthe terms of the Eclipse Public License 2.0",
+        "ofl-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "cc0-1.0": "the author has waived all copyright and related or\n  neighboring rights to this work",
+        "postgresql": "for any purpose, without fee, and without a written agreement\nis hereby granted",
+        "zlib": "Altered source versions must be plainly marked as such",
+        "ogl-uk": "Contains public sector information licensed under the Open Government Licence v3.0",
+        "busl-1.1": "redistribute, and make non-production use of the Licensed Work",
+    }
+    for label, text in texts.items():
+        labels = {rule.label for rule, _, _ in scanner.detections(text.lower().encode())}
+        assert label in labels, label
+    assert not scanner.detections(b"the contents of this file are subject to review")

@@ -227,6 +227,7 @@ class Trainer:
         fresh = np.full(len(model.parameters), 1e-6, dtype=np.float32)
         self.squares = fresh if squares is None else squares
         self.ladder = np.cumsum(noise)
+        self.log_noise = np.log(noise).astype(np.float32)
 
     def step(self, target: np.ndarray, before: np.ndarray, earlier: np.ndarray, drawn: int) -> None:
         """One step: the tokens' own classes against ``drawn`` classes drawn for all of them."""
@@ -236,13 +237,19 @@ class Trainer:
         near, far = m.r[before], m.r[earlier]
         context = near * m.c1 + far * m.c2
         own = m.q[target]
-        log_noise = np.log(drawn * self.noise).astype(np.float32)
-        right = np.einsum("ij,ij->i", context, own) + m.b[target] - log_noise[target]
-        wrong = context @ m.q[other].T + (m.b[other] - log_noise[other])
-        # Slopes of the loss: how far each is from being told apart.
-        up = 1 / (1 + np.exp(-np.clip(right, -30, 30))) - 1
-        down = 1 / (1 + np.exp(-np.clip(wrong, -30, 30)))
-        at_context = up[:, None] * own + down @ m.q[other]
+        surplus = m.b - self.log_noise - np.float32(np.log(drawn))
+        right = np.einsum("ij,ij->i", context, own) + surplus[target]
+        others = m.q[other]
+        down = context @ others.T
+        down += surplus[other]
+        # Slopes of the loss: how far each is from being told apart. An overflow is a
+        # slope of 0.
+        with np.errstate(over="ignore"):
+            up = 1 / (1 + np.exp(-right)) - 1
+            np.exp(np.negative(down, out=down), out=down)
+        down += 1
+        np.reciprocal(down, out=down)
+        at_context = up[:, None] * own + down @ others
         gradient = LogBilinear(np.zeros_like(m.parameters), m.outputs)
         _add_rows(gradient.q, target, up[:, None] * context)
         np.add.at(gradient.q, other, down.T @ context)
@@ -259,10 +266,9 @@ class Trainer:
 
 def _add_rows(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Add each of ``values`` to its row of ``matrix``; rows repeat."""
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    starts = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-    matrix[sorted_rows[starts]] += np.add.reduceat(values[order], starts, axis=0)
+    cells = (rows[:, None] * SIZE + np.arange(SIZE)).ravel()
+    sums = np.bincount(cells, values.ravel(), minlength=matrix.size)
+    matrix += sums.reshape(matrix.shape)
 
 
 def _vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
@@ -367,8 +373,8 @@ def _round(
     dealt = rows.repartitionById(copies, F.col("copy")).sortWithinPartitions("copy", "lot")
     trained = dealt.mapInArrow(train, "tokens long, parameters binary")
     left = copies
-    while left > 32:
-        left = ceil_div(left, 16)
+    while left > 8:
+        left = ceil_div(left, 8)
         trained = trained.repartition(left).mapInArrow(_average, "tokens long, parameters binary")
     trained = trained.toPandas()
     if not len(trained):
@@ -506,16 +512,10 @@ def digest(
             v.shared_words,
         )
     )
-    kinds = dict(
-        zip(
-            DIGEST.fieldNames(),
-            (
-                pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(),
-                pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])),
-            ),
-            strict=True,
-        )
-    )
+    kinds = {
+        "lot": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(),
+        "log_counts": pa.float64(), "log_in_class": pa.float64(), "classes": pa.binary(),
+    }
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*shipped.value)
@@ -534,11 +534,22 @@ def digest(
             own_logs = np.where(unseen, 0.0, log_counts[np.maximum(places, 0)])
             in_class = np.where(places >= v.own, own_logs, 0.0) - share[target]
             first = np.cumsum(lengths) - lengths
-            rare: list[list] = []
+            rare_words: list[str] = []
+            rare_counts: list[int] = []
+            ends = [0]
+            gone = unseen.tolist()
             for text, start in zip(words, first.tolist(), strict=True):
-                gone = unseen[start : start + len(text)]
-                found = Counter(compress(text, gone.tolist())) if gone.any() else {}
-                rare.append([(w.decode("utf-8", "replace"), n) for w, n in found.items()])
+                found = Counter(compress(text, gone[start : start + len(text)]))
+                rare_words += [w.decode("utf-8", "replace") for w in found]
+                rare_counts += found.values()
+                ends.append(len(rare_words))
+            rare = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()),
+                pa.StructArray.from_arrays(
+                    [pa.array(rare_words, pa.string()), pa.array(rare_counts, pa.int32())],
+                    names=["word", "n"],
+                ),
+            )
             packed = target.astype("<u2").tobytes()
             # Copies of a row must not all come to one copy of the model.
             seen: Counter[int] = Counter()
@@ -557,10 +568,9 @@ def digest(
                     packed[2 * start : 2 * (start + n)]
                     for start, n in zip(first.tolist(), lengths.tolist(), strict=True)
                 ],
-                "rare": rare,
             }
             return pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(c, kinds[name]) for name, c in columns.items())],
+                [ids, *(pa.array(c, kinds[name]) for name, c in columns.items()), rare],
                 names=["doc_id", *DIGEST.fieldNames()],
             )
 

@@ -15,6 +15,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     prepare = commands.add_parser("prepare", help="raw CSV to the patients table")
     prepare.add_argument("raw_csv")
     prepare.add_argument("folder")
+    prepare.add_argument(
+        "--most-bad", type=int, help="put so many lines that cannot be read beside the table"
+    )
     train = commands.add_parser("train", help="train, score and store")
     train.add_argument("folder")
     show = commands.add_parser("show", help="print the first rows of a view")
@@ -25,7 +28,7 @@ def main(argv: Sequence[str] | None = None) -> None:
 
     spark = build_session()
     if args.command == "prepare":
-        jobs.prepare_patients(spark, args.raw_csv, args.folder)
+        jobs.prepare_patients(spark, args.raw_csv, args.folder, most_bad=args.most_bad)
     elif args.command == "train":
         jobs.train_and_store(spark, args.folder)
     else:

@@ -71,6 +71,27 @@ def test_views_over_stored_tables(spark, folder):
     assert sizes["model_performance"] == 5
 
 
+def test_repeated_jobs_add_nothing(spark, folder):
+    before = {
+        "predictions": table(files.read_predictions(spark, f"{folder}/predictions").select("id", "patient_id", "model_name")),
+        "metrics": table(stores.read_metrics(spark, f"{folder}/metrics").select("model_name", "accuracy")),
+    }
+    jobs.train_and_store(spark, folder, SPECS, RUN)
+    assert table(files.read_predictions(spark, f"{folder}/predictions").select("id", "patient_id", "model_name")) == before["predictions"]
+    assert table(stores.read_metrics(spark, f"{folder}/metrics").select("model_name", "accuracy")) == before["metrics"]
+
+
+def test_bad_lines_of_a_job(spark, folder, tmp_path):
+    text = open(f"{folder}/raw.csv").read() + "1,2,3\r\n"
+    (tmp_path / "raw.csv").write_text(text)
+    command.main(["prepare", str(tmp_path / "raw.csv"), str(tmp_path), "--most-bad", "1"])
+    assert files.read_patients(spark, f"{tmp_path}/patients").count() == 150
+    assert files.read_bad_lines(spark, f"{tmp_path}/bad_lines").first().reason == "3 fields, not 7"
+    with pytest.raises(files.TooManyBadLines):
+        jobs.prepare_patients(spark, str(tmp_path / "raw.csv"), str(tmp_path), RUN, most_bad=0)
+    assert files.read_patients(spark, f"{tmp_path}/patients").count() == 150
+
+
 def test_command_line(spark, folder, capsys):
     command.main(["show", folder, "model_performance", "--rows", "3"])
     assert "total_predictions" in capsys.readouterr().out

@@ -16,6 +16,9 @@ from riskframe.session import materialize
 #: Rows of a tile on either side; a tile of products holds their product in numbers.
 TILE_QUERIES = 512
 TILE_VECTORS = 4096
+#: Memory of a block of queries, bytes that it takes per component (a double and a float32),
+#: and the most queries in one.
+BLOCK_BYTES, NUMBER_BYTES, MOST_QUERIES = 64 << 20, 12, 65_536
 #: Products of two int8 numbers that float32 adds up without rounding: 127 * 127 * 1040 < 2 ** 24.
 EXACT_TERMS = 1040
 #: More than what products of small numbers lose, and nothing beside others.
@@ -250,7 +253,7 @@ def nearest_neighbours(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     cell_rows: int = 65_536,
-    block_queries: int = 8_192,
+    block_queries: int | None = None,
 ) -> DataFrame:
     """The ``nearest`` of ``vectors`` to each query by inner product, exactly.
 
@@ -261,7 +264,9 @@ def nearest_neighbours(
 
     Vectors are dealt by their id to cells of about ``cell_rows`` (at least two
     for each core, so that small tables keep all cores busy), and each block of
-    ``block_queries`` visits every cell. A task holds one block of queries and
+    ``block_queries`` visits every cell. By default a block is as large as
+    ``BLOCK_BYTES`` hold, since every vector is shuffled once per block and every
+    query once per cell. A task holds one block of queries and
     streams a cell past it in tiles. Products of the int8 forms come with a
     bound of their error; pairs whose upper bound misses the query's ``nearest``
     best lower bounds are done with, and the others are computed in double.
@@ -278,7 +283,12 @@ def nearest_neighbours(
     corpus = materialize(one_per_id(vectors, id_col, vector_col), "vectors")
     asked = materialize(one_per_id(queries, id_col, vector_col), "queries")
     cells = max(ceil_div(corpus.count(), cell_rows), 2 * spark.sparkContext.defaultParallelism)
-    blocks = ceil_div(asked.count(), block_queries)
+    number, width = asked.agg(
+        F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))
+    ).first()
+    if block_queries is None:
+        block_queries = min(MOST_QUERIES, max(TILE_QUERIES, BLOCK_BYTES // (NUMBER_BYTES * width)))
+    blocks = ceil_div(number, block_queries)
     dealt = F.xxhash64("vec_id")
 
     def copies(number: int) -> Column:

@@ -36,8 +36,8 @@ AT_REST = {"logistic": 1e-11, "hinge": 1e-8}
 MOST_PASSES = 200
 #: Half the width of the bend of the hinge.
 BEND = 0.5
-#: Sums of tasks that are added up in one group, about.
-FANIN = 64
+#: Sums of tasks that are added up in one group, about, and those that are left to the driver.
+FANIN, FEW = 64, 8
 
 
 @dataclass(frozen=True)
@@ -71,22 +71,22 @@ LOSSES = {"logistic": logistic_loss, "hinge": hinge_loss}
 
 
 def added_up(partials: DataFrame, tasks: int) -> dict[int, np.ndarray]:
-    """Sum of the arrays ``sums`` (as bytes) of each ``key``, added up in groups before they meet.
+    """Sum of the arrays ``sums`` (as bytes) of each ``key``, added up as a tree.
 
-    No group holds more than about ``FANIN`` arrays, and no more than one in
-    ``FANIN`` of all arrays reaches the driver.
+    ``tasks`` is the number of tasks that make them. No group holds more than about
+    ``FANIN`` arrays, and a few arrays of each key reach the driver.
     """
 
     def total(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_py()) for x in table.column("sums")]
         sums = pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())
-        return pa.table({"key": table.column("key").slice(0, 1), "sums": sums})
+        return table.slice(0, 1).select(["key", "part"]).append_column("sums", sums)
 
-    groups = -(-tasks // FANIN)
-    if groups > 1:
-        part = F.pmod(F.spark_partition_id(), F.lit(groups))
-        parts = partials.withColumn("part", part).groupBy("key", "part")
-        partials = parts.applyInArrow(total, _SUMS)
+    partials = partials.select("key", F.spark_partition_id().alias("part"), "sums")
+    while tasks > FEW:
+        tasks = -(-tasks // FANIN)
+        groups = partials.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("key", "part")
+        partials = groups.applyInArrow(total, "key int, part int, sums binary")
     out: dict[int, np.ndarray] = {}
     for row in partials.collect():
         out[row["key"]] = out.get(row["key"], 0) + np.frombuffer(row["sums"])

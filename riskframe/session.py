@@ -60,7 +60,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new name in the shared folder; deleted with the scope that is open, if one is."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OPEN_SCOPES:
+        _OPEN_SCOPES[-1].append(path)
+    return path
 
 
 def materialize(
@@ -76,8 +80,6 @@ def materialize(
     long texts about a third smaller than the quicker default.
     """
     path = scratch_path(df.sparkSession, name)
-    if _OPEN_SCOPES:
-        _OPEN_SCOPES[-1].append(path)
     df.write.partitionBy(*partition_by).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
@@ -87,7 +89,8 @@ _OPEN_SCOPES: list[list[str]] = []
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that ``materialize`` writes inside, once the work in it is stored.
+    """Deletes what is written inside under a ``scratch_path``, as by ``materialize``, once the
+    work in it is stored.
 
     For jobs that end in a write. A table that is still to be read must not
     leave the scope. Tables written by other threads at the same time belong to

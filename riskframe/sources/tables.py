@@ -52,7 +52,8 @@ def _names(spark: SparkSession, path: str) -> list[str]:
 def staged(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """Let ``write`` fill the folder of a new version, then commit it.
 
-    Versions before the last one, and leftovers of failed writes, are deleted.
+    Versions older than the one before are deleted. Folders that were never
+    committed are left alone: another write may be at work in them.
     """
     version = f"version={uuid.uuid4().hex}"
     write(f"{path}/{version}")

@@ -115,7 +115,7 @@ def test_arrays_are_added_up_in_groups(spark):
     rows = [(i % 3, np.array([1.0, i]).tobytes()) for i in range(500)]
     partials = spark.createDataFrame(rows, "key int, sums binary").repartition(30)
     assert newton.added_up(partials, 30)[0].tolist() == [167, sum(range(0, 500, 3))]
-    found = newton.added_up(partials, 500)
+    found = newton.added_up(partials, 5_000)
     assert {k: v[0] for k, v in found.items()} == {0: 167, 1: 167, 2: 166}
     assert sum(v[1] for v in found.values()) == sum(range(500))
 

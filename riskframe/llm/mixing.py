@@ -193,7 +193,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     their places in the mixture, and once into order.
     """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    numbered = materialize(rows, "numbered", codec="zstd")
+    numbered = materialize(rows, "numbered")
     places = mix(numbered, id_col="_row", **options).select(
         F.col("doc_id").alias("_of"), F.col("fraction").alias("_fraction")
     )

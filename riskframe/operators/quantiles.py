@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions import quantile_label
@@ -21,8 +21,9 @@ from riskframe.session import materialize
 
 #: Ranks of a sketch: its answers are off by rows / ACCURACY at most.
 ACCURACY = 10_000
-#: So many values may be held by one task.
+#: So many values may be held by one task, and so many are gathered by one, about.
 DIRECT_ROWS = 1_000_000
+GATHERED = 200_000
 
 
 def _number(name: str) -> Column:
@@ -119,18 +120,19 @@ def _at_ranks(
 ) -> dict[str, dict[int, float]]:
     """The values at ``ranks`` (from 0) of each column.
 
-    Rows are counted by an observation of the pass that keeps the values inside:
-    that pass has no shuffle after it, so each task counts once however often it
-    is repeated. Of n values a window keeps 6 n / ``accuracy`` or so, the ends
-    apart, which may be frequent and are only counted.
+    One aggregate counts the rows and gathers the values inside. Of n values a window
+    keeps 6 n / ``accuracy`` or so, the ends apart, which may be frequent and are
+    only counted; so many parts gather them that none holds many.
     """
     found: dict[str, dict[int, float]] = {c: {} for c in ranks}
     todo = {c: set(r) for c, r in ranks.items()}
     windows = {c: sorted(set(facts[c]["windows"])) for c in ranks}
+    share = 6 / accuracy
     while any(todo.values()):
         spans = [(c, low, high) for c in todo if todo[c] for low, high in windows[c]]
-        counts, inside = _counted(df, spans)
-        sizes = {r["span"]: r["count"] for r in inside.groupBy("span").count().collect()}
+        most = max(facts[c]["n"] for c in todo)
+        counts, inside = _counted(df, spans, math.ceil(most * share * len(spans) / GATHERED))
+        sizes = {i: counts[f"size{i}"] for i in range(len(spans))}
         inner: dict[int, list[int]] = {}
         for i, (c, low, high) in enumerate(spans):
             below, at_low, at_high = (counts[f"{k}{i}"] for k in ("below", "low", "high"))
@@ -138,9 +140,9 @@ def _at_ranks(
             for rank in list(todo[c]):
                 if below <= rank < first:
                     found[c][rank] = low
-                elif first <= rank < first + sizes.get(i, 0):
+                elif first <= rank < first + sizes[i]:
                     inner.setdefault(i, []).append(rank)
-                elif first + sizes.get(i, 0) <= rank < first + sizes.get(i, 0) + at_high:
+                elif first + sizes[i] <= rank < first + sizes[i] + at_high:
                     found[c][rank] = high
                 else:
                     continue
@@ -148,7 +150,7 @@ def _at_ranks(
         for i, (c, _, _) in enumerate(spans):
             if i in inner:
                 offset = counts[f"below{i}"] + counts[f"low{i}"]
-                own = inside.where(F.col("span") == i).select("x")
+                own = inside.select(F.explode(f"in{i}").alias("x"))
                 chosen = sorted(set(inner[i]))
                 values = _selected(
                     own, sizes[i], [r - offset for r in chosen], accuracy, direct_rows
@@ -156,38 +158,35 @@ def _at_ranks(
                 found[c].update(zip(chosen, values, strict=True))
         # A rank outside all its windows, as of a few rows that ranks are far apart for: look
         # through all values.
-        windows = {c: [(-math.inf, math.inf)] for c in todo}
+        windows, share = {c: [(-math.inf, math.inf)] for c in todo}, 1.0
     return found
 
 
-def _counted(df: DataFrame, spans: list[tuple[str, float, float]]) -> tuple[dict, DataFrame]:
-    """Values below, at the lower and at the upper end of each span; and (span, x) inside."""
-    metrics, hits = [], []
+def _counted(
+    df: DataFrame, spans: list[tuple[str, float, float]], parts: int
+) -> tuple[dict, DataFrame]:
+    """Values below, at the lower end, at the upper end and inside of each span; and the values
+    inside as lists ``in0``, ``in1`` and so on, in ``parts`` rows."""
+    cells = []
     for i, (c, low, high) in enumerate(spans):
         x = _number(c)
-        metrics += [
+        hit = F.when((x > low) & (x < high), x)
+        cells += [
             F.count_if(x < low).alias(f"below{i}"),
             F.count_if(x == low).alias(f"low{i}"),
             F.count_if((x == high) & (F.lit(low) < high)).alias(f"high{i}"),
+            F.count(hit).alias(f"size{i}"),
+            F.collect_list(hit).alias(f"in{i}"),
         ]
-        if low < high:
-            hits.append(
-                F.when((x > low) & (x < high), F.struct(F.lit(i).alias("span"), x.alias("x")))
-            )
-    observed = Observation()
-    watched = df.observe(observed, *metrics)
-    if hits:
-        kept = watched.select(F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-        inside = kept.select("hit.span", "hit.x")
-    else:
-        inside = watched.where(F.lit(False)).select(
-            F.lit(0).alias("span"), F.lit(0.0).alias("x")
-        )
-        # Nothing is kept; the rows are still to be counted.
-        watched.select(F.lit(1)).write.format("noop").mode("overwrite").save()
-        return observed.get, inside
-    inside = materialize(inside, "inside")
-    return observed.get, inside
+    names = sorted({c for c, _, _ in spans})
+    own = df.select(
+        *[F.col(f"`{c}`") for c in names],
+        F.pmod(F.spark_partition_id(), F.lit(max(1, parts))).alias("_part"),
+    )
+    gathered = materialize(own.groupBy("_part").agg(*cells), "inside")
+    sums = [c for c in gathered.columns if c != "_part" and not c.startswith("in")]
+    counts = gathered.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).first()
+    return counts.asDict(), gathered
 
 
 def _selected(

@@ -59,6 +59,17 @@ def test_quantiles_take_two_scans_of_the_table(spark):
     assert read.value == 2 * 40_000
 
 
+def test_models_fitted_in_the_same_session_can_be_shipped(spark):
+    """A fitted model holds the session, which quantiles must leave fit to be shipped."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.createDataFrame([(float(i), float(i % 3 > 0)) for i in range(60)], "x double, label double")
+    quantiles.exact_quantiles(df, ["x"], [0.5], 50, 1)
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    assert LogisticRegression(maxIter=2).fit(rows).transform(rows).count() == 60
+
+
 def test_infinite_values_are_the_ends(spark):
     rows = [(-math.inf,)] * 3 + [(float(i),) for i in range(10)] + [(math.inf,)] * 2 + [(math.nan,), (None,)]
     df = spark.createDataFrame(rows, "a double")

@@ -8,6 +8,7 @@ from itertools import product
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.regression import DecisionTreeRegressor
 
 from riskframe.learning.newton import NewtonClassifier
 from riskframe.learning.trees import Cut
@@ -25,8 +26,15 @@ def logistic(params: Params, rows: float) -> Estimator:
     )
 
 
-def tree(params: Params, rows: float) -> Estimator:
-    return DecisionTreeClassifier(
+def tree(params: Params, rows: float, merged: bool = True) -> Estimator:
+    """A tree; ``merged`` as a classifier does it, where two leaves of one class become one.
+
+    Without, the splits above such leaves stay. Labels of 0 and 1 have a variance of half
+    their Gini impurity, so a tree on their means has the same splits, and equal means
+    are met only where a split gains nothing.
+    """
+    kind = DecisionTreeClassifier if merged else DecisionTreeRegressor
+    return kind(
         featuresCol=FEATURES,
         labelCol=LABEL,
         weightCol=WEIGHT,

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,8 +109,23 @@ class Tree:
         return out
 
 
+def by_classes(row: dict) -> dict:
+    """The node of a tree on the means of labels, as a classifier's node."""
+    weight, ones, _ = row["impurityStats"]
+    return dict(
+        row,
+        prediction=float(2 * ones > weight),
+        impurity=2 * row["impurity"],
+        impurityStats=[weight - ones, ones],
+        gain=2 * row["gain"] if row["leftChild"] >= 0 else row["gain"],
+    )
+
+
 class SavedTrees:
-    """A fitted tree or forest, read back from its saved form."""
+    """A fitted tree or forest, read back from its saved form.
+
+    Of a tree on the means of labels the nodes are read as a classifier's; it is not cut back.
+    """
 
     def __init__(self, spark: SparkSession, model: Model):
         self.spark, self.model = spark, model
@@ -120,7 +136,10 @@ class SavedTrees:
         by_tree: dict[int, list[dict]] = {}
         for row in self.data.collect():
             tree, node = (row["treeID"], row["nodeData"]) if self.is_forest else (0, row)
-            by_tree.setdefault(tree, []).append(node.asDict(recursive=True))
+            node = node.asDict(recursive=True)
+            if isinstance(model, DecisionTreeRegressionModel):
+                node = by_classes(node)
+            by_tree.setdefault(tree, []).append(node)
         self.trees = [Tree(by_tree[t]) for t in sorted(by_tree)]
 
     def cut_back(self, cut: Cut) -> Model:

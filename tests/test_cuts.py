@@ -142,3 +142,21 @@ def test_search_equals_separate_fits(spark, rows):
     for a, b in zip(together.fold_models, apart.fold_models, strict=True):
         assert text(a) == text(b)
     assert found.cv_precision >= together.cv_precision - 1e-12
+
+
+def test_a_root_stays_where_all_leaves_are_of_one_class(spark):
+    """Nine of ten labels are 1 on either side, or a few less: a classifier merges all of it."""
+    made = [([float(i % 2), float(i % 7)], float(i % 10 > 0 and i % 22 > 1)) for i in range(770)]
+    df = spark.createDataFrame(made, "x array<double>, target double").select(
+        array_to_vector("x").alias("features"), "target", F.lit(1.0).alias("weight")
+    )
+    assert len(SavedTrees(spark, fit(df, 1)).trees[0].rows) == 1
+    whole = models.tree({"max_depth": 1, "min_samples_leaf": 1}, 0, merged=False).fit(df)
+    root, left, right = SavedTrees(spark, whole).trees[0].rows
+    assert root["split"]["featureIndex"] == 0 and left["rawCount"] == right["rawCount"] == 385
+    cases = [sum(y for x, y in made if x[0] == side) for side in (0.0, 1.0)]
+    assert [n["impurityStats"][1] for n in (left, right)] == pytest.approx(cases)
+    gini = [2 * (c / 385) * (1 - c / 385) for c in cases]
+    share = sum(cases) / 770
+    assert root["gain"] == pytest.approx(2 * share * (1 - share) - sum(gini) / 2)
+    assert {n["prediction"] for n in (root, left, right)} == {1.0}

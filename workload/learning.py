@@ -119,7 +119,11 @@ STEPS = {
 
 
 def tree_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The root of a deep tree, its gain, and the rows and cases of the two nodes under it."""
+    """The root of a deep tree, its gain, and the rows and cases of the two nodes under it.
+
+    Leaves of one class are not merged: where all leaves are of one class no root would be left.
+    A table that cannot be split has no row.
+    """
     patients = tables.patients(spark, sf_dir).select(
         "target",
         F.lit(1.0).alias("weight"),
@@ -127,19 +131,21 @@ def tree_root(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(*[F.floor(F.col(c) / size).cast("double") for c, size in STEPS.values()])
         ).alias("features"),
     )
-    deep = models.tree({"max_depth": 5, "min_samples_leaf": 1}, 0).fit(patients)
+    deep = models.tree({"max_depth": 5, "min_samples_leaf": 1}, 0, merged=False).fit(patients)
     nodes = SavedTrees(spark, deep).trees[0].rows
     root = nodes[0]
-    left, right = nodes[root["leftChild"]], nodes[root["rightChild"]]
-    row = (
-        list(STEPS)[root["split"]["featureIndex"]],
-        float(root["split"]["leftCategoriesOrThreshold"][0]),
-        round(float(root["gain"]), 6),
-        left["rawCount"], int(left["impurityStats"][1]),
-        right["rawCount"], int(right["impurityStats"][1]),
-    )
+    rows = []
+    if root["leftChild"] >= 0:
+        left, right = nodes[root["leftChild"]], nodes[root["rightChild"]]
+        rows.append((
+            list(STEPS)[root["split"]["featureIndex"]],
+            float(root["split"]["leftCategoriesOrThreshold"][0]),
+            round(float(root["gain"]), 6),
+            left["rawCount"], round(left["impurityStats"][1]),
+            right["rawCount"], round(right["impurityStats"][1]),
+        ))
     return spark.createDataFrame(
-        [row],
+        rows,
         "feature string, threshold double, gain double, "
         "left_rows long, left_cases long, right_rows long, right_cases long",
     )

@@ -9,9 +9,11 @@ from itertools import product
 from pyspark.ml import Estimator
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import DataFrame
 
+from riskframe.learning.forests import fit_together
 from riskframe.learning.newton import NewtonClassifier
-from riskframe.learning.trees import Cut
+from riskframe.learning.trees import Cut, SavedTrees
 
 LABEL, FEATURES, WEIGHT, FOLD = "target", "features", "weight", "fold"
 KERNEL_FEATURES = "kernel_features"
@@ -84,7 +86,8 @@ class Spec:
 
     Candidates that differ in the parameters of ``cut`` alone come from one fit with
     the largest of these, cut back. With a ``loss``, candidates are penalties ``C``
-    of a linear model on the column ``features``, and all are solved together.
+    of a linear model on the column ``features``, and all are solved together. Deep
+    fits of the same rows may be grown ``together``.
     """
 
     name: str
@@ -93,6 +96,8 @@ class Spec:
     cut: tuple[str, ...] = ()
     loss: str | None = None
     features: str = FEATURES
+    #: Fits estimators that differ in what a cut cannot change, all at once.
+    together: Callable[[Sequence[Estimator], DataFrame], list[SavedTrees]] | None = None
 
     def candidates(self) -> list[Params]:
         return [dict(zip(self.grid, values)) for values in product(*self.grid.values())]
@@ -116,6 +121,7 @@ FOREST = Spec(
         "min_samples_leaf": (1, 2),
     },
     cut=("n_estimators", "max_depth", "min_samples_split"),
+    together=fit_together,
 )
 SVM = Spec("svm", svm, {"C": (0.1, 1, 10)}, loss="hinge", features=KERNEL_FEATURES)
 SPECS = (LOGISTIC, TREE, FOREST, SVM)

@@ -180,15 +180,19 @@ def _search_cuts(train: TrainingSet, spec: Spec, parallelism: int) -> SearchResu
         families.setdefault(rest, []).append(i)
     largest = {k: max(spec.grid[k]) for k in spec.cut if k != "min_samples_split"}
 
-    def fitted(rows: DataFrame, family: tuple, size: float) -> SavedTrees:
-        return SavedTrees(spark, spec.build({**dict(family), **largest}, size).fit(rows))
+    def fitted(rows: DataFrame, some: Sequence[tuple], size: float) -> list[SavedTrees]:
+        built = [spec.build({**dict(family), **largest}, size) for family in some]
+        if spec.together:
+            return spec.together(built, rows)
+        return [SavedTrees(spark, estimator.fit(rows)) for estimator in built]
 
+    groups = [list(families)] if spec.together else [[family] for family in families]
     tasks = [
-        lambda fold=fold, family=family: fitted(train.outside(fold), family, train.fold_size)
+        lambda fold=fold, group=group: fitted(train.outside(fold), group, train.fold_size)
         for fold in range(FOLDS)
-        for family in families
+        for group in groups
     ]
-    deep = in_threads(tasks, parallelism)
+    deep = [saved for found in in_threads(tasks, parallelism) for saved in found]
     models = {
         (fold, family): deep[fold * len(families) + j]
         for fold in range(FOLDS)
@@ -211,7 +215,7 @@ def _search_cuts(train: TrainingSet, spec: Spec, parallelism: int) -> SearchResu
     best = sums.index(max(sums))
     params = candidates[best]
     family = next(f for f, members in families.items() if best in members)
-    whole = fitted(train.rows, family, train.size)
+    whole = fitted(train.rows, [family], train.size)[0]
     cut = cut_of(params)
     fold_models = in_threads(
         [lambda fold=fold: models[fold, family].cut_back(cut) for fold in range(FOLDS)], parallelism

@@ -16,16 +16,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskframe.session import scratch_path
 
@@ -145,15 +148,26 @@ class SavedTrees:
     def cut_back(self, cut: Cut) -> Model:
         """The model that is left, written and loaded by Spark ML as any other."""
         path = scratch_path(self.spark, "model")
-        kept = self.trees[: cut.trees]
+        return self._written(path, [tree.after(cut) for tree in self.trees[: cut.trees]], cut.depth)
+
+    def with_trees(self, kept: Sequence[list[dict]]) -> SavedTrees:
+        """A model of the same settings and number of trees with these nodes."""
+        made = copy(self)
+        made.path = scratch_path(self.spark, "model")
+        made.trees = [Tree(nodes) for nodes in kept]
+        made.model = self._written(made.path, kept, self.model.getMaxDepth())
+        made.data = self.spark.read.schema(self.data.schema).parquet(f"{made.path}/data")
+        return made
+
+    def _written(self, path: str, kept: Sequence[list[dict]], depth: int) -> Model:
         rows = []
-        for number, tree in enumerate(kept):
-            for node in tree.after(cut):
-                rows.append({"treeID": number, "nodeData": node} if self.is_forest else node)
-        written = self.spark.createDataFrame(rows, self.data.schema).coalesce(1)
+        for number, nodes in enumerate(kept):
+            rows += [{"treeID": number, "nodeData": x} if self.is_forest else x for x in nodes]
+        table = pa.Table.from_pylist(rows, to_arrow_schema(self.data.schema))
+        written = self.spark.createDataFrame(table, self.data.schema).coalesce(1)
         written.write.parquet(f"{path}/data")
         about = json.loads(self.spark.read.text(f"{self.path}/metadata").first()[0])
-        about["paramMap"]["maxDepth"] = cut.depth
+        about["paramMap"]["maxDepth"] = depth
         if self.is_forest:
             about["paramMap"]["numTrees"] = about["numTrees"] = len(kept)
             trees = self.spark.read.parquet(f"{self.path}/treesMetadata")

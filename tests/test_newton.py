@@ -162,3 +162,33 @@ def test_features_made_on_the_way(rows):
     on_the_way = newton.fit_linear(rows, [newton.Problem(1.0)], weight="weight", mapped=squares)[0]
     stored = newton.fit_linear(wide, [newton.Problem(1.0)], weight="weight")[0]
     assert on_the_way == pytest.approx(stored, rel=1e-6, abs=1e-9)
+
+
+def test_folds_start_where_all_rows_end(spark, monkeypatch):
+    """Fold problems wait for the whole one, and come to the same rest in fewer steps."""
+    draw = np.random.default_rng(8)
+    made = [
+        ([float(a), float(b)], float(a + b + c > 0), i % 5)
+        for i, (a, b, c) in enumerate(draw.normal(size=(600, 3)))
+    ]
+    df = spark.createDataFrame(made, "x array<double>, target double, fold int").select(
+        array_to_vector("x").alias("features"), "target", "fold"
+    ).persist()
+    looked, evaluated = [], newton._evaluated
+
+    def counted(rows, scales, at, *rest):
+        looked.append(sorted(at))
+        return evaluated(rows, scales, at, *rest)
+
+    monkeypatch.setattr(newton, "_evaluated", counted)
+    for loss in ("logistic", "hinge"):
+        folds = [newton.Problem(1.0, fold) for fold in range(5)]
+        looked.clear()
+        alone = newton.fit_linear(df, folds, fold="fold", loss=loss)
+        steps = sum(len(at) for at in looked)
+        looked.clear()
+        together = newton.fit_linear(df, [*folds, newton.Problem(1.0)], fold="fold", loss=loss)
+        assert looked[0] == [5] and all(5 not in at or at == [5] for at in looked)
+        assert sum(len(at) for at in looked if at != [5]) < steps
+        for a, b in zip(alone, together):
+            assert a == pytest.approx(b, rel=1e-5, abs=1e-7)

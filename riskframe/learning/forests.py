@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.learning.newton import FANIN
@@ -48,6 +48,11 @@ def drawn(keys: np.ndarray, tree: np.uint64) -> np.ndarray:
     return DRAWN[z >> np.uint64(48)]
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """All cores, or more tasks where one would have too many rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 # --- bins ------------------------------------------------------------------
 
 
@@ -257,30 +262,38 @@ def _level(
             return
         x, y, w, keys = (np.concatenate(column) for column in zip(*parts))
         width = len(x) // len(y)
-        offsets = np.arange(looked) * 2 * BINS
+        # A byte holds bin and class, and so is the place of what is counted.
+        x = (x.reshape(-1, width) + y.astype(np.uint8)[:, None]).ravel()
         listed, drawn_features = plan.value
         for at, number, _, feature, cut, is_open in listed:
-            rows = np.zeros(size, np.int64)
+            rows = np.zeros(size)
             weights = None if by_class is not None else np.zeros(size)
+            # Either class of a bin that ends at the cut goes to the left.
+            cut = cut | 1
+            columns = [np.ascontiguousarray(c) for c in drawn_features[number].T]
             for start in range(0, len(y), STEP_ROWS):
                 times = drawn(keys[start : start + STEP_ROWS], trees[number])
                 own = np.flatnonzero(times)
-                times, own = times[own], own + start
-                place = own * width
+                place, times = (own + start) * width, times.take(own).astype(float)
                 node = np.zeros(len(own), np.int64)
                 for _ in range(level):
                     right = x.take(place + feature.take(node)) > cut.take(node)
-                    node = 2 * node + 1 + right
+                    node += node
+                    node += 1
+                    node += right
                 node -= first
                 if not is_open.all():
                     kept = np.flatnonzero(is_open.take(node))
                     node, own, place, times = (a.take(kept) for a in (node, own, place, times))
-                bins = x.take(place[:, None] + drawn_features[number].take(node, axis=0))
-                cells = (node * (looked * 2 * BINS) + y.take(own))[:, None] + offsets + bins
-                cells = cells.ravel()
-                rows += np.bincount(cells, np.repeat(times, looked), size).astype(np.int64)
-                if weights is not None:
-                    weights += np.bincount(cells, np.repeat(times * w.take(own), looked), size)
+                weight = None if weights is None else times * w[start:].take(own)
+                cells = node * (looked * 2 * BINS)
+                for column in columns:
+                    found = cells + x.take(place + column.take(node))
+                    rows += np.bincount(found, times, size)
+                    if weights is not None:
+                        weights += np.bincount(found, weight, size)
+                    cells += 2 * BINS
+            rows = rows.astype(np.int64)
             # No task has two thousand million rows of a node.
             yield pa.RecordBatch.from_arrays(
                 [
@@ -366,7 +379,7 @@ def grow(
         by_class = np.array([sum(r["least"] for r in known if r["y"] == c) for c in (0.0, 1.0)])
     size, n = known[0]["size"], sum(r["n"] for r in known)
     edges = bin_edges(rows, size)
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    tasks = tasks_for(df.sparkSession, n)
     table = materialize(binned(rows, edges).repartition(tasks, "key"), "binned")
     tasks = table.rdd.getNumPartitions()
 

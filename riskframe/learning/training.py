@@ -225,12 +225,12 @@ def _search_cuts(train: TrainingSet, spec: Spec, parallelism: int) -> SearchResu
 
 def cut_precisions(saved: SavedTrees, rows: DataFrame, cuts: Sequence[Cut]) -> list[float]:
     """Precision of class 1 of a deep model after each cut, all in one pass over the rows."""
-    reached, classes = saved.classes(rows, cuts)
+    rows, classes = saved.classes(rows, cuts)
     cells = []
     for i in range(len(cuts)):
         positive = F.col("_classes")[i] == 1
         cells.append(precision_of(positive).alias(f"_{i}"))
-    return list(reached.select(LABEL, classes.alias("_classes")).agg(*cells).first())
+    return list(rows.select(LABEL, classes.alias("_classes")).agg(*cells).first())
 
 
 def precision_of(positive: Column) -> Column:
@@ -302,11 +302,16 @@ def unseen_scores(train: TrainingSet, bases: Sequence[SearchResult]) -> DataFram
     )
 
 
-def fit_stacking(train: TrainingSet, bases: Sequence[SearchResult]) -> PipelineModel:
+def fit_stacking(
+    train: TrainingSet, bases: Sequence[SearchResult], unseen: DataFrame | None = None
+) -> PipelineModel:
     """A balanced logistic regression on out-of-fold probabilities of the bases.
 
-    New rows are scored by the bases fitted on all rows.
+    New rows are scored by the bases fitted on all rows. Who has stored ``unseen_scores`` hands
+    them in, so that they are not made again.
     """
+    if unseen is None:
+        unseen = unseen_scores(train, bases)
     joined = VectorAssembler(
         inputCols=[f"{base.name}_probability" for base in bases], outputCol="_all_probabilities"
     )
@@ -316,7 +321,7 @@ def fit_stacking(train: TrainingSet, bases: Sequence[SearchResult]) -> PipelineM
         outputCol="_base_scores",
         indices=[2 * i + 1 for i in range(len(bases))],
     )
-    scored = slicer.transform(joined.transform(unseen_scores(train, bases)))
+    scored = slicer.transform(joined.transform(unseen))
     inputs = materialize(scored.select("_base_scores", LABEL, WEIGHT), "stacking")
     final = LogisticRegression(
         featuresCol="_base_scores",

@@ -18,6 +18,7 @@ import json
 from collections.abc import Iterator, Sequence
 from copy import copy
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskframe.session import scratch_path
 
+#: Rows that go through the trees in one step, which fit a core's cache.
+STEP_ROWS = 2048
+
 
 @dataclass(frozen=True)
 class Cut:
@@ -42,6 +46,33 @@ class Cut:
     trees: int | None = None
 
 
+@dataclass(frozen=True)
+class Steps:
+    """A tree for rows to go through: for each node its feature and threshold, and both children one
+    after another; a leaf's are itself. Where categories are split, those to the left are ``among``.
+    """
+
+    depth: int
+    feature: np.ndarray
+    threshold: np.ndarray
+    children: np.ndarray
+    among: dict[int, list[float]]
+
+    def reached(self, x: np.ndarray) -> np.ndarray:
+        """The leaf that each row ends in."""
+        values, place = x.ravel(), np.arange(len(x)) * x.shape[1]
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            # As in Spark ML, what is not a number goes to the right.
+            value = values.take(place + self.feature.take(node))
+            left = value <= self.threshold.take(node)
+            for at, categories in self.among.items():
+                here = node == at
+                left[here] = np.isin(value[here], categories)
+            node = self.children.take(2 * node + 1 - left)
+        return node
+
+
 class Tree:
     """The nodes of one tree as its saved form lists them, each before its children."""
 
@@ -88,6 +119,35 @@ class Tree:
         totals = counts.sum(axis=1, keepdims=True)
         return np.divide(counts, totals, out=np.zeros_like(counts), where=totals > 0)
 
+    def votes(self, cuts: Sequence[Cut], number: int) -> np.ndarray:
+        """For each node that is a leaf, its class shares after each cut, one cut after another.
+
+        A cut that keeps no tree of this ``number`` has nothing of it.
+        """
+        shares = [self.shares(cut) * (cut.trees is None or number < cut.trees) for cut in cuts]
+        votes = np.zeros((len(self.rows), len(cuts) * shares[0].shape[1]))
+        votes[self.leaves] = np.hstack(shares)
+        return votes
+
+    def steps(self) -> Steps:
+        """The nodes as arrays."""
+        feature = np.zeros(len(self.rows), np.int64)
+        threshold = np.zeros(len(self.rows))
+        children = np.repeat(np.arange(len(self.rows)), 2)
+        level = np.zeros(len(self.rows), np.int64)
+        among: dict[int, list[float]] = {}
+        for node, row in enumerate(self.rows):
+            if row["leftChild"] >= 0:
+                own = row["split"]["leftCategoriesOrThreshold"]
+                feature[node] = row["split"]["featureIndex"]
+                if row["split"]["numCategories"] < 0:
+                    threshold[node] = own[0]
+                else:
+                    among[node] = own
+                children[2 * node : 2 * node + 2] = row["leftChild"], row["rightChild"]
+                level[[row["leftChild"], row["rightChild"]]] = level[node] + 1
+        return Steps(int(level.max()), feature, threshold, children, among)
+
     def after(self, cut: Cut) -> list[dict]:
         """The nodes that are left, numbered anew."""
         stands = self.cut(cut)
@@ -131,7 +191,7 @@ class SavedTrees:
     """
 
     def __init__(self, spark: SparkSession, model: Model):
-        self.spark, self.model = spark, model
+        self.spark, self.model, self.fitted = spark, model, model
         self.path = scratch_path(spark, "model")
         model.write().save(self.path)
         self.is_forest = isinstance(model, RandomForestClassificationModel)
@@ -145,6 +205,13 @@ class SavedTrees:
             by_tree.setdefault(tree, []).append(node)
         self.trees = [Tree(by_tree[t]) for t in sorted(by_tree)]
 
+    @cached_property
+    def model(self) -> Model:
+        """Of trees from elsewhere written and loaded where it is first asked for."""
+        path = scratch_path(self.spark, "model")
+        kept = [tree.rows for tree in self.trees]
+        return self._written(path, kept, self.fitted.getMaxDepth())
+
     def cut_back(self, cut: Cut) -> Model:
         """The model that is left, written and loaded by Spark ML as any other."""
         path = scratch_path(self.spark, "model")
@@ -153,10 +220,9 @@ class SavedTrees:
     def with_trees(self, kept: Sequence[list[dict]]) -> SavedTrees:
         """A model of the same settings and number of trees with these nodes."""
         made = copy(self)
-        made.path = scratch_path(self.spark, "model")
         made.trees = [Tree(nodes) for nodes in kept]
-        made.model = self._written(made.path, kept, self.model.getMaxDepth())
-        made.data = self.spark.read.schema(self.data.schema).parquet(f"{made.path}/data")
+        # The settings are still those of the model that was fitted.
+        made.__dict__.pop("model", None)
         return made
 
     def _written(self, path: str, kept: Sequence[list[dict]], depth: int) -> Model:
@@ -175,35 +241,29 @@ class SavedTrees:
             trees.write.parquet(f"{path}/treesMetadata")
         text = self.spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1)
         text.write.text(f"{path}/metadata")
-        return type(self.model).load(path)
+        return type(self.fitted).load(path)
 
     def classes(self, df: DataFrame, cuts: Sequence[Cut]) -> tuple[DataFrame, Column]:
-        """``df`` with the leaves that its rows reach, and a column of the class that each cut
-        gives them.
+        """``df``, and a column of the class that each cut gives its rows.
 
-        The rows go through the deep model once. A cut is a look at the shares of the
-        leaves that are left, added up tree by tree as the model does it.
+        The rows go through the deep model once, some thousand at a time and tree by tree. A cut
+        is a look at the shares of the leaves that are left, added up as the model does it.
         """
-        shares = [[tree.shares(cut) for tree in self.trees[: cut.trees]] for cut in cuts]
-        tables = self.spark.sparkContext.broadcast(shares)
+        plan = [(tree.steps(), tree.votes(cuts, i)) for i, tree in enumerate(self.trees)]
+        tables = self.spark.sparkContext.broadcast(plan)
 
         @F.pandas_udf("array<int>")
         def voted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                if not len(batch):
-                    yield pd.Series([], dtype=object)
-                    continue
-                leaves = np.stack(batch.to_list()).astype(np.int64)
-                found = []
-                for trees in tables.value:
-                    votes = np.zeros((len(batch), trees[0].shape[1]))
-                    for number, share in enumerate(trees):
-                        votes += share[leaves[:, number]]
-                    found.append(votes.argmax(axis=1))
-                yield pd.Series(list(np.stack(found, axis=1).astype(np.int32)))
-
-        quiet = self.model.copy().setLeafCol("_leaves").setPredictionCol("")
-        quiet = quiet.setRawPredictionCol("").setProbabilityCol("")
-        reached = quiet.transform(df)
-        leaves = vector_to_array("_leaves") if self.is_forest else F.array("_leaves")
-        return reached, voted(leaves)
+                found: list[np.ndarray] = []
+                for start in range(0, len(batch), STEP_ROWS):
+                    x = np.stack(batch.iloc[start : start + STEP_ROWS].to_list())
+                    votes = 0.0
+                    for steps, shares in tables.value:
+                        votes = votes + shares.take(steps.reached(x), axis=0)
+                    votes = votes.reshape(len(x), len(cuts), -1)
+                    found += list(votes.argmax(axis=2).astype(np.int32))
+                yield pd.Series(found, dtype=object)
+
+        return df, voted(vector_to_array(self.fitted.getFeaturesCol()))
+

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.learning.forests import tasks_for
 from riskframe.learning.models import FOREST, LABEL, LOGISTIC, SPECS, SVM, TREE, Params, Spec
 from riskframe.learning.training import (
     SearchResult,
@@ -57,7 +58,10 @@ def prepare(patients: DataFrame, seed: int = 42) -> Trained:
     """Encode categories and split off a stratified fifth for testing."""
     encoded, codes = encode_categoricals(patients)
     cols = feature_columns(encoded)
-    stored = materialize(numeric(encoded, cols), "encoded")
+    # Rows are dealt anew: files that are read by few tasks would leave all later steps to as few.
+    tasks = tasks_for(patients.sparkSession, patients.count())
+    dealt = numeric(encoded, cols).repartition(tasks, "id").sortWithinPartitions("id")
+    stored = materialize(dealt, "encoded")
     parts = stratified_parts(stored, LABEL, "id", [TEST_SHARE], seed, "part")
     split = materialize(parts, "split", partition_by=["part"])
     train, test = (split.where(F.col("part") == i).drop("part") for i in (1, 0))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -111,6 +112,26 @@ def test_classes_of_cuts_are_those_of_the_models_cut_back(spark, rows):
         )
 
 
+def test_rows_go_through_trees_without_a_column_of_leaves(spark, rows):
+    """Two hundred leaves of each row as doubles were most of what a search's scores took."""
+    saved = SavedTrees(spark, models.forest({"n_estimators": 3, "max_depth": 3, "min_samples_leaf": 1}, 0).fit(rows))
+    reached, _ = saved.classes(rows, [Cut(3, 2, 3)])
+    assert reached.columns == rows.columns
+
+
+def test_categories_are_split_as_spark_does(spark, points):
+    x, y, _ = points
+    made = [(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame(made, "x array<double>, target double")
+    df = df.select(array_to_vector("x").alias("raw"), "target", F.lit(1.0).alias("weight"))
+    coded = VectorIndexer(inputCol="raw", outputCol="features", maxCategories=20).fit(df).transform(df)
+    saved = SavedTrees(spark, fit(coded, 4))
+    assert any(r["split"]["numCategories"] > 0 for r in saved.trees[0].rows)
+    reached, classes = saved.classes(coded, [Cut(4)])
+    reached = saved.model.transform(reached.withColumn("own", classes[0]))
+    assert reached.where("own <> prediction").count() == 0
+
+
 def test_a_forest_keeps_its_first_trees(spark, rows, tmp_path):
     forest = models.forest({"n_estimators": 6, "max_depth": 4, "min_samples_leaf": 1}, 0).fit(rows)
     cut = SavedTrees(spark, forest).cut_back(Cut(4, 2, 3))

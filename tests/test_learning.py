@@ -59,6 +59,26 @@ def scored(trained):
     return workflow.score_all(trained, RUN).persist()
 
 
+def test_rows_are_dealt_to_all_cores(spark, people):
+    """Patients from a single file, of which every fold is read by as many tasks as there are."""
+    train = workflow.prepare(people.coalesce(1)).train
+    for rows in (train.rows, train.inside(0), train.outside(0)):
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        shares = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(shares) < sum(shares) / 2
+
+
+def test_stored_scores_are_not_made_again(trained, monkeypatch):
+    made = training.unseen_scores
+    bases = [training.grid_search(trained.train, SPECS[0])]
+    unseen = made(trained.train, bases)
+    own = training.fit_stacking(trained.train, bases).stages[-1]
+    monkeypatch.setattr(training, "unseen_scores", None)
+    handed = training.fit_stacking(trained.train, bases, unseen).stages[-1]
+    assert handed.intercept == pytest.approx(own.intercept)
+    assert handed.coefficients.toArray() == pytest.approx(own.coefficients.toArray())
+
+
 def test_training_input(people, trained):
     assert trained.train.columns == [c for c in people.columns if c not in ("id", "target")]
     assert len(trained.train.columns) == 27

@@ -210,10 +210,12 @@ def stacking_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out patients, and training patients with the fold their scorers had not seen."""
     trained = start(spark, sf_dir)
     bases = searched(trained)
-    unseen = unseen_scores(trained.train, bases)
+    scores = [f"{base.name}_probability" for base in bases]
+    columns = ("id", models.LABEL, models.WEIGHT, "left_out", *scores)
+    unseen = materialize(unseen_scores(trained.train, bases).select(*columns), "scores")
     between = F.lit(True)
-    for base in bases:
-        between = between & probability(f"{base.name}_probability").between(0, 1)
+    for score in scores:
+        between = between & probability(score).between(0, 1)
     training = materialize(
         unseen.groupBy(F.col("id").alias("patient_id"), F.col("target").cast("int").alias("target"))
         .agg(
@@ -223,7 +225,7 @@ def stacking_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "unseen",
     )
-    held_out = finish(trained, "stacking_classifier", fit_stacking(trained.train, bases))
+    held_out = finish(trained, "stacking_classifier", fit_stacking(trained.train, bases, unseen))
     columns = ("patient_id", "target", "times_scored", "left_out", "probability_in_range")
     nothing = F.lit(None).cast("int")
     return training.select(*columns).union(
